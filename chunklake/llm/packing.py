@@ -3,7 +3,8 @@
 A piece of length l belongs to class k if it fits k times, but not k+1 times, into a container: capacity/(k+1) < l <=
 capacity/k. A container of class k is filled with exactly k pieces of its class, so classes are filled without looking at each
 other, and workers without looking at other workers' pieces. Small pieces (classes above `classes`) have no containers of
-their own at first: they fill what is left in the others, and only those that remain are packed next-fit.
+their own at first: longest first, each goes where the least room that is enough is left, and into a new container where
+there is none.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-CLASSES = 12
+CLASSES = 3
 SHARE_ROWS = 50_000
 
 PLACED = "container string, item_id long, part int, start int, length int, used int"
@@ -39,20 +40,26 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, classes: int = C
             count += len(held)
     small = np.flatnonzero(k > classes)
     small = small[np.argsort(-lengths[small], kind="stable")]
-    order = np.argsort(-np.asarray(room, dtype=np.int64), kind="stable").tolist() if room else []
-    at, left = 0, None
+    # containers by the room left in them, and a bit for every room that some container has: the least room that is enough is one look away
+    by_room: dict[int, list[int]] = {}
+    rooms = 0
+    for i, r in enumerate(room):
+        by_room.setdefault(r, []).append(i)
+        rooms |= 1 << r
     for i in small.tolist():
         length = int(lengths[i])
-        while at < len(order) and room[order[at]] < length:
-            at += 1
-        if at < len(order):
-            room[order[at]] -= length
-            where[i] = order[at]
-            continue
-        if left is None or left < length:
-            count, left = count + 1, capacity
-        left -= length
-        where[i] = count - 1
+        fits = rooms >> length
+        if fits:
+            r = length + (fits & -fits).bit_length() - 1
+            bin_ = by_room[r].pop()
+            if not by_room[r]:
+                rooms ^= 1 << r
+        else:
+            r, bin_, count = capacity, count, count + 1
+        r -= length
+        where[i] = bin_
+        by_room.setdefault(r, []).append(bin_)
+        rooms |= 1 << r
     return where, count
 
 

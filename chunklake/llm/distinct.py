@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunklake.common import hot_keys
+
 ERROR = 0.01
 LEAST_BITS = 1 << 16
 
@@ -61,5 +63,39 @@ def roll_up(part: DataFrame, groups: list[str], sets: list[tuple[str, ...]] | No
 
 def estimate(part: DataFrame, groups: list[str], m: int) -> DataFrame:
     """(groups, bits_set, estimate): estimate = m * ln(m / empty bits), rounded; null when every bit is set, as the set is then too large for m."""
-    n = part.groupBy(*groups).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set"))
+    return with_estimate(part.groupBy(*groups).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set")), m)
+
+
+def with_estimate(n: DataFrame, m: int) -> DataFrame:
     return n.withColumn("estimate", F.when(F.col("bits_set") < m, F.round(m * F.log(m / (m - F.col("bits_set")))).cast("bigint")))
+
+
+def cube_counts(df: DataFrame, groups: list[str], value: str, m: int, salts: int = 16) -> DataFrame:
+    """(grouping, groups, bits_set, estimate) of every combination of groups at once, straight from rows.
+
+    The first group should be the one with the most values: rows are shuffled once by it, and every combination that holds it
+    is united and counted where it lies. Its values with 1/512 of the rows or more are spread by word over `salts` partitions and
+    only their counts are added up. The combinations without it have few groups and are united with partial unions before the
+    shuffle. Rows with a null value set no bit; null groups are groups; a combination without rows has no row."""
+    wide, rest = groups[0], groups[1:]
+    bits = df.filter(F.col(value).isNotNull()).select(*groups, bit_of(F.col(value), m).alias("_b"))
+    words = bits.select(*groups, F.shiftright("_b", 6).cast("int").alias("word_ix"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("word"))
+
+    def sets(cols: list[str], always: list[str]) -> Column:
+        of = [c for n in range(len(cols) + 1) for c in combinations(cols, n)]
+        return F.explode(F.array(*[
+            F.struct(F.lit(",".join(g for g in groups if g in c or g in always)).alias("grouping"), *[(F.col(g) if g in c else F.lit(None).cast(df.schema[g].dataType)).alias(g) for g in cols])
+            for c in of
+        ]))
+
+    hot = F.broadcast(hot_keys(df.select(wide), [wide]).select(F.col(wide).alias("_wide"), F.lit(True).alias("_hot")))
+    a = words.join(hot, F.col(wide).eqNullSafe(F.col("_wide")), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))).drop("_wide")
+    a = a.withColumn("_salt", F.when(F.col("_hot"), F.pmod("word_ix", F.lit(salts))).otherwise(0)).repartition(wide, "_salt")
+    g = [wide, "_salt", "_hot", "grouping", *rest]
+    a = a.select(wide, "_salt", "_hot", "word_ix", "word", sets(rest, [wide]).alias("_s")).select(wide, "_salt", "_hot", "word_ix", "word", "_s.*")
+    a = a.groupBy(*g, "word_ix").agg(F.bit_or("word").alias("word")).groupBy(*g).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set"))
+    spread = a.filter("_hot").groupBy("grouping", *groups).agg(F.sum("bits_set").alias("bits_set"))
+    b = words.select("word_ix", "word", sets(rest, []).alias("_s")).select("word_ix", "word", "_s.*", F.lit(None).cast(df.schema[wide].dataType).alias(wide))
+    b = b.groupBy("grouping", *groups, "word_ix").agg(F.bit_or("word").alias("word")).groupBy("grouping", *groups).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set"))
+    every = [x.select("grouping", *groups, "bits_set") for x in (a.filter("not _hot"), spread, b)]
+    return with_estimate(reduce(DataFrame.unionByName, every), m)

@@ -28,26 +28,22 @@ def _seen(spark, d):
     return table(spark, d, "seen").select("day_no", "registry", "name", "seen_id")
 
 
-def _counts(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    m = _bits(df)
-    every = distinct.roll_up(distinct.partials(df, groups, value, m), groups)
-    return distinct.estimate(every, ["grouping", *groups], m)
-
-
 def p1_fetchers(spark, d):
     """Distinct fetchers per day, root and server and over every combination of these."""
-    return _counts(_fetchers(spark, d), ["day_no", "root", "server"], "fetcher")
+    df = _fetchers(spark, d)
+    return distinct.cube_counts(df, ["root", "server", "day_no"], "fetcher", _bits(df))
 
 
 def p1_seen(spark, d):
     """Distinct seen ids per day, registry and name and over every combination of these."""
-    return _counts(_seen(spark, d), ["day_no", "registry", "name"], "seen_id")
+    df = _seen(spark, d)
+    return distinct.cube_counts(df, ["name", "registry", "day_no"], "seen_id", _bits(df))
 
 
 def p1_distinct(spark, d):
     """Both, in one table: source, grouping, day_no, the two other groups, bits_set, estimate."""
     a = p1_fetchers(spark, d).withColumnsRenamed({"root": "group_a", "server": "group_b"}).withColumn("source", F.lit("receipts"))
-    b = p1_seen(spark, d).withColumnsRenamed({"registry": "group_a", "name": "group_b"}).withColumn("source", F.lit("seen"))
+    b = p1_seen(spark, d).withColumnsRenamed({"name": "group_a", "registry": "group_b"}).withColumn("source", F.lit("seen"))
     return a.unionByName(b).select("source", "grouping", "day_no", "group_a", "group_b", "bits_set", "estimate")
 
 
@@ -118,13 +114,13 @@ SELECT {lead}grp AS "grouping", {out}, bits_set,
   CASE WHEN bits_set < m THEN CAST(round(m * ln(m / (m - bits_set))) AS BIGINT) END AS estimate FROM c, bits WHERE bits_set > 0)"""
 
 
-_FETCHERS = (f"SELECT CAST(floor(time / 86400) AS INTEGER) AS day_no, {_K.format('root')} AS root, server, fetcher FROM receipts", "fetcher", ["day_no", "root", "server"])
-_SEEN = ("SELECT day_no, registry, name, seen_id FROM seen", "seen_id", ["day_no", "registry", "name"])
-_ABC = ["day_no", "group_a", "group_b"]
+_FETCHERS = (f"SELECT CAST(floor(time / 86400) AS INTEGER) AS day_no, {_K.format('root')} AS root, server, fetcher FROM receipts", "fetcher", ["root", "server", "day_no"])
+_SEEN = ("SELECT day_no, registry, name, seen_id FROM seen", "seen_id", ["name", "registry", "day_no"])
+_ABC = ["group_a", "group_b", "day_no"]
 
 SQL = {
-    "p1_fetchers": _linear_counting(*_FETCHERS, ["day_no", "root", "server"]),
-    "p1_seen": _linear_counting(*_SEEN, ["day_no", "registry", "name"]),
+    "p1_fetchers": _linear_counting(*_FETCHERS, ["root", "server", "day_no"]),
+    "p1_seen": _linear_counting(*_SEEN, ["name", "registry", "day_no"]),
     "p1_distinct": _linear_counting(*_FETCHERS, _ABC, "receipts") + " UNION ALL " + _linear_counting(*_SEEN, _ABC, "seen"),
     "p5_found": f"SELECT hash FROM (SELECT {_K.format('hash')} AS hash, count(*) AS n FROM chunks GROUP BY 1) WHERE hash IS NOT NULL AND n >= {SHARE} * (SELECT count(*) FROM chunks)",
     "p5_topk": f"SELECT hash, n FROM (SELECT {_K.format('hash')} AS hash, count(*) AS n FROM chunks GROUP BY 1) ORDER BY n DESC, hash NULLS FIRST LIMIT {TOP}",

@@ -61,6 +61,23 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_rolling, p4
 
 _K = "nullif(lower(trim({0}, ' \t\r\n')), '')"
 
+#: SQL of the longest chains and their effective statements: (registry, seq, own, prev, st, c, signer)
+CHAIN = f"""
+WITH RECURSIVE entries AS (
+  SELECT registry, seq, {_K.format("prev")} AS prev, any_value(statement ORDER BY received) AS st,
+    sha256(concat_ws('|', CAST(seq AS VARCHAR), prev, statement.signature.sig)) AS own
+  FROM log WHERE statement.signature.sig IS NOT NULL AND seq IS NOT NULL GROUP BY registry, seq, log.prev, statement.signature.sig
+), chain AS (
+  SELECT registry, seq, own, prev FROM entries WHERE seq = 0 AND prev = repeat('0', 64)
+  UNION ALL SELECT e.registry, e.seq, e.own, e.prev FROM chain c JOIN entries e ON e.registry = c.registry AND e.seq = c.seq + 1 AND e.prev = c.own
+), back AS (
+  SELECT registry, seq, own, prev FROM (SELECT *, row_number() OVER (PARTITION BY registry ORDER BY seq DESC, own) AS r FROM chain) WHERE r = 1
+  UNION ALL SELECT c.registry, c.seq, c.own, c.prev FROM back b JOIN chain c ON c.registry = b.registry AND c.seq = b.seq - 1 AND c.own = b.prev
+), effective AS (
+  SELECT e.registry, e.seq, e.own, e.prev, e.st, e.st.claim AS c, e.st.signature.key AS signer FROM entries e JOIN back b USING (registry, seq, own)
+  QUALIFY row_number() OVER (PARTITION BY e.registry, e.st.signature.sig ORDER BY e.seq) = 1
+)"""
+
 _ORPHANS = f"""
 WITH refs AS (
   SELECT DISTINCT * FROM (
@@ -116,20 +133,7 @@ SQL = {
     + "SELECT scope, name, strftime(day, '%Y-%m-%d') AS day, total_7, round(total_7 / 7, 6) AS mean_7, total_30, round(total_30 / 30, 6) AS mean_30, version FROM state",
     "p4_found": f"SELECT {_K.format('hash')} AS hash, max(raw_len) AS raw_len FROM blobs WHERE payload IS NOT NULL AND removed IS NULL AND {_K.format('hash')} IS NOT NULL GROUP BY 1",
     "p6_found": f"""
-WITH RECURSIVE entries AS (
-  SELECT registry, seq, {_K.format("prev")} AS prev, any_value(statement ORDER BY received) AS st,
-    sha256(concat_ws('|', CAST(seq AS VARCHAR), prev, statement.signature.sig)) AS own
-  FROM log WHERE statement.signature.sig IS NOT NULL AND seq IS NOT NULL GROUP BY registry, seq, log.prev, statement.signature.sig
-), chain AS (
-  SELECT registry, seq, own, prev FROM entries WHERE seq = 0 AND prev = repeat('0', 64)
-  UNION ALL SELECT e.registry, e.seq, e.own, e.prev FROM chain c JOIN entries e ON e.registry = c.registry AND e.seq = c.seq + 1 AND e.prev = c.own
-), back AS (
-  SELECT registry, seq, own, prev FROM (SELECT *, row_number() OVER (PARTITION BY registry ORDER BY seq DESC, own) AS r FROM chain) WHERE r = 1
-  UNION ALL SELECT c.registry, c.seq, c.own, c.prev FROM back b JOIN chain c ON c.registry = b.registry AND c.seq = b.seq - 1 AND c.own = b.prev
-), effective AS (
-  SELECT e.registry, e.seq, e.st.claim AS c, e.st.signature.key AS signer FROM entries e JOIN back b USING (registry, seq, own)
-  QUALIFY row_number() OVER (PARTITION BY e.registry, e.st.signature.sig ORDER BY e.seq) = 1
-), events AS (
+{CHAIN}, events AS (
   SELECT registry, 'name' AS item, c.name || '@' || c.rev AS k, '' AS member, seq, true AS up, {_K.format("c.root")} AS v FROM effective WHERE c.kind = 'publish'
   UNION ALL SELECT registry, 'gate', {_K.format("c.root")}, '', seq, c.gated <> '', c.gated FROM effective WHERE c.kind = 'publish' AND c.gated IS NOT NULL
   UNION ALL SELECT registry, 'gate', {_K.format("c.root")}, '', seq, coalesce(trim(c.repo), '') <> '', c.repo FROM effective WHERE c.kind = 'gate'

@@ -111,7 +111,7 @@ def held(probes: DataFrame, at: int) -> DataFrame:
 
 def register(posts: DataFrame) -> DataFrame:
     """Nodes from their posts: peer, registered (first), last_seen, name and models (sorted, distinct) of the latest. posts: peer, name, models, t."""
-    last = F.max_by(F.struct("name", "models"), F.struct("t", "name"))
+    last = F.max_by(F.struct("name", "models"), F.struct("t", "name", "models"))
     n = posts.filter(F.size("models") <= MAX_MODELS).groupBy("peer").agg(F.min("t").alias("registered"), F.max("t").alias("last_seen"), last.alias("v"))
     return n.select("peer", "registered", "last_seen", "v.name", F.array_sort(F.array_distinct("v.models")).alias("models"))
 

@@ -143,7 +143,7 @@ def chain_breaks(log: DataFrame) -> DataFrame:
     """Where a log read in order isn't a chain: registry, seq, gap (a sequence is missing before it), forged (prev isn't the hash before it).
 
     One entry per sequence is looked at, the first received."""
-    e = registry_entries(log).filter("seq is not null").withColumn("r", F.row_number().over(Window.partitionBy("log", "seq").orderBy(F.col("own").isNull(), F.col("received").asc_nulls_last(), "prev"))).filter("r = 1")
+    e = registry_entries(log).filter("seq is not null").withColumn("r", F.row_number().over(Window.partitionBy("log", "seq").orderBy(F.col("own").isNull(), F.col("received").asc_nulls_last(), "prev", "own"))).filter("r = 1")
     w = Window.partitionBy("log").orderBy("seq")
     e = e.select("log", "seq", "prev", F.lag("seq").over(w).alias("before"), F.lag("own").over(w).alias("expected"))
     gap = F.coalesce(F.col("seq") - F.col("before") != 1, F.col("seq") != 0)

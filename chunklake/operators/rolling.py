@@ -10,7 +10,9 @@ corrected day, and the version of a state is the highest version of the amounts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIODS = (7, 30)
@@ -80,17 +82,19 @@ def advance_day(state: DataFrame, amounts: DataFrame, entity: list[str], day: st
         *[F.sum(F.when(F.col("day") == F.date_add(d, -p), F.col("amount"))).alias(f"_out{p}") for p in periods],
     )
     s = state.select(*entity, *[f"total_{p}" for p in periods])
-    cond = None
-    for e in entity:
-        c = s[e].eqNullSafe(moved[e])
-        cond = c if cond is None else cond & c
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return s.join(moved, cond, "full").select(
-        *[F.coalesce(s[e], moved[e]).alias(e) for e in entity], d.alias("day"),
-        *[(z(s[f"total_{p}"]) + z(moved["_in"]) - z(moved[f"_out{p}"])).alias(f"total_{p}") for p in periods],
+    other = moved.select(*[F.col(e).alias(f"_of_{e}") for e in entity], "_in", *[f"_out{p}" for p in periods])
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return s.join(other, _same(entity), "full").select(
+        *[F.coalesce(e, f"_of_{e}").alias(e) for e in entity], d.alias("day"),
+        *[(z(f"total_{p}") + z("_in") - z(f"_out{p}")).alias(f"total_{p}") for p in periods],
     )
 
 
+def _same(entity: list[str]) -> Column:
+    """Equal entities, null being one of them."""
+    return reduce(lambda a, b: a & b, [F.col(e).eqNullSafe(F.col(f"_of_{e}")) for e in entity])
+
+
 def apply_corrections(state: DataFrame, corrections: DataFrame, entity: list[str], version: int, periods=PERIODS) -> DataFrame:
     """A stored state (entity, day, total_P, version) after corrections (entity, day, change) of past amounts.
 
@@ -102,11 +106,9 @@ def apply_corrections(state: DataFrame, corrections: DataFrame, entity: list[str
         .groupBy(*entity, F.expr("date_add(day, o)").alias("day"))
         .agg(*[F.sum(F.when(F.col("o") < p, F.col("c")).otherwise(0)).alias(f"_c{p}") for p in periods])
     )
-    cond = state["day"] == touched["day"]
-    for e in entity:
-        cond = cond & state[e].eqNullSafe(touched[e])
-    return state.join(touched, cond, "left").select(
-        *[state[e] for e in entity], state["day"],
-        *[(state[f"total_{p}"] + F.coalesce(touched[f"_c{p}"], F.lit(0))).alias(f"total_{p}") for p in periods],
-        F.when(touched["day"].isNotNull(), F.lit(version)).otherwise(state["version"]).alias("version"),
+    t = touched.select(*[F.col(e).alias(f"_of_{e}") for e in entity], F.col("day").alias("_on"), *[f"_c{p}" for p in periods])
+    old = state.select(*entity, "day", *[f"total_{p}" for p in periods], "version")
+    return old.join(t, _same(entity) & (F.col("day") == F.col("_on")), "left").select(
+        *entity, "day", *[(F.col(f"total_{p}") + F.coalesce(f"_c{p}", F.lit(0))).alias(f"total_{p}") for p in periods],
+        F.when(F.col("_on").isNotNull(), F.lit(version)).otherwise(F.col("version")).alias("version"),
     )

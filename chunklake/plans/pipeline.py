@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,11 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     root = folder.rstrip("/") + "/"
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     rel = F.expr(f"substring(path, instr(path, '{root}') + {len(root)})")
-    return f.select(rel.alias("path"), F.col("length").alias("size"), "content")
+    some = f.select(rel.alias("path"), F.col("length").alias("size"), "content")
+    # Spark's file scan leaves out empty files; the listing (names and sizes only, as Spark itself makes it) has them
+    files, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    empty = [(i.path[len(at.rstrip("/")) + 1 :], 0, b"") for i in files.get_file_info(fs.FileSelector(at, recursive=True)) if i.type == fs.FileType.File and i.size == 0]
+    return some.unionByName(spark.createDataFrame(empty, "path string, size long, content binary")) if empty else some
 
 
 def safe(files: DataFrame) -> tuple[DataFrame, DataFrame]:

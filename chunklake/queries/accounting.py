@@ -227,7 +227,7 @@ SQL = {
     "receipts_credit": _BASE + "SELECT fetcher, server, root, bytes, claimed, credited FROM cr WHERE credited > 0",
     "probes_accepted": _BASE + _walk(3600) + "SELECT probe_id, anchor, node, t FROM ap",
     "node_day": _DAYS + "SELECT * FROM days",
-    "node_register": _BASE + "SELECT node AS peer, min(t) AS registered, max(t) AS last_seen, 'node ' || right(node, 4) AS name, coalesce(arg_max(coalesce(root, 'none'), t), 'none') AS models FROM pr GROUP BY node",
+    "node_register": _BASE + "SELECT node AS peer, min(t) AS registered, max(t) AS last_seen, 'node ' || right(node, 4) AS name, arg_max(coalesce(root, 'none'), {'t': t, 'r': coalesce(root, 'none')}) AS models FROM pr GROUP BY node",
     "nodes_held": _DAYS + "SELECT * FROM hd",
     **{f"leaderboard_{m}": _board_sql(m) for m in A.METRICS},
     "node_history": _DAYS + "SELECT * FROM hist",

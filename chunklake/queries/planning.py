@@ -256,7 +256,7 @@ def model_names(spark, d):
 def params_per_dtype(spark, d):
     c = _chunks(spark, d).filter("dtype is not null")
     width = F.when(F.col("dtype") == "raw", 1).when(F.col("dtype").isin("bf16", "f16"), 2).when(F.col("dtype") == "f32", 4).otherwise(8)
-    return c.groupBy("dtype").agg(F.sum(F.expr("len") / width).cast("bigint").alias("elements"), F.sum("len").alias("bytes"))
+    return c.groupBy("dtype").agg(F.sum(F.floor(F.col("len") / width)).alias("elements"), F.sum("len").alias("bytes"))
 
 
 def exponent_histogram(spark, d):
@@ -393,7 +393,7 @@ UNION ALL SELECT k, 'bytes=10-' || k, CASE WHEN k >= 10 THEN 10 END, CASE WHEN k
 UNION ALL SELECT k, 'bytes=x', NULL, NULL FROM o""",
     "model_names": """WITH m AS (SELECT DISTINCT unnest([model, model || ':q4', 'hub.example/' || model]) AS ref FROM manifests WHERE model IS NOT NULL), s AS (SELECT ref, string_split(split_part(ref, ':', 1), '/') AS p FROM m)
 SELECT ref, CASE WHEN len(p) = 3 THEN p[1] ELSE 'registry.ollama.ai' END AS host, p[len(p) - 1] AS namespace, p[len(p)] AS model, CASE WHEN contains(ref, ':') THEN split_part(ref, ':', 2) ELSE 'latest' END AS tag FROM s""",
-    "params_per_dtype": _CH + "SELECT dtype, CAST(sum(len / CASE dtype WHEN 'raw' THEN 1 WHEN 'bf16' THEN 2 WHEN 'f16' THEN 2 WHEN 'f32' THEN 4 ELSE 8 END) AS BIGINT) AS elements, CAST(sum(len) AS BIGINT) AS bytes FROM ch WHERE dtype IS NOT NULL GROUP BY dtype",
+    "params_per_dtype": _CH + "SELECT dtype, CAST(sum(len // CASE dtype WHEN 'raw' THEN 1 WHEN 'bf16' THEN 2 WHEN 'f16' THEN 2 WHEN 'f32' THEN 4 ELSE 8 END) AS BIGINT) AS elements, CAST(sum(len) AS BIGINT) AS bytes FROM ch WHERE dtype IS NOT NULL GROUP BY dtype",
     "exponent_histogram": "SELECT CAST(('0b' || substr(CAST(CAST(x AS FLOAT)::BIT AS VARCHAR), 2, 8)) AS INTEGER) AS exponent, count(*) AS n FROM (SELECT unnest(embedding) AS x FROM embeddings) GROUP BY 1",
     "largest_chunks": _CH + "SELECT dtype, hash, len, CAST(row_number() OVER (PARTITION BY dtype ORDER BY len DESC, hash) AS INTEGER) AS rank FROM (SELECT dtype, hash, max(len) AS len FROM ch WHERE dtype IS NOT NULL AND hash IS NOT NULL GROUP BY ALL) QUALIFY rank <= 10",
 }

@@ -256,7 +256,7 @@ WITH e AS (
     CASE WHEN statement IS NOT NULL THEN sha256(concat_ws('|', CAST(seq AS VARCHAR), prev, statement.signature.sig)) END AS own, received
   FROM log WHERE seq IS NOT NULL
 ), one AS (
-  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY registry, seq ORDER BY own IS NULL, received NULLS LAST, prev NULLS FIRST) = 1
+  SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY registry, seq ORDER BY own IS NULL, received NULLS LAST, prev NULLS FIRST, own NULLS FIRST) = 1
 ), w AS (SELECT *, lag(seq) OVER (PARTITION BY registry ORDER BY seq) AS before, lag(own) OVER (PARTITION BY registry ORDER BY seq) AS expected FROM one)
 SELECT registry, seq, coalesce(seq - before <> 1, seq <> 0) AS gap, CASE WHEN before IS NULL THEN prev <> repeat('0', 64) ELSE coalesce(prev <> expected, true) END AS forged
 FROM w WHERE gap OR forged""",

@@ -56,15 +56,15 @@ _PHONES = [
     rf"555(?P<es>{S})\d{{3}}(?P=es)\d{{3}}",
     rf"555(?P<et>{S})\d\d(?P=et)\d\d(?P=et)\d\d",
 ]
-PHONE = [re.compile(rf"(?<![\w.+/:\-])(?<!\d[ ,]){p}(?![\w@]|[.\-/,:]\d)") for p in _PHONES]
+PHONE = re.compile(rf"(?=[\d+(])(?<![\w.+/:\-])(?<!\d[ ,])(?:{'|'.join(_PHONES)})(?![\w@]|[.\-/,:]\d)")
 #: a number without any mark of its own counts beside one of these words
 PHONE_WORD = re.compile(
     rf"(?i:\b(?:phone|mobile|tel|telefon|telefonisch unter|teléfono|telefone|tél|rückruf bitte an|rappelez le|llamad al|text me|call|number)\b|電話は)[.,:]?\s?\(?(?P<n>\d(?:{S}?\d){{7,11}})(?!\w)"
 )
 
 _IDENTITY = [
-    r"\d{3}([ \u00a0\-])\d\d\1\d{4}",
-    r"[A-CEGHJ-PR-TW-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]",
+    r"\d{3}(?P<ss>[ \u00a0\-])\d\d(?P=ss)\d{4}",
+    r"(?:QQ|[A-CEGHJ-PR-TW-Z]{2}) ?\d\d ?\d\d ?\d\d ?[A-D]",
     r"[A-Z]\d{8}",
     r"[A-Z]\d\d[A-Z]\d\d[A-Z]\d{3}",
     r"[XYZ][\-. ]?\d{7}[\-. ]?[A-Z]",
@@ -73,7 +73,7 @@ _IDENTITY = [
     r"\d ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3} ?\d\d",
     r"\d\d \d{3} \d{3} \d{3}",
 ]
-IDENTITY = [re.compile(rf"(?<![\w.+\-/@=]){p}(?![\w=]|[.\-/]\w)") for p in _IDENTITY]
+IDENTITY = re.compile(rf"(?=[\dA-Z])(?<![\w.+\-/@=])(?:{'|'.join(_IDENTITY)})(?![\w=]|[.\-/]\w)")
 IDENTITY_WORD = re.compile(
     r"(?i:\b(?:social security number is|national insurance:|passport no\.?|id_no=|tax_id:|ID|ausweisnummer|steuer-id lautet|dni es|sécurité sociale est le|número fiscal é)|身分証番号は)\s?(?P<n>[A-Z0-9](?:[ .\-]?[A-Z0-9]){6,19})(?!\w)"
 )
@@ -96,8 +96,8 @@ _WORD = rf"[{U}][{L}’']*(?:-[{U}][{L}’']*)*"
 _INITIAL = rf"[{U}]\."
 _PARTICLE = r"(?:van der|van den|van|von der|von|de la|del|de|du|af|zu|di|da|dos)"
 _GAP = r"[ \u00a0\u3000\u202f]{1,3}"
-#: a personal name as written with capitals: given names, initials, particles, family name
-NAME = rf"(?:{_INITIAL}|{_WORD})(?:{_GAP}(?:{_PARTICLE}{_GAP})?(?:{_INITIAL}|{_WORD})){{0,3}}"
+#: a personal name as written with capitals: given name, initials, particle, family name
+NAME = rf"(?:{_INITIAL}|{_WORD})(?:{_GAP}{_INITIAL}){{0,2}}(?:{_GAP}(?:{_PARTICLE}{_GAP})?{_WORD})?"
 #: a name written in any letters, between one and four words
 _ANY = rf"(?:[{L}]\.|[{L}][{L}’'\-]*)"
 ANY = rf"{_ANY}(?:{_GAP}{_ANY}){{0,4}}"
@@ -106,39 +106,39 @@ SMALL = rf"[a-zà-öø-ÿ][a-zà-öø-ÿ’'\-]+{_GAP}(?:{_PARTICLE}{_GAP})?[a-z
 TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Mme|M|Prof|Herr|Frau|Señora|Señor|Sra|Sr)\b\.?[ \u00a0]+)*"
 _DAY = r"(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}|\d{1,2} [A-Z][a-zé]{2,3}\.? \d{4})"
 
-#: places where a name stands; n (and o) are the names
+#: places where a name stands, by words one of which must be in the text; n (and o) are the names
 PLACES = [
-    re.compile(p, f)
-    for p, f in [
-        (rf"\b(?:From|Signed-off-by|Reviewed-by|Reply-To|Sender): ?{TITLE}(?P<n>{ANY}) ?<", 0),
-        (rf"\b(?:reported-by|tested-by|acked-by): ?{TITLE}(?P<n>{ANY}), verified on", re.I),
-        (rf"\bcc: ?(?P<n>{ANY}, ?{ANY}) ?;", re.I),
-        (rf"\bshould go to {TITLE}(?P<n>{ANY}) \(", 0),
-        (rf'"(?:contact|name|owner|author)": ?"{TITLE}(?P<n>{ANY})"', 0),
-        (rf"\bfull_name: ?{TITLE}(?P<n>{ANY}(?:, ?{ANY})?)(?=\s|$)", 0),
-        (rf"\bname={TITLE}(?P<n>{ANY}) id_no=", 0),
-        (rf"\bNode operator is {TITLE}(?P<n>{ANY}), born", 0),
-        (rf"\b(?:request from|Antrag von|demande de) {TITLE}(?P<n>{ANY}), passport", re.I),
-        (rf"\bThanks to {TITLE}(?P<n>{ANY}) and {TITLE}(?P<o>{ANY}) for packing", 0),
-        (rf"\bask for {TITLE}(?P<n>{NAME})", 0),
-        (rf"\bkey is with {TITLE}(?P<n>{ANY})(?=[.,]|$)", 0),
-        (rf"\b(?:drive to|disco a|Platte an|disque à|Enviar para) {TITLE}(?P<n>{ANY}), ", 0),
-        (rf"\b(?:Signalé par|Gemeldet von|Avisó) {TITLE}(?P<n>{ANY}) (?:le|am|el) {_DAY}", 0),
-        (rf"(?:^|(?<=[\n.!?>:|)\]] )|(?<=\n)|(?<=> )|(?<=  )){TITLE}(?P<n>{NAME}|{SMALL}) wrote on {_DAY}", 0),
-        (rf"\bHi {TITLE}(?P<n>{NAME}), the receipts", 0),
-        (rf"\bBonjour {TITLE}(?P<n>{NAME}), vos", 0),
-        (rf"\bHola, {TITLE}(?P<n>{NAME}): los", 0),
-        (rf"\bHallo {TITLE}(?P<n>{NAME}), die", 0),
-        (rf"\b(?:Mme|M\.|Monsieur|Madame)[ \u00a0](?P<n>{NAME}) garde", 0),
-        (rf"\b(?:La señora|El señor|Doña|Don)[ \u00a0](?P<n>{NAME}) tiene", 0),
-        (rf"\b(?:Frau|Herr)[ \u00a0](?P<n>{NAME}) hat\b", 0),
-        (rf"\b(?:Mrs|Mr|Ms|Dr)\.?[ \u00a0](?P<n>{NAME})(?=[ ,.;:])", 0),
-        (rf"\b(?:Mit Gruß|Viele Grüße|Gruß|Un saludo|Saludos|Cordialement|Bien à vous|Obrigado|Obrigada|Best regards|Kind regards|Regards|Best|Cheers|Thanks|Yours),?(?: |\s*\n\s*){TITLE}(?P<n>{NAME}|{SMALL})", 0),
-        (rf"(?:^|(?<=[\n ]))— ?{TITLE}(?P<n>{ANY})(?=\s*\n|\s*$)", 0),
-        (rf"(?:^|(?<=[\n ]))— ?{TITLE}(?P<n>{NAME}|{SMALL})", 0),
-        (rf"\b(?:Ship to|Envoyer à|Versand an|Enviar a)\s*\n\s*{TITLE}(?P<n>{ANY}) *\r?\n", 0),
-        (rf"(?:^|(?<=\n)|(?<= ))[ >]*\| *(?P<n>{ANY}) *\| *(?:Flat \d|\d{{1,4}}|{_CAPS})[^|\n]*(?:\n[^|\n]*)?\| *{_DAY} *\|", 0),
-        (rf"(?:^|(?<=[\n ]))(?P<n>{ANY});(?=[A-Z0-9][A-Z0-9 .\-]{{5,21}};)", 0),
+    (tuple(words.strip().split("|")) if words.strip() != "|" else ("|",), re.compile(p, f))
+    for words, p, f in [
+        ("From|Signed-off-by|Reviewed-by|Reply-To|Sender", rf"\b(?:From|Signed-off-by|Reviewed-by|Reply-To|Sender): ?{TITLE}(?P<n>{ANY}) ?<", 0),
+        ("verified on|Verified on|VERIFIED ON", rf"\b(?:reported-by|tested-by|acked-by): ?{TITLE}(?P<n>{ANY}), verified on", re.I),
+        ("cc:|Cc:|CC:", rf"\bcc: ?(?P<n>{ANY}, ?{ANY}) ?;", re.I),
+        ("should go to", rf"\bshould go to {TITLE}(?P<n>{ANY}) \(", 0),
+        ('"contact|"name|"owner|"author', rf'"(?:contact|name|owner|author)": ?"{TITLE}(?P<n>{ANY})"', 0),
+        ("full_name:", rf"\bfull_name: ?{TITLE}(?P<n>{ANY}(?:, ?{ANY})?)(?=\s|$)", 0),
+        ("name=", rf"\bname={TITLE}(?P<n>{ANY}) id_no=", 0),
+        ("Node operator is", rf"\bNode operator is {TITLE}(?P<n>{ANY}), born", 0),
+        ("passport|Passport", rf"\b(?:request from|Antrag von|demande de) {TITLE}(?P<n>{ANY}), passport", re.I),
+        ("for packing", rf"\bThanks to {TITLE}(?P<n>{ANY}) and {TITLE}(?P<o>{ANY}) for packing", 0),
+        ("ask for", rf"\bask for {TITLE}(?P<n>{NAME})", 0),
+        ("key is with", rf"\bkey is with {TITLE}(?P<n>{ANY})(?=[.,]|$)", 0),
+        ("drive to|disco a|Platte an|disque à|Enviar para", rf"\b(?:drive to|disco a|Platte an|disque à|Enviar para) {TITLE}(?P<n>{ANY}), ", 0),
+        ("Signalé par|Gemeldet von|Avisó", rf"\b(?:Signalé par|Gemeldet von|Avisó) {TITLE}(?P<n>{ANY}) (?:le|am|el) {_DAY}", 0),
+        ("wrote on", rf"(?:^|(?<=[\n.!?>:|)\]] )|(?<=\n)|(?<=> )|(?<=  )){TITLE}(?P<n>{NAME}|{SMALL}) wrote on {_DAY}", 0),
+        ("the receipts", rf"\bHi {TITLE}(?P<n>{NAME}), the receipts", 0),
+        ("Bonjour", rf"\bBonjour {TITLE}(?P<n>{NAME}), vos", 0),
+        ("Hola,", rf"\bHola, {TITLE}(?P<n>{NAME}): los", 0),
+        ("Hallo", rf"\bHallo {TITLE}(?P<n>{NAME}), die", 0),
+        ("garde", rf"\b(?:Mme|M\.|Monsieur|Madame)[ \u00a0](?P<n>{NAME}) garde", 0),
+        ("tiene", rf"\b(?:La señora|El señor|Doña|Don)[ \u00a0](?P<n>{NAME}) tiene", 0),
+        (" hat", rf"\b(?:Frau|Herr)[ \u00a0](?P<n>{NAME}) hat\b", 0),
+        ("Mrs|Mr|Ms|Dr", rf"\b(?:Mrs|Mr|Ms|Dr)\.?[ \u00a0](?P<n>{NAME})(?=[ ,.;:])", 0),
+        ("Gruß|Grüße|aludo|Cordialement|Bien à vous|Obrigad|egards|Best|Cheers|Thanks|Yours", rf"\b(?:Mit Gruß|Viele Grüße|Gruß|Un saludo|Saludos|Cordialement|Bien à vous|Obrigado|Obrigada|Best regards|Kind regards|Regards|Best|Cheers|Thanks|Yours),?(?: |\s*\n\s*){TITLE}(?P<n>{NAME}|{SMALL})", 0),
+        ("—", rf"(?:^|(?<=[\n ]))— ?{TITLE}(?P<n>{ANY})(?=\s*\n|\s*$)", 0),
+        ("—", rf"(?:^|(?<=[\n ]))— ?{TITLE}(?P<n>{NAME}|{SMALL})", 0),
+        ("Ship to|Envoyer à|Versand an|Enviar a", rf"\b(?:Ship to|Envoyer à|Versand an|Enviar a)\s*\n\s*{TITLE}(?P<n>{ANY}) *\r?\n", 0),
+        ("| ", rf"(?:^|(?<=\n)|(?<= ))[ >]*\| *(?P<n>{ANY}) *\| *(?:Flat \d|\d{{1,4}}|{_CAPS})[^|\n]*(?:\n[^|\n]*)?\| *{_DAY} *\|", 0),
+        (";", rf"(?:^|(?<=[\n ]))(?P<n>{ANY});(?=[A-Z0-9][A-Z0-9 .\-]{{5,21}};)", 0),
     ]
 ]
 
@@ -184,7 +184,9 @@ _LINE = re.compile(rf"(?:^|(?<=\n))[ \t>]*(?P<n>{_WORD}(?:{_GAP}{_INITIAL})?)[ \
 
 
 def _names(text: str, names: Names) -> Iterator[tuple[int, int]]:
-    for p in PLACES:
+    for literals, p in PLACES:
+        if not any(w in text for w in literals):
+            continue
         for m in p.finditer(text):
             for g in ("n", "o") if "o" in p.groupindex else ("n",):
                 a, b = m.span(g)
@@ -226,8 +228,8 @@ def find(text: str | None, names: Names) -> list[Find]:
     add("email", (m.span() for m in MAIL.finditer(text)))
     if digits:
         add("identity", [m.span("n") for p in (IDENTITY_WORD, IDENTITY_FIELD) for m in p.finditer(text) if sum(c.isdigit() for c in m["n"]) >= 6])
-        add("phone", [m.span() for p in PHONE for m in p.finditer(text)] + [m.span("n") for m in PHONE_WORD.finditer(text)])
-        add("identity", (m.span() for p in IDENTITY for m in p.finditer(text)))
+        add("phone", [m.span() for m in PHONE.finditer(text)] + [m.span("n") for m in PHONE_WORD.finditer(text)])
+        add("identity", (m.span() for m in IDENTITY.finditer(text)))
         add("address", (m.span() for p in ADDRESS for m in p.finditer(text)))
     barred = [m.span() for m in NOT_NAMES.finditer(text)]
     add("name", [(a, b) for a, b in _names(text, names) if all(b <= x or a >= y for x, y in barred)])

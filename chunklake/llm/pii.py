@@ -52,12 +52,11 @@ _PHONES = [
     # France: five pairs of digits
     rf"0[1-9](?P<fr>{S})\d\d(?P=fr)\d\d(?P=fr)\d\d(?P=fr)\d\d",
     r"0[67]\d{8}",
-    # Spain and Portugal: nine digits in threes
-    rf"555(?P<es>{S})\d{{3}}(?P=es)\d{{3}}",
-    rf"555(?P<et>{S})\d\d(?P=et)\d\d(?P=et)\d\d",
 ]
-PHONE = re.compile(rf"(?=[\d+(])(?<![\w.+/:\-])(?<!\d[ ,])(?:{'|'.join(_PHONES)})(?![\w@]|[.\-/,:]\d)")
-#: a number without any mark of its own counts beside one of these words
+PHONE = re.compile(rf"(?=[\d+(])(?<![\w.+/:\-])(?<!\d[ ,\u00a0\u202f])(?:{'|'.join(_PHONES)})(?![\w@]|[.\-/,:]\d)")
+#: a number without any mark of its own (as nine digits of Spain and Portugal) counts beside one of these words, or as the
+#: third field of a line
+PHONE_FIELD = re.compile(rf";[A-Z0-9 .\-]{{6,22}};(?P<n>\(?\d(?:{S}?\d){{7,11}})(?=;)")
 PHONE_WORD = re.compile(
     rf"(?i:\b(?:phone|mobile|tel|telefon|telefonisch unter|teléfono|telefone|tél|rückruf bitte an|rappelez le|llamad al|text me|call|number)\b|電話は)[.,:]?\s?\(?(?P<n>\d(?:{S}?\d){{7,11}})(?!\w)"
 )
@@ -124,7 +123,7 @@ PLACES = [
         ("key is with", rf"\bkey is with {TITLE}(?P<n>{ANY})(?=[.,]|$)", 0),
         ("drive to|disco a|Platte an|disque à|Enviar para", rf"\b(?:drive to|disco a|Platte an|disque à|Enviar para) {TITLE}(?P<n>{ANY}), ", 0),
         ("Signalé par|Gemeldet von|Avisó", rf"\b(?:Signalé par|Gemeldet von|Avisó) {TITLE}(?P<n>{ANY}) (?:le|am|el) {_DAY}", 0),
-        ("wrote on", rf"(?:^|(?<=[\n.!?>:|)\]] )|(?<=\n)|(?<=> )|(?<=  )){TITLE}(?P<n>{NAME}|{SMALL}) wrote on {_DAY}", 0),
+        ("wrote on", rf"(?:^|(?<=\s)){TITLE}(?P<n>{NAME}|{SMALL}) wrote on {_DAY}", 0),
         ("the receipts", rf"\bHi {TITLE}(?P<n>{NAME}), the receipts", 0),
         ("Bonjour", rf"\bBonjour {TITLE}(?P<n>{NAME}), vos", 0),
         ("Hola,", rf"\bHola, {TITLE}(?P<n>{NAME}): los", 0),
@@ -228,7 +227,7 @@ def find(text: str | None, names: Names) -> list[Find]:
     add("email", (m.span() for m in MAIL.finditer(text)))
     if digits:
         add("identity", [m.span("n") for p in (IDENTITY_WORD, IDENTITY_FIELD) for m in p.finditer(text) if sum(c.isdigit() for c in m["n"]) >= 6])
-        add("phone", [m.span() for m in PHONE.finditer(text)] + [m.span("n") for m in PHONE_WORD.finditer(text)])
+        add("phone", [m.span() for m in PHONE.finditer(text)] + [m.span("n") for p in (PHONE_WORD, PHONE_FIELD) for m in p.finditer(text)])
         add("identity", (m.span() for m in IDENTITY.finditer(text)))
         add("address", (m.span() for p in ADDRESS for m in p.finditer(text)))
     barred = [m.span() for m in NOT_NAMES.finditer(text)]

@@ -88,6 +88,8 @@ def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     it, these again, until one block is left; then the best path is traced back down. So no task ever holds more than one
     block. Equal lengths: the chain with the smallest last hash. Entries with null fields are on no chain; repeated ones count once."""
     base = entries.select("log", "seq", "prev", "own").filter("log is not null and seq >= 0 and prev is not null and own is not null").distinct()
+    # hashed and made distinct once: it is read to size the blocks, on the way up and on the way down
+    base = written(base, "entries")
     # a chain of n entries ends at seq n-1, so seqs beyond a log's count can't be on it
     bound = base.groupBy("log").count().agg(F.max("count")).first()[0]
     if not bound:
@@ -190,7 +192,9 @@ def registry_changes(log: DataFrame) -> DataFrame:
     first = lambda by, o: F.row_number().over(Window.partitionBy(*by).orderBy(*o))
     s = s.withColumn("r", first(["log", "seq"], [F.col("received").asc_nulls_last()])).filter("r = 1")
     s = s.withColumn("r", first(["log", "statement.signature.sig"], ["seq"])).filter("r = 1")
-    c = s.select("log", "seq", "statement.claim.*", F.col("statement.signature.key").alias("signer"))
+    used = ["kind", "name", "rev", "root", "gated", "org", "key", "hash", "repo"]
+    c = s.select("log", "seq", *[f"statement.claim.{x}" for x in used], F.col("statement.signature.key").alias("signer"))
+    c = written(c, "claims")  # each kind of statement is read from it below
     org = F.substring_index("name", "/", 1)
     firsts = c.filter("kind = 'publish' and name is not null").groupBy("log", org.alias("org_of")).agg(F.min_by(F.struct("seq", "signer"), "seq").alias("f"))
 

@@ -11,45 +11,54 @@ from chunklake.functions.codec import WIDTHS
 
 #: Least, usual and largest size of a chunk.
 LEAST, USUAL, MOST = 16 * 1024, 64 * 1024, 256 * 1024
-WINDOW = 64
+WINDOW = 32
+BLOCK = 1 << 17
 
 
 @lru_cache
 def gear() -> np.ndarray:
-    """256 pseudo-random words, made from a rule: the first 8 bytes of MD5 of 64 times the byte."""
-    return np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:8], "big") for i in range(256)], np.uint64)
+    """256 pseudo-random words of 32 bits, made from a rule: the first 4 bytes of MD5 of 64 times the byte."""
+    return np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:4], "big") for i in range(256)], np.uint32)
 
 
 @lru_cache
 def masks(usual: int = USUAL) -> tuple[int, int]:
-    """A strict mask (before the usual size) with one bit more and a lax one with one bit less, spread over the upper bits."""
+    """A strict mask (before the usual size) with one bit more than its logarithm, and a lax one with one bit less, both of the
+    highest bits: these depend on all 32 bytes of the window."""
     bits = usual.bit_length() - 1
-
-    def spread(n: int) -> int:
-        return sum(1 << (63 - (k * 48) // n) for k in range(n))
-
-    return spread(bits + 1), spread(bits - 1)
+    return tuple((1 << n) - 1 << (32 - n) for n in (bits + 1, bits - 1))
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash over the last 64 bytes at each position: h = (h << 1) + gear[byte], by doubling the window six times."""
+    """The gear hash over the last 32 bytes at each position: h = (h << 1) + gear[byte], by doubling the window five times."""
     h = gear()[data]
     step = 1
     while step < WINDOW:
-        h[step:] = h[step:] + (h[:-step] << np.uint64(step))
+        h[step:] += h[:-step] << np.uint32(step)
         step *= 2
     return h
 
 
+def candidates(data: np.ndarray, lax: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions after which the lax mask is met, their hashes), block by block so that the work stays in the cache."""
+    at, hashes = [], []
+    for i in range(0, len(data), BLOCK):
+        lead = min(i, WINDOW - 1)
+        h = rolling(data[i - lead : i + BLOCK])[lead:]
+        hit = np.flatnonzero((h & np.uint32(lax)) == 0)
+        at.append(hit + (i + 1))
+        hashes.append(h[hit])
+    return np.concatenate(at), np.concatenate(hashes)
+
+
 def cuts(data: bytes, least: int = LEAST, usual: int = USUAL, most: int = MOST) -> list[int]:
     """Ends of the chunks of data: at the first position past `least` where the hash meets the strict mask, past `usual` the lax one, at `most` at the latest."""
     n = len(data)
     if n <= least:
         return [n] if n else []
     strict, lax = masks(usual)
-    h = rolling(np.frombuffer(data, np.uint8))
-    at_strict = np.flatnonzero((h & np.uint64(strict)) == 0) + 1
-    at_lax = np.flatnonzero((h & np.uint64(lax)) == 0) + 1
+    at_lax, hashes = candidates(np.frombuffer(data, np.uint8), lax)
+    at_strict = at_lax[(hashes & np.uint32(strict)) == 0]  # the strict mask holds the lax one
     out, start = [], 0
     while n - start > least:
         end = min(start + most, n)

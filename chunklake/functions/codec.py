@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from functools import lru_cache
 
 import numpy as np
 import zstandard
@@ -60,17 +61,28 @@ def join_exponent(planes: bytes, width: int) -> bytes:
     return out.tobytes() + planes[n * width :]
 
 
+@lru_cache
+def _compressor() -> zstandard.ZstdCompressor:
+    """One per process: a worker runs one thread, and making a context costs more than a small chunk."""
+    return zstandard.ZstdCompressor(level=LEVEL)
+
+
+@lru_cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def _frames(planes: bytes, width: int) -> bytes:
     """Each plane as its own frame with a little-endian length before it; the tail belongs to the last plane."""
     n = len(planes) // width
     cuts = [k * n for k in range(width)] + [len(planes)]
-    c = zstandard.ZstdCompressor(level=LEVEL)
+    c = _compressor()
     return b"".join(struct.pack("<I", len(f)) + f for f in (c.compress(planes[a:b]) for a, b in zip(cuts, cuts[1:])))
 
 
 def encode(raw: bytes, dtype: str, plane_frames: bool = False) -> bytes:
     """[version][codec][param][payload]: the smallest of the codecs that suit the type; of equal ones the plainer."""
-    width, c = WIDTHS[dtype], zstandard.ZstdCompressor(level=LEVEL)
+    width, c = WIDTHS[dtype], _compressor()
     options = [(STORED, 0, raw), (ZSTD, 0, c.compress(raw))]
     planes, codec, param = None, None, width
     if dtype in FLOAT_KINDS:
@@ -87,7 +99,7 @@ def encode(raw: bytes, dtype: str, plane_frames: bool = False) -> bytes:
 
 def _expand(frame: bytes, size: int) -> bytes:
     try:
-        out = zstandard.ZstdDecompressor().decompress(frame, max_output_size=max(size, 1), allow_extra_data=False)
+        out = _decompressor().decompress(frame, max_output_size=max(size, 1), allow_extra_data=False)
     except zstandard.ZstdError as e:
         raise BlobError(str(e)) from e
     if len(out) != size:

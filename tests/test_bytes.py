@@ -66,9 +66,14 @@ def test_rolling_hash_is_the_serial_one():
     data = os.urandom(3000)
     h, out = 0, []
     for b in data:
-        h = ((h << 1) + int(chunker.gear()[b])) & (1 << 64) - 1
+        h = ((h << 1) + int(chunker.gear()[b])) & (1 << 32) - 1
         out.append(h)
     assert chunker.rolling(np.frombuffer(data, np.uint8)).tolist() == out
+    data = os.urandom(3 * chunker.BLOCK + 77)
+    whole = chunker.rolling(np.frombuffer(data, np.uint8))
+    lax = chunker.masks()[1]
+    at, hashes = chunker.candidates(np.frombuffer(data, np.uint8), lax)
+    assert at.tolist() == (np.flatnonzero((whole & np.uint32(lax)) == 0) + 1).tolist() and (hashes == whole[at - 1]).all()
 
 
 def test_published_hashes():

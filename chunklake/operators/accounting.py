@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunklake.common import epoch_day
+from chunklake.common import epoch_day, global_rank
 
 #: Windows, gaps and limits of the accounting.
 RECENT_DAYS, HISTORY_DAYS, HELD_DAYS, LOOKUP_SECS, SKEW, PROBE_GAP, POSTS_PER_HOUR, MAX_MODELS = 30, 90, 7, 86400, 600, 60, 10, 500
@@ -30,7 +30,7 @@ def downloads_of(days: DataFrame, today: int) -> DataFrame:
 
 
 def download_totals(days: DataFrame) -> DataFrame:
-    """day_no, downloads over all names, and the running total."""
+    """day_no, downloads over all names, and the running total; the unpartitioned window holds one row per day."""
     d = days.groupBy("day_no").agg(F.sum("downloads").alias("downloads"))
     return d.withColumn("total", F.sum("downloads").over(Window.orderBy("day_no").rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -144,7 +144,7 @@ def leaderboard(nodes: DataFrame, days: DataFrame, held_: DataFrame, metric: str
     )
     first, second = METRICS[metric]
     order = [F.desc(F.coalesce(F.col(c).cast("double"), F.lit(-1.0))) for c in (first, second)]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order, "peer")))
+    return global_rank(rows, [*order, F.asc("peer")])
 
 
 def history(nodes: DataFrame, days: DataFrame, at: int, signed: DataFrame | None = None) -> DataFrame:

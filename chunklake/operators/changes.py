@@ -120,13 +120,13 @@ def _partial(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str]
     done: list[dict] = []
 
     def fold(s: dict, r: dict) -> None:
-        for f in ("put", "cut"):
+        for f in ("_put", "_cut"):
             if r[f] is not None and (s[f] is None or r[f] > s[f]):
                 s[f] = r[f]
         for c in cols:
-            q = r[f"{c}_at"]
-            if q is not None and (s[f"{c}_at"] is None or q > s[f"{c}_at"]):  # an already applied sequence changes nothing
-                s[f"{c}_at"], s[c] = q, r[c]
+            q = r[f"_at_{c}"]
+            if q is not None and (s[f"_at_{c}"] is None or q > s[f"_at_{c}"]):  # an already applied sequence changes nothing
+                s[f"_at_{c}"], s[c] = q, r[c]
 
     for b in batches:
         for r in b.to_pylist():
@@ -159,19 +159,19 @@ def replay(changes: DataFrame, keys: list[str], seq: str, op: str, cols: list[st
     good = changes.filter(F.col(seq).isNotNull() & F.col(op).isin("upsert", "delete"))
     up = F.col(op) == "upsert"
     pieces = good.select(
-        *keys, F.col(seq).cast("bigint").alias("seq_"),
-        F.when(up, F.col(seq)).cast("bigint").alias("put"), F.when(~up, F.col(seq)).cast("bigint").alias("cut"),
-        *[x for c in cols for x in (F.when(up, F.col(c)).alias(c), F.when(up & F.col(c).isNotNull(), F.col(seq)).cast("bigint").alias(f"{c}_at"))],
-    ).sortWithinPartitions(*keys, "seq_", *[F.desc_nulls_last(c) for c in cols]).drop("seq_")
+        *keys, F.col(seq).cast("bigint").alias("_seq"),
+        F.when(up, F.col(seq)).cast("bigint").alias("_put"), F.when(~up, F.col(seq)).cast("bigint").alias("_cut"),
+        *[x for c in cols for x in (F.when(up, F.col(c)).alias(c), F.when(up & F.col(c).isNotNull(), F.col(seq)).cast("bigint").alias(f"_at_{c}"))],
+    ).sortWithinPartitions(*keys, "_seq", *[F.desc_nulls_last(c) for c in cols]).drop("_seq")
     shape = T.StructType([T.StructField(c, types.get(c, T.LongType())) for c in pieces.columns])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(shape)
     one = lambda it: _partial(it, keys, cols, arrow)
     part = pieces.mapInArrow(one, schema=shape)
-    whole = part.repartition(*keys).sortWithinPartitions(*keys, F.coalesce("put", "cut")).mapInArrow(one, schema=shape)
-    alive = whole.filter("put is not null and (cut is null or put > cut)")
-    return alive.select(*keys, *[F.when(F.col("cut").isNull() | (F.col(f"{c}_at") > F.col("cut")), F.col(c)).alias(c) for c in cols])
+    whole = part.repartition(*keys).sortWithinPartitions(*keys, F.coalesce("_put", "_cut")).mapInArrow(one, schema=shape)
+    alive = whole.filter("_put is not null and (_cut is null or _put > _cut)")
+    return alive.select(*keys, *[F.when(F.col("_cut").isNull() | (F.col(f"_at_{c}") > F.col("_cut")), F.col(c)).alias(c) for c in cols])
 
 
 def registry_entries(log: DataFrame) -> DataFrame:

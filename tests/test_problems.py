@@ -209,6 +209,8 @@ def test_replay_random(spark):
     got = {r["k"]: (r["a"], r["b"]) for r in changes.replay(df, ["k"], "seq", "op", ["a", "b"]).collect()}
     assert got == brute_replay(rows)
     assert changes.replay(df.limit(0), ["k"], "seq", "op", ["a", "b"]).count() == 0
+    clash = df.selectExpr("k as put", "seq", "op", "a as cut", "b as a_at", "'x' as _more")
+    assert {r["put"]: (r["cut"], r["a_at"]) for r in changes.replay(clash, ["put"], "seq", "op", ["cut", "a_at"]).collect()} == brute_replay(rows)
 
 
 def test_registry_state_rules(spark):

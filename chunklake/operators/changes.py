@@ -80,6 +80,17 @@ def _block_picks(t: pa.Table) -> pa.Table:
     return pa.table({c: [True if c == "pick" else r[c] for r in keep] for c in _ARROW.names}, schema=_ARROW)
 
 
+def _plausible(base: DataFrame) -> DataFrame:
+    """Entries that can be on a longest chain: those whose predecessor is there; of several that follow the same one and that nothing follows,
+    only the one with the smallest hash. So no flood of forged entries at one position gathers in a block."""
+    parents = base.select("log", (F.col("seq") + 1).alias("seq"), F.col("own").alias("prev"))
+    children = base.select("log", (F.col("seq") - 1).alias("seq"), F.col("prev").alias("own")).distinct().withColumn("_followed", F.lit(True))
+    known = base.filter("seq = 0").unionByName(base.filter("seq > 0").join(parents, ["log", "seq", "prev"], "left_semi").select(base.columns))
+    e = known.join(children, ["log", "seq", "own"], "left")
+    ends = e.filter("_followed is null").groupBy("log", "seq", "prev").agg(F.min("own").alias("own"))
+    return e.filter("_followed").select("log", "seq", "prev", "own").unionByName(ends.select("log", "seq", "prev", "own"))
+
+
 def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The (log, seq, own) of the longest chain of each log from seq 0 on.
 
@@ -94,7 +105,8 @@ def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     bound = base.groupBy("log").count().agg(F.max("count")).first()[0]
     if not bound:
         return entries.select("log", "seq", "own").limit(0)
-    base = base.filter((F.col("seq") < bound) & ((F.col("seq") > 0) | (F.col("prev") == GENESIS)))
+    base = _plausible(base.filter((F.col("seq") < bound) & ((F.col("seq") > 0) | (F.col("prev") == GENESIS))))
+    base = written(base, "linked")
     levels = [
         base.select("log", F.col("seq").alias("pos"), F.col("prev").alias("came"), F.col("own").alias("went"), F.col("seq").alias("tail"), F.col("own").alias("tip"), F.lit(True).alias("whole"), F.lit(False).alias("pick"))
     ]
@@ -125,7 +137,9 @@ def _partial(batches: Iterator[pa.RecordBatch], keys: list[str], cols: list[str]
                 s[f] = r[f]
         for c in cols:
             q = r[f"_at_{c}"]
-            if q is not None and (s[f"_at_{c}"] is None or q > s[f"_at_{c}"]):  # an already applied sequence changes nothing
+            at = s[f"_at_{c}"]
+            # an already applied sequence changes nothing; of two values of one sequence the larger stays
+            if q is not None and (at is None or q > at or q == at and r[c] > s[c]):
                 s[f"_at_{c}"], s[c] = q, r[c]
 
     for b in batches:

@@ -179,7 +179,8 @@ def test_longest_chain(spark, fanout):
     tail = make_chain(3, 24, main[23][3], "t")  # leaves it at 24 and reaches further
     loose = make_chain(40, 30, "a" * 64, "l")
     false_start = make_chain(2, 0, "b" * 64, "x")
-    rows = main + fork + tail + loose + false_start + main[:5] + [("r", None, "x", "y"), ("r", 3, None, "y"), (None, 0, changes.GENESIS, "y"), ("q", 10**15, "x", "y")]
+    flood = [("r", 5, main[4][3], f"{i:064x}") for i in range(300)] + [("r", 24, main[23][3], "f" * 64)]
+    rows = flood + main + fork + tail + loose + false_start + main[:5] + [("r", None, "x", "y"), ("r", 3, None, "y"), (None, 0, changes.GENESIS, "y"), ("q", 10**15, "x", "y")]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "log string, seq long, prev string, own string")
     got = sorted((r["seq"], r["own"]) for r in changes.longest_chain(df, fanout).collect())

@@ -123,14 +123,16 @@ def _pack(folder_uri: str, groups: int):
 
 
 def live_records(blobs: DataFrame) -> DataFrame:
-    """One record per hash that has a payload and isn't removed: the last written one; ties: smallest file, then the version, codec and bytes.
+    """One record per hash that has a payload and isn't removed: the last written one of those that tell raw_len, else the last written one;
+    ties: smallest file, then version, codec and bytes.
 
-    Null and blank hashes name no record. raw_len is the largest of the hash's live rows, so a null in one row is filled from others."""
+    Null and blank hashes name no record. Only the first row of each hash is asked for, so each partition sends one row of a hash on:
+    copies of one record, however many, are no hot group."""
     live = blobs.filter("payload is not null and removed is null").select(
         key("hash").alias("hash"), "file_id", "raw_len", "version", "codec", "param", "payload", F.expr(micros("written")).alias("written")
     ).filter("hash is not null")
-    w = Window.partitionBy("hash").orderBy(F.desc_nulls_last("written"), "file_id", "version", "codec", "param", "payload")
-    return live.withColumn("raw_len", F.max("raw_len").over(Window.partitionBy("hash"))).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
+    w = Window.partitionBy("hash").orderBy(F.col("raw_len").isNull(), F.desc_nulls_last("written"), "file_id", "version", "codec", "param", "payload")
+    return live.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
 
 
 def compact(blobs: DataFrame, folder: str | None = None, target: int = TARGET, groups: int = GROUPS) -> str:

@@ -30,6 +30,10 @@ def find_orphans(refs: DataFrame, parents: DataFrame, salts: int = 32) -> DataFr
     # clashing names stay apart: every other column of the reference travels in one struct
     refs = refs.filter("key is not null").select("kind", "key", "at", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"))
     parents = parents.filter("key is not null and since is not null").select("kind", "key", "since", "until")
+    # of a key's open parents only the first start and the last one matter; both are partial aggregates, so a parent recorded over and over is no hot key
+    still = parents.filter("until is null").groupBy("kind", "key").agg(F.min("since").alias("since"), F.max("since").alias("last"))
+    closed = parents.filter("until is not null").distinct()
+    parents = still.select("kind", "key", "since", F.lit(None).cast("bigint").alias("until"), "last").unionByName(closed.withColumn("last", F.col("since")))
     hot = F.broadcast(hot_keys(refs, ["kind", "key"]).withColumn("hot", F.lit(True)))  # at most 512 rows
     left = (
         refs.join(hot, ["kind", "key"], "left")
@@ -48,7 +52,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, salts: int = 32) -> DataFr
         parents.join(hot, ["kind", "key"], "left")
         .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
         .withColumn("m", F.explode(F.filter(marks, lambda m: m["t"].isNotNull())))
-        .select("kind", "key", "salt", "m.phase", "m.t", F.lit(0).alias("side"), "m.opened", "m.ended", "since", F.lit(None).cast("bigint").alias("at"), nothing.alias("row"))
+        .select("kind", "key", "salt", "m.phase", "m.t", F.lit(0).alias("side"), "m.opened", "m.ended", F.col("last").alias("since"), F.lit(None).cast("bigint").alias("at"), nothing.alias("row"))
     )
     w = Window.partitionBy("kind", "key", "salt").orderBy("phase", "t", "side").rowsBetween(Window.unboundedPreceding, 0)
     merged = left.unionByName(right).select(

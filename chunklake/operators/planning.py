@@ -16,19 +16,34 @@ def offsets(chunks: DataFrame, file: list[str], ix: str = "chunk_ix") -> DataFra
     return chunks.withColumn("stop", run).withColumn("start", F.col("stop") - F.col("len"))
 
 
+def overlaps(placed: DataFrame, ranges: DataFrame, file: list[str], bucket: int = 4 << 20) -> DataFrame:
+    """placed (start, stop) joined with the ranges (lo, hi) of its file that it overlaps.
+
+    Both sides are put into the byte buckets they reach into, so the join is an equi-join by file and bucket and never pairs all ranges of a
+    file with all its chunks; a pair counts in the first bucket that both reach into. Empty chunks and ranges overlap nothing."""
+
+    def reach(a: str, z: str) -> Column:
+        return F.sequence(F.expr(f"{a} div {bucket}"), F.expr(f"({z} - 1) div {bucket}"))
+
+    p = placed.filter("stop > start").withColumn("_b", F.explode(reach("start", "stop")))
+    r = ranges.filter("hi > lo").withColumn("_b", F.explode(reach("lo", "hi")))
+    first = F.expr(f"_b = greatest(start, lo) div {bucket}")
+    return p.join(r, [*file, "_b"]).filter((F.col("stop") > F.col("lo")) & (F.col("start") < F.col("hi")) & first).drop("_b")
+
+
 def range_parts(placed: DataFrame, ranges: DataFrame, file: list[str]) -> DataFrame:
     """The parts of each range (range_id, file, lo, hi) that its chunks give: skip and take within the chunk, in order.
 
-    An equi-join by file with the overlap as its condition; ranges beyond the end are short, empty ones give nothing."""
-    j = placed.join(ranges, file).filter((F.col("stop") > F.col("lo")) & (F.col("start") < F.col("hi")) & (F.col("len") > 0))
+    Ranges beyond the end are short, empty ones give nothing."""
     skip = F.greatest(F.col("lo") - F.col("start"), F.lit(0))
-    return j.withColumn("skip", skip).withColumn("take", F.least(F.col("hi"), F.col("stop")) - F.col("start") - skip)
+    return overlaps(placed, ranges, file).withColumn("skip", skip).withColumn("take", F.least(F.col("hi"), F.col("stop")) - F.col("start") - skip)
 
 
 def read_ahead(placed: DataFrame, parts: DataFrame, file: list[str], n: int = AHEAD) -> DataFrame:
     """The next n chunks after each range's last one: range_id, file, chunk_ix."""
     last = parts.groupBy("range_id", *file).agg(F.max("chunk_ix").alias("_last"))
-    return last.join(placed, file).filter((F.col("chunk_ix") > F.col("_last")) & (F.col("chunk_ix") <= F.col("_last") + n)).select("range_id", *file, "chunk_ix")
+    want = last.select("range_id", *file, F.explode(F.sequence(F.col("_last") + 1, F.col("_last") + n)).alias("chunk_ix"))
+    return want.join(placed.select(*file, "chunk_ix"), [*file, "chunk_ix"], "left_semi").select("range_id", *file, "chunk_ix")
 
 
 def coalesce_ranges(ranges: DataFrame, by: list[str], gap: int = RANGE_GAP) -> DataFrame:
@@ -104,9 +119,12 @@ def preferred(hash_: Column, holders: Column, complete: Column, anchors: Column)
 
 
 def first_good(tries: DataFrame, by: list[str]) -> DataFrame:
-    """Of ordered tries (rank, source, ok): the first good source, and the bad ones before it."""
-    t = tries.groupBy(*by).agg(F.min(F.when(F.col("ok"), F.col("rank"))).alias("_at"), F.min_by("source", F.when(F.col("ok"), F.col("rank"))).alias("source"), F.collect_list(F.when(~F.col("ok"), F.col("rank"))).alias("_bad"))
-    return t.select(*by, F.when(F.col("_at").isNotNull(), F.col("source")).alias("source"), F.size(F.filter("_bad", lambda r: F.col("_at").isNull() | (r < F.col("_at")))).alias("rejected"))
+    """Of ordered tries (rank, source, ok): the first good source, and the bad ones before it. Two partial aggregations; no list of tries is built."""
+    rank = F.when(F.col("ok"), F.col("rank"))
+    t = tries.groupBy(*by).agg(F.min(rank).alias("_at"), F.min_by("source", rank).alias("_source"))
+    j = tries.join(t, by)
+    bad = ~F.col("ok") & (F.col("_at").isNull() | (F.col("rank") < F.col("_at")))
+    return j.groupBy(*by).agg(F.max(F.when(F.col("_at").isNotNull(), F.col("_source"))).alias("source"), F.count_if(bad).cast("int").alias("rejected"))
 
 
 def tiered(lookups: list[DataFrame], by: str, value: str) -> DataFrame:
@@ -143,7 +161,7 @@ def prefetch(ranges: DataFrame, placed: DataFrame) -> DataFrame:
     """Order in which a root's chunks are fetched: ranges (root, file_ix, phase, k1, k2, k3, lo, hi) by phase and keys, each chunk at its first range.
 
     Phases: 0 small files by size, 1 headers, 2 tensors by layer, 3 what is left."""
-    j = placed.join(ranges, ["root", "file_ix"]).filter((F.col("stop") > F.col("lo")) & (F.col("start") < F.col("hi")))
+    j = overlaps(placed, ranges, ["root", "file_ix"], 64 << 20)
     order = ["phase", "k1", "k2", "k3", "file_ix", "lo", "chunk_ix"]
     u = first_seen(j, ["root", "hash"], order)
     return u.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(*order))).select("root", "hash", "phase", "rank")

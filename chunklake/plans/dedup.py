@@ -6,21 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def mark_new(pieces: DataFrame, order: list[str]) -> DataFrame:
-    """pieces with is_new: the first of its hash in order. The first place is found by a partial minimum, so a hash with a third of all rows is no hot group."""
-    first = pieces.groupBy("hash").agg(F.min(F.struct(*order)).alias("_first"))
-    return pieces.join(first, "hash", "left").withColumn("is_new", F.coalesce(F.col("_first") == F.struct(*order), F.lit(False))).drop("_first")
+def report(pieces: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """pieces: hash, raw, stored and the columns of by and order. Repeated rows in one place count once.
 
+    What is new are the first rows of each hash, found by a partial aggregation; their totals and those of all rows are added up side by side. So
+    nothing is joined by hash, and one with a third of all rows is no hot group. Null hashes are one content."""
+    p = pieces.dropDuplicates(order)
+    first = p.groupBy("hash").agg(F.min_by(F.struct(*by, "raw", "stored") if by else F.struct("raw", "stored"), F.struct(*order)).alias("v")).select("v.*")
+    zero = F.lit(0).cast("bigint")
 
-def report(pieces: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """pieces: hash, raw, stored and the columns of by and order. Repeated rows in one place count once."""
-    p = mark_new(pieces.dropDuplicates(order), order)
-    new = F.col("is_new")
-    z = lambda c: F.coalesce(F.sum(F.when(new, F.col(c))), F.lit(0))
-    return p.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_if(new).alias("new_chunks"), F.sum("raw").alias("raw_bytes"), z("raw").alias("new_raw_bytes"),
-        F.sum("stored").alias("stored_bytes"), z("stored").alias("new_stored_bytes"),
-    )
+    def totals(df: DataFrame, new: bool) -> DataFrame:
+        each = {"chunks": F.count(F.lit(1)), "raw_bytes": F.coalesce(F.sum("raw"), zero), "stored_bytes": F.coalesce(F.sum("stored"), zero)}
+        t = df.groupBy(*by).agg(*[c.alias(("new_" if new else "") + n) for n, c in each.items()])
+        return t.select(*by, *[F.col(c) if c in t.columns else zero.alias(c) for c in _TOTALS])
+
+    return totals(p, False).unionByName(totals(first, True)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in _TOTALS])
+
+
+_TOTALS = ("chunks", "new_chunks", "raw_bytes", "new_raw_bytes", "stored_bytes", "new_stored_bytes")
 
 
 def versions(pieces: DataFrame, have: str, fetch: str) -> DataFrame:

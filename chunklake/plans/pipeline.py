@@ -89,16 +89,24 @@ def decode(blobs: DataFrame) -> DataFrame:
     return blobs.select("hash", "raw_len", "blob").mapInArrow(run, schema="hash string, raw binary, ok boolean")
 
 
-def manifest(pieces: DataFrame, files: DataFrame) -> DataFrame:
-    """One row for a model: root, and its files (path, size, hash, chunks) in order of path; the root commits to all of these but the chunks' types."""
+def manifest_files(pieces: DataFrame, files: DataFrame) -> DataFrame:
+    """path, size, hash and line of each file of a manifest; the line commits to all of these and to its chunks in order, but not to their types."""
     chunks = F.array_sort(F.collect_list(F.struct("chunk_ix", "hash", "len")))
     c = pieces.groupBy("path").agg(chunks.alias("c"))
     f = files.select("path", "size", F.sha2("content", 256).alias("hash")).join(c, "path", "left")
     none = F.array().cast("array<struct<chunk_ix:int,hash:string,len:bigint>>")
     f = f.withColumn("c", F.coalesce("c", none))
     line = F.concat_ws("|", "path", "size", "hash", F.size("c").cast("string"), F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["hash"], x["len"].cast("string"))), ","))
-    m = f.agg(F.array_sort(F.collect_list(F.struct("path", "size", "hash", line.alias("line")))).alias("m"))
-    return m.select(F.sha2(F.concat(F.lit("manifest/v2\n"), F.array_join(F.transform("m", lambda x: x["line"]), "\n")), 256).alias("root"), F.transform("m", lambda x: F.struct(x["path"].alias("path"), x["size"].alias("size"), x["hash"].alias("hash"))).alias("files"))
+    return f.select("path", "size", "hash", line.alias("line"))
+
+
+def manifest_root(listed: DataFrame) -> DataFrame:
+    """root, files, size of a manifest. The root is a tree: 4,096 buckets of files by the hash of their path, each hashed over its sorted lines,
+    and the hash over the buckets; so no task holds more than one bucket, and no order over all files is needed."""
+    bucket = F.substring(F.sha2("path", 256), 1, 3)
+    b = listed.groupBy(bucket.alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: F.concat(x["bucket"], x["h"])), "")
+    return b.agg(F.sha2(F.concat(F.lit("manifest/v2|"), top), 256).alias("root"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
 
 
 def unpack(pieces: DataFrame, raws: DataFrame, files: DataFrame, folder: str) -> DataFrame:

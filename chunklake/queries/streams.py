@@ -98,8 +98,9 @@ def codec_ratio(spark, d):
 def pack_manifest(spark, d):
     """Files, chunks and bytes of the manifest of all texts, with its root."""
     f = _files(spark, d)
-    m = pipeline.manifest(pipeline.cut(f), f)
-    return m.select(F.size("files").cast("bigint").alias("files"), F.aggregate("files", F.lit(0).cast("bigint"), lambda s, x: s + x["size"]).alias("size"), F.length("root").alias("root_digits"))
+    m = pipeline.manifest_root(pipeline.manifest_files(pipeline.cut(f), f))
+    return m.select("files", "size", F.length("root").alias("root_digits"))
+
 
 
 QUERIES = {

@@ -114,6 +114,23 @@ def test_planning(spark):
     assert [x["at"] for x in L.token_bucket(s, 100.0).orderBy("seq").collect()] == pytest.approx([0.0, 1.0, 5.0])
 
 
+def test_overlaps_in_buckets(spark):
+    import random
+
+    rnd = random.Random(6)
+    at, chunks = 0, []
+    for i in range(40):
+        n = rnd.choice([0, 1, 3, 9])
+        chunks.append(("f", i, at, at + n))
+        at += n
+    ranges = [("f", f"r{i}", lo := rnd.randrange(at), lo + rnd.randrange(30)) for i in range(30)]
+    c = spark.createDataFrame(chunks, "f string, chunk_ix int, start long, stop long")
+    r = spark.createDataFrame(ranges, "f string, range_id string, lo long, hi long")
+    want = sorted((x[1], y[1]) for x in chunks for y in ranges if x[3] > y[2] and x[2] < y[3] and x[3] > x[2])
+    for bucket in (4, 7, 1000):
+        assert sorted((x["chunk_ix"], x["range_id"]) for x in L.overlaps(c, r, ["f"], bucket).collect()) == want
+
+
 def test_dedup_of_a_hot_hash(spark):
     p = spark.createDataFrame([("a", i, "h", 10, 5) for i in range(4)] + [("b", 0, "h", 10, 5), ("b", 1, "k", 7, 7)], "input string, ix int, hash string, raw long, stored long")
     got = {r["input"]: (r["chunks"], r["new_chunks"], r["new_raw_bytes"]) for r in dedup.report(p, ["input"], ["input", "ix"]).collect()}
@@ -131,10 +148,13 @@ def test_pack_and_unpack(spark, tmp_path):
     kept, refused = pipeline.safe(pipeline.scan(spark, f"{src}"))
     assert [r["path"] for r in refused.collect()] == ["x.pkl"]
     pieces = pipeline.cut(kept).cache()
-    m = pipeline.manifest(pieces, kept).first()
-    assert [f["path"] for f in m["files"]] == ["a.txt", "sub/b.dat", "sub/c.dat"]
+    m = pipeline.manifest_files(pieces, kept)
+    root = pipeline.manifest_root(m).first()
+    assert (root["files"], root["size"]) == (3, 390_000) and pipeline.manifest_root(m.orderBy(F.desc("path"))).first() == root
+    assert pipeline.manifest_root(m.withColumn("line", F.concat("line", F.lit("x")))).first()["root"] != root["root"]
+    assert sorted(f["path"] for f in m.collect()) == ["a.txt", "sub/b.dat", "sub/c.dat"]
     raws = pipeline.decode(pipeline.encode(pieces))
-    listed = spark.createDataFrame([(f["path"], f["hash"]) for f in m["files"]] + [("../evil", "x")], "path string, hash string")
+    listed = spark.createDataFrame([(f["path"], f["hash"]) for f in m.collect()] + [("../evil", "x")], "path string, hash string")
     out = tmp_path / "out"
     out.mkdir()
     ok = {r["path"]: r["ok"] for r in pipeline.unpack(pieces, raws, listed, str(out)).collect()}

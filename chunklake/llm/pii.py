@@ -30,8 +30,9 @@ L = r"A-Za-zÀ-ÖØ-öø-ɏ"
 _LOCAL = rf"(?<![{L}0-9._%+'\-/@])(?P<local>[{L}0-9](?:[{L}0-9._%+'\-]*[{L}0-9_+\-])?)"
 _LABEL = rf"[{L}0-9](?:[{L}0-9\-]*[{L}0-9])?"
 #: name@host, with blanks or a full-width sign, and the spelt-out forms name (at) host [dot] tld
+_DOT = r"(?:\.|\s?(?:\[dot\]|\(dot\))\s?)"
 MAIL = re.compile(
-    rf"{_LOCAL}(?:\s?(?:@|＠|\(at\)|\[at\])\s?{_LABEL}(?:\s?(?:\.|\[dot\]|\(dot\))\s?{_LABEL})*?(?:\.|\s?(?:\[dot\]|\(dot\))\s?)[A-Za-z]{{2,}}(?:\.[A-Za-z]{{2,}})*"
+    rf"{_LOCAL}(?:\s?(?:@|＠|\(at\)|\[at\])\s?{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}[A-Za-z]{{2,}}"
     rf"|\sat\s{_LABEL}(?:\sdot\s{_LABEL})*\sdot\s[A-Za-z]{{2,}})(?![{L}0-9])",
     re.I,
 )
@@ -42,8 +43,8 @@ _PHONES = [
     rf"\+\d{{1,3}}{S}?(?:\(0?\d{{0,4}}\){S}?)?\d(?:{S}?\d){{6,12}}",
     rf"00(?:49|33|34|44|351|39|43|41|1){S}?[1-9](?:{S}?\d){{7,11}}",
     # North America: area and exchange begin with 2 to 9
-    rf"\([2-9]\d\d\){S}?[2-9]\d\d{S}\d{{4}}",
-    rf"(?:1{S})?[2-9]\d\d(?P<sep>{S})[2-9]\d\d(?P=sep)\d{{4}}",
+    rf"\([2-9]\d\d\){S}?[2-9]\d\d{S}\d{{4}}(?: ext\.? ?\d{{1,5}})?",
+    rf"(?:1{S})?[2-9]\d\d(?P<sep>{S})[2-9]\d\d(?P=sep)\d{{4}}(?: ext\.? ?\d{{1,5}})?",
     r"[2-9]\d\d55501\d\d",
     # United Kingdom and Germany: area codes that begin with 0
     rf"07\d{{3}}{S}?\d{{6}}",
@@ -81,11 +82,16 @@ IDENTITY_FIELD = re.compile(rf"[{L}.];(?P<n>[A-Z0-9](?:[ .\-]?[A-Z0-9]){{6,19}})
 
 _NUMBER = r"\d{1,4} ?[a-z]?"
 _CAPS = r"(?:(?:St\. |de la |de los |del |des |du |de |d')?[A-ZÀ-Þ][\w'’\-]*[ ]?){1,3}"
+_TOWN = r"[A-ZÀ-Þ][\w'’\-]+(?:(?: am| an der| la| de)? [A-ZÀ-Þ][\w'’\-]+)?"
+_END = r"(?=[,.;|\"\n\r<)]|\s*$|  )"
+#: what may follow the street, on the same line or the next: town and code, or code and town
+_AFTER_EN = rf"(?:(?:, ?|\r?\n ?){_TOWN}(?: [A-Z]{{2}}\d \d[A-Z]{{2}}|, [A-Z]{{2}} \d{{5}}|{_END}))?"
+_AFTER = rf"(?:(?:, ?|\r?\n ?)\d{{4,5}} {_TOWN}| in {_TOWN})?"
 ADDRESS = [
-    re.compile(rf"\b(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?,? )?\d{{1,4}}[a-z]?,? {_CAPS}(?<=[ .])(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Court|Ct\.?|Blvd\.?|Boulevard|Terrace|Square|Close|Drive|Dr\.|Way)(?!\w)"),
-    re.compile(r"\b[A-ZÄÖÜ][a-zäöüß\-]+(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring) \d{1,4} ?[a-z]?\b"),
-    re.compile(r"\b\d{1,4}(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|place|pl\.|boulevard|bd\.?|chemin|impasse|allée|quai|route|cours) (?:[dl]['’]|de la |de |du |des |le |la )?[A-ZÀ-Þ]"),
-    re.compile(r"(?:\bC/|\bCalle|\bAvda\.?|\bAvenida|\bPaseo|\bPlaza|\bPza\.|\bCamino|\bTravesía|\bRonda|\bRua|\bTravessa|\bLargo|\bPraça) (?:de la |de los |de las |del |de |do |da |dos |das )?[A-ZÀ-Þ][\w\-]*(?: [A-ZÀ-Þ][\w\-]*)*,?(?: n\.?º)? \d{1,4} ?[a-z]?\b"),
+    re.compile(rf"\b(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?,? )?\d{{1,4}}[a-z]?,? {_CAPS}(?<=[ .])(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Court|Ct\.?|Blvd\.?|Boulevard|Terrace|Square|Close|Drive|Dr\.|Way)(?!\w){_AFTER_EN}"),
+    re.compile(rf"\b[A-ZÄÖÜ][a-zäöüß\-]+ ?(?:straße|strasse|str\.|gasse|weg|allee|platz|ufer|damm|ring) \d{{1,4}} ?[a-z]?\b{_AFTER}"),
+    re.compile(rf"\b\d{{1,4}}[a-z]?(?: (?:bis|ter|quater))?,? (?:rue|avenue|av\.|place|pl\.|boulevard|bd\.?|chemin|impasse|allée|quai|route|cours) (?:[dl]['’]|de la |de |du |des |le |la )?[A-ZÀ-Þ][\w'’\-]*{_AFTER}"),
+    re.compile(rf"(?:\bC/|\bCalle|\bAvda\.?|\bAvenida|\bPaseo|\bPlaza|\bPza\.|\bCamino|\bTravesía|\bRonda|\bRua|\bTravessa|\bLargo|\bPraça) (?:de la |de los |de las |del |de |do |da |dos |das )?[A-ZÀ-Þ][\w\-]*(?: [A-ZÀ-Þ][\w\-]*)*,?(?: n\.?º)? \d{{1,4}} ?[a-z]?\b(?:, \d+\.º [A-Z])?{_AFTER}"),
 ]
 
 # ---------------------------------------------------------------- names
@@ -100,9 +106,10 @@ NAME = rf"(?:{_INITIAL}|{_WORD})(?:{_GAP}{_INITIAL}){{0,2}}(?:{_GAP}(?:{_PARTICL
 #: a name written in any letters, between one and four words
 _ANY = rf"(?:[{L}]\.|[{L}][{L}’'\-]*)"
 ANY = rf"{_ANY}(?:{_GAP}{_ANY}){{0,4}}"
+_LOW = "a-zà-öø-ÿāăąćčďđēĕėęěğģħīįıķĺļľłńņňōőœŕřśşšţťũūŭůűųźżž"
 #: two words in small letters, as some write their names
-SMALL = rf"[a-zà-öø-ÿ][a-zà-öø-ÿ’'\-]+{_GAP}(?:{_PARTICLE}{_GAP})?[a-zà-öø-ÿ][a-zà-öø-ÿ’'\-]+"
-TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Mme|M|Prof|Herr|Frau|Señora|Señor|Sra|Sr)\b\.?[ \u00a0]+)*"
+SMALL = rf"[{_LOW}][{_LOW}’'\-]+{_GAP}(?:{_PARTICLE}{_GAP})?[{_LOW}][{_LOW}’'\-]+"
+TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Mme|Prof|Herr|Frau|Señora|Señor|Sra|Sr)\b\.?[ \u00a0]+)*"
 _DAY = r"(?:\d{4}-\d\d-\d\d|\d\d[./]\d\d[./]\d{4}|\d{1,2} [A-Z][a-zé]{2,3}\.? \d{4})"
 
 #: places where a name stands, by words one of which must be in the text; n (and o) are the names
@@ -178,7 +185,7 @@ def _endings(words: set[str]) -> tuple[str, ...]:
 
 
 _PAIR = re.compile(rf"(?<![{L}0-9/@._\-])(?P<a>{_WORD})(?P<m>(?:{_GAP}{_INITIAL})*{_GAP}(?:{_PARTICLE}{_GAP})?)(?P<b>{_WORD})(?![{L}0-9/@_])")
-_SMALL = re.compile(rf"(?<![{L}0-9/@._\-])(?P<a>[a-zà-öø-ÿ]{{4,}}(?:-[a-zà-öø-ÿ]+)*){_GAP}(?:{_PARTICLE}{_GAP})?(?P<b>[a-zà-öø-ÿ]{{4,}}(?:-[a-zà-öø-ÿ]+)*)(?![{L}0-9/@_.+])")
+_SMALL = re.compile(rf"(?<![{L}0-9/@._\-])(?P<a>[{_LOW}]{{4,}}(?:-[{_LOW}]+)*){_GAP}(?:{_PARTICLE}{_GAP})?(?P<b>[{_LOW}]{{4,}}(?:-[{_LOW}]+)*)(?![{L}0-9/@_.+])")
 _LINE = re.compile(rf"(?:^|(?<=\n))[ \t>]*(?P<n>{_WORD}(?:{_GAP}{_INITIAL})?)[ \t]*(?=\r?\n|$)")
 
 

@@ -11,54 +11,55 @@ from chunklake.functions.codec import WIDTHS
 
 #: Least, usual and largest size of a chunk.
 LEAST, USUAL, MOST = 16 * 1024, 64 * 1024, 256 * 1024
-WINDOW = 32
+WINDOW = 16
 BLOCK = 1 << 17
+MIX = 0x9E3779B97F4A7C15
 
 
 @lru_cache
 def gear() -> np.ndarray:
-    """256 pseudo-random words of 32 bits, made from a rule: the first 4 bytes of MD5 of 64 times the byte."""
-    return np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:4], "big") for i in range(256)], np.uint32)
+    """256 pseudo-random words of 16 bits, made from a rule: the first 2 bytes of MD5 of 64 times the byte."""
+    return np.array([int.from_bytes(hashlib.md5(bytes([i]) * 64).digest()[:2], "big") for i in range(256)], np.uint16)
 
 
-@lru_cache
-def masks(usual: int = USUAL) -> tuple[int, int]:
-    """A strict mask (before the usual size) with one bit more than its logarithm, and a lax one with one bit less, both of the
-    highest bits: these depend on all 32 bytes of the window."""
-    bits = usual.bit_length() - 1
-    return tuple((1 << n) - 1 << (32 - n) for n in (bits + 1, bits - 1))
-
-
-def rolling(data: np.ndarray) -> np.ndarray:
-    """The gear hash over the last 32 bytes at each position: h = (h << 1) + gear[byte], by doubling the window five times."""
-    h = gear()[data]
+def rolling(data: np.ndarray, out: np.ndarray | None = None, spare: np.ndarray | None = None) -> np.ndarray:
+    """The gear hash over the last 16 bytes at each position: h = (h << 1) + gear[byte], by doubling the window four times."""
+    n = len(data)
+    h = np.empty(n, np.uint16) if out is None else out[:n]
+    spare = np.empty(n, np.uint16) if spare is None else spare
+    np.take(gear(), data, out=h, mode="clip")
     step = 1
     while step < WINDOW:
-        h[step:] += h[:-step] << np.uint32(step)
+        t = spare[: max(n - step, 0)]
+        np.left_shift(h[:-step], np.uint16(step), out=t)
+        np.add(h[step:], t, out=h[step:])
         step *= 2
     return h
 
 
-def candidates(data: np.ndarray, lax: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions after which the lax mask is met, their hashes), block by block so that the work stays in the cache."""
-    at, hashes = [], []
+def candidates(data: np.ndarray, usual: int = USUAL) -> tuple[np.ndarray, np.ndarray]:
+    """(positions after which a chunk may end once it is past `usual`, whether it may end there before that too).
+
+    The lax test asks for one leading zero bit less than the logarithm of `usual`, the strict one for two bits more, which
+    come from the last 8 bytes. Blocks of the data are hashed one after the other, so that the work stays in the cache."""
+    below = np.uint16(1 << max(17 - (usual.bit_length() - 1), 0))
+    h, spare = np.empty(BLOCK + WINDOW, np.uint16), np.empty(BLOCK + WINDOW, np.uint16)
+    found = []
     for i in range(0, len(data), BLOCK):
         lead = min(i, WINDOW - 1)
-        h = rolling(data[i - lead : i + BLOCK])[lead:]
-        hit = np.flatnonzero((h & np.uint32(lax)) == 0)
-        at.append(hit + (i + 1))
-        hashes.append(h[hit])
-    return np.concatenate(at), np.concatenate(hashes)
+        found.append(np.flatnonzero(rolling(data[i - lead : i + BLOCK], h, spare)[lead:] < below) + (i + 1))
+    at = np.concatenate(found)
+    last = data[np.maximum(at[:, None] - 8 + np.arange(8), 0)].view("<u8")[:, 0]
+    return at, (last * np.uint64(MIX)) >> np.uint64(62) == 0
 
 
 def cuts(data: bytes, least: int = LEAST, usual: int = USUAL, most: int = MOST) -> list[int]:
-    """Ends of the chunks of data: at the first position past `least` where the hash meets the strict mask, past `usual` the lax one, at `most` at the latest."""
+    """Ends of the chunks of data: at the first position past `least` that passes the strict test, past `usual` the lax one, at `most` at the latest."""
     n = len(data)
     if n <= least:
         return [n] if n else []
-    strict, lax = masks(usual)
-    at_lax, hashes = candidates(np.frombuffer(data, np.uint8), lax)
-    at_strict = at_lax[(hashes & np.uint32(strict)) == 0]  # the strict mask holds the lax one
+    at_lax, strict = candidates(np.frombuffer(data, np.uint8), usual)
+    at_strict = at_lax[strict]
     out, start = [], 0
     while n - start > least:
         end = min(start + most, n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunklake.common import key, table
+from chunklake.common import key, table, written
 from chunklake.functions import predicates as P
 from chunklake.functions.scalars import gguf_set, words
 from chunklake.operators import registry as R
@@ -15,7 +15,8 @@ AT = 1747000000
 
 
 def _c(spark, d):
-    return R.claims(table(spark, d, "log"))
+    """The effective claims, written once: most queries read them several times."""
+    return written(R.claims(table(spark, d, "log")), "claims")
 
 
 def names_latest(spark, d):

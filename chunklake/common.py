@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once per context: they need not have it installed nor start in its folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chunklake_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="chunklake-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = f"{folder}/chunklake_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, str(Path(here.name) / p.relative_to(here)))
+    sc.addPyFile(target)
+    sc._chunklake_shipped = True
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

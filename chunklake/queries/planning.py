@@ -224,7 +224,8 @@ def human_formats(spark, d):
 def date_functions(spark, d):
     o = table(spark, d, "orders").select(F.unix_date(F.col("o_orderdate").cast("date")).alias("day_no")).distinct()
     s = S.day_to_date(F.col("day_no"))
-    return o.select("day_no", s.alias("day"), S.date_to_day(s).alias("back"), S.date_to_day(F.regexp_replace(s, "-0", "-")).alias("loose"))
+    long = lambda c: c.cast("bigint")
+    return o.select(long(F.col("day_no")).alias("day_no"), s.alias("day"), long(S.date_to_day(s)).alias("back"), long(S.date_to_day(F.regexp_replace(s, "-0", "-"))).alias("loose"))
 
 
 def content_hashes(spark, d):

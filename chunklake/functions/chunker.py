@@ -88,3 +88,31 @@ def chunk(data: bytes, segments: list[tuple[int, int, str]]) -> list[tuple[int,
                 out.append((before, to, dtype))
                 before = to
     return out
+
+
+def chunk_stream(read, start: int, end: int, dtype: str, window: int = 32 << 20):
+    """(start, end, bytes) of the chunks of one segment, read window by window; the same cuts as `chunk` makes of the whole segment.
+
+    read(at, n) gives n bytes of the file. A cut is certain when `most` bytes lie behind the start of its chunk, so the last ones of a
+    window are sought again together with the next, from the same cut on."""
+    width = WIDTHS[dtype]
+    base = given = start  # the last certain cut, and the element where the last chunk given ends (at or just before it)
+    held = b""  # the bytes from `given` on
+    while given < end:
+        have = given + len(held)
+        more = read(have, min(window, end - have)) if have < end else b""
+        if have < end and not more:
+            raise EOFError(f"the file ends at {have}, before {end}")
+        held += more
+        last = given + len(held) >= end
+        skip, first, done = base - given, given, base
+        for c in cuts(held[skip:]):
+            if not last and given + len(held) - done < MOST:
+                break
+            done = base + c
+            to = end if done == end else start + (done - start) - (done - start) % width
+            if to > first:
+                yield first, to, held[first - given : to - given]
+                first = to
+        held = held[first - given :]
+        given, base = first, done

@@ -54,6 +54,71 @@ def cut(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema="path string, chunk_ix int, start long, len long, dtype string, hash string, raw binary")
 
 
+def large_segments(paths: DataFrame) -> DataFrame:
+    """path, size, seg_ix, start, end, dtype of files (path as a URI or absolute path) of any size: only their headers are read.
+
+    Safetensors headers are read whole, of GGUF files as much as it takes; other files are one raw segment."""
+
+    def run(frames):
+        import struct
+
+        import pandas as pd
+
+        from chunklake.sources import formats
+
+        for f in frames:
+            out = []
+            for path in f["path"]:
+                files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                size = files.get_file_info(at).size
+                with files.open_input_file(at) as file:
+                    ext = path.rpartition(".")[2]
+                    segments = None
+                    if ext == "safetensors" and size >= 8:
+                        (n,) = struct.unpack("<Q", file.read_at(8, 0))
+                        if n <= formats.MAX_HEADER:
+                            segments = formats.safetensors_segments(file.read_at(8 + n, 0), size)
+                    elif ext == "gguf":
+                        n = 1 << 20
+                        while segments is None:
+                            n = min(n, size)
+                            head = file.read_at(n, 0)
+                            try:
+                                formats.gguf_header(head)
+                                segments = formats.gguf_segments(head, size)
+                            except formats.FormatError:
+                                segments = [(0, size, "raw")] if n >= size or n >= formats.MAX_HEADER else None
+                            n *= 8
+                    for i, (a, z, t) in enumerate(segments if segments is not None else [(0, size, "raw")] if size else []):
+                        out.append((path, size, i, a, z, t))
+            yield pd.DataFrame(out, columns=["path", "size", "seg_ix", "start", "end", "dtype"])
+
+    return paths.select("path").mapInPandas(run, schema="path string, size long, seg_ix int, start long, end long, dtype string")
+
+
+def cut_large(segments: DataFrame, tasks: int | None = None) -> DataFrame:
+    """The chunks of segments, as `cut` gives them (seg_ix and the place in it instead of chunk_ix): each segment is read in windows of 32 MiB
+    by the task that has it, so neither a file nor a segment has to fit into memory, and one huge file is spread over many tasks by its segments."""
+    n = tasks or 2 * segments.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from chunklake.functions.chunker import chunk_stream
+
+        for b in batches:
+            for path, ix, start, end, dtype in zip(*(b.column(i).to_pylist() for i in range(5))):
+                files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with files.open_input_file(at) as file:
+                    for a, z, raw in chunk_stream(lambda p, n, file=file: file.read_at(n, p), start, end, dtype):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([path]), pa.array([ix], pa.int32()), pa.array([a], pa.int64()), pa.array([z - a], pa.int64()), pa.array([dtype]), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw], pa.binary())],
+                            ["path", "seg_ix", "start", "len", "dtype", "hash", "raw"],
+                        )
+
+    return segments.select("path", "seg_ix", "start", "end", "dtype").repartition(n, "path", "seg_ix").mapInArrow(
+        run, schema="path string, seg_ix int, start long, len long, dtype string, hash string, raw binary"
+    )
+
+
 def encode(pieces: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Blobs of chunks that `known` (hash) lacks, one per hash: hash, raw_len, blob. The anti-join comes before the work."""
     p = pieces.join(known.select("hash").distinct(), "hash", "left_anti") if known is not None else pieces

@@ -61,8 +61,8 @@ def safetensors_header(data: bytes) -> tuple[int, dict] | None:
     return (8 + n, header) if isinstance(header, dict) else None
 
 
-def safetensors_segments(data: bytes) -> list[Segment] | None:
-    """None if this is no safetensors file; FormatError if tensors overlap or lie outside of it."""
+def safetensors_segments(data: bytes, size: int | None = None) -> list[Segment] | None:
+    """None if this is no safetensors file; FormatError if tensors overlap or lie outside of it. With the file's size, data need only hold the header."""
     got = safetensors_header(data)
     if got is None:
         return None
@@ -79,7 +79,7 @@ def safetensors_segments(data: bytes) -> list[Segment] | None:
         if not 0 <= a <= b:
             raise FormatError(f"{name}: offsets {a} to {b}")
         pieces.append((first + a, first + b, dtype))
-    return _cover(len(data), first, pieces)
+    return _cover(len(data) if size is None else size, first, pieces)
 
 
 def safetensors_params(data: bytes) -> dict[str, int] | None:
@@ -153,23 +153,23 @@ def gguf_header(data: bytes) -> tuple[int, list[tuple[str, list[int], int, int]]
     return -(-r.at // align) * align, out
 
 
-def gguf_segments(data: bytes) -> list[Segment]:
-    """Segments of a GGUF file. Whatever is wrong with it, the answer is one raw segment and never an error."""
-    whole = [(0, len(data), "raw")] if data else []
+def gguf_segments(data: bytes, size: int | None = None) -> list[Segment]:
+    """Segments of a GGUF file. Whatever is wrong with it, the answer is one raw segment and never an error. With the file's size, data need only hold the header."""
+    total = len(data) if size is None else size
+    whole = [(0, total, "raw")] if total else []
     try:
         first, tensors = gguf_header(data)
-        ends = sorted(o for _, _, _, o in tensors) + [len(data) - first]
         pieces = []
         for _, shape, kind, offset in tensors:
             block = GGML_TYPES.get(kind, (None, None, "raw"))
             if block[1] is None:
                 continue  # its size isn't known: it stays part of a gap
-            per, size = block[1]
+            per, width = block[1]
             n = prod(shape)
-            if n % per or offset + n // per * size > len(data) - first:
+            if n % per or first + offset + n // per * width > total:
                 return whole
-            pieces.append((first + offset, first + offset + n // per * size, block[2]))
-        return _cover(len(data), first, pieces) if ends[-1] >= 0 else whole
+            pieces.append((first + offset, first + offset + n // per * width, block[2]))
+        return _cover(total, first, pieces) if first <= total else whole
     except FormatError:
         return whole
 

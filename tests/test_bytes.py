@@ -76,6 +76,19 @@ def test_rolling_hash_is_the_serial_one():
         assert s == ((last * chunker.MIX & (1 << 64) - 1) >> 62 == 0)
 
 
+@pytest.mark.parametrize("dtype", ["raw", "bf16", "f32", "f64"])
+def test_stream_makes_the_same_chunks(dtype):
+    d = os.urandom(2_000_000) + bytes(700_000) + os.urandom(800_003)
+    want = chunker.chunk(d, [(100, len(d) - 3, dtype)])
+    for window in (70_001, 300_000, 1_000_003, 1 << 25):
+        got = list(chunker.chunk_stream(lambda at, n: d[at : at + n], 100, len(d) - 3, dtype, window))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+        assert all(x == d[a:b] for a, b, x in got)
+    assert list(chunker.chunk_stream(lambda at, n: b"", 5, 5, dtype)) == []
+    with pytest.raises(EOFError):
+        list(chunker.chunk_stream(lambda at, n: d[at : at + n], 0, len(d) + 9, dtype))
+
+
 def test_chunk_sizes_lie_about_the_usual_one():
     data = os.urandom(6_000_000)
     n = [b - a for a, b, _ in chunker.chunk(data, [(0, len(data), "raw")])]

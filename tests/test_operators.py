@@ -165,6 +165,24 @@ def test_pack_and_unpack(spark, tmp_path):
     assert pipeline.encode(pieces, pieces.select("hash")).count() == 0
 
 
+def test_large_files_by_segment(spark, tmp_path):
+    import os
+
+    from test_bytes import gguf, safetensors
+
+    made = {
+        "a.safetensors": safetensors([("a", "BF16", [200_000], os.urandom(400_000)), ("b", "F32", [50_000], os.urandom(200_000))], pad=2),
+        "b.gguf": gguf([(b"emb", [64, 10], 8, 640 // 32 * 34), (b"norm", [64], 0, 256)]), "c.dat": os.urandom(300_000), "d.dat": b"", "e.gguf": b"GGUFx",
+    }
+    for k, v in made.items():
+        (tmp_path / k).write_bytes(v)
+    paths = spark.createDataFrame([(str(tmp_path / k),) for k in made], "path string")
+    large = pipeline.cut_large(pipeline.large_segments(paths), 4)
+    small = pipeline.cut(spark.createDataFrame([(str(tmp_path / k), v) for k, v in made.items()], "path string, content binary"))
+    key = ["path", "start", "len", "dtype", "hash"]
+    assert sorted(map(tuple, large.select(key).collect())) == sorted(map(tuple, small.select(key).collect()))
+
+
 def test_check_headers(spark):
     import hashlib
 

@@ -204,9 +204,9 @@ def fill_totals(blobs: DataFrame) -> DataFrame:
     return blobs.agg(F.sum(F.least("done", "total")).alias("done"), F.sum("total").alias("total"))
 
 
-def spread_range(chunk_count: int, total: Column, ix: Column) -> Column:
-    """The share of chunk ix when `total` bytes are spread evenly over chunks, the remainder on the first ones."""
-    return F.floor(total / chunk_count) + (ix < F.pmod(total, F.lit(chunk_count))).cast("bigint")
+def spread_range(count: Column, total: Column, ix: Column) -> Column:
+    """The share of part ix (from 0) when `total` bytes are spread evenly over `count` parts, the remainder on the first ones."""
+    return F.floor(total / count) + (ix < F.pmod(total, count)).cast("bigint")
 
 
 def subnet_cap(joins: DataFrame, most: int) -> DataFrame:

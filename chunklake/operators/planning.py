@@ -235,6 +235,12 @@ def subnet_cap(joins: DataFrame, most: int) -> DataFrame:
     return ordered.select("subnet", "peer", "seq", "kind").mapInPandas(run, schema="subnet string, peer string, seq long, kind string, admitted boolean")
 
 
+def chunk_gates(chunks: DataFrame, gates: DataFrame) -> DataFrame:
+    """registry, hash, repos (sorted, joined by commas) of the chunks of gated roots. chunks: root, hash; gates: registry, root, repo."""
+    held = chunks.select("root", "hash").filter("root is not null and hash is not null").distinct()
+    return held.join(gates, "root").groupBy("registry", "hash").agg(F.array_join(F.array_sort(F.collect_set("repo")), ",").alias("repos"))
+
+
 def token_bucket(sends: DataFrame, rate: float) -> DataFrame:
     """When each send (source, seq, t seconds, bytes) may go at `rate` bytes a second with a burst of one second, in order: at."""
     ordered = sends.select("source", "seq", "t", "bytes").repartition("source").sortWithinPartitions("source", "seq")

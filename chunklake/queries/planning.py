@@ -8,8 +8,10 @@ from chunklake.common import epoch_day, key, table
 from chunklake.functions import predicates as P
 from chunklake.functions import scalars as S
 from chunklake.operators import planning as L
+from chunklake.operators import registry as R
 from chunklake.plans import dedup
 from chunklake.queries.problems import _K
+from chunklake.queries.registry import _V, _c
 
 
 def _chunks(spark, d):
@@ -177,6 +179,11 @@ def chunk_gates(spark, d):
     return c.groupBy("hash").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("repos"))
 
 
+def chunk_gates_log(spark, d):
+    """Which repos gate each chunk in each registry, by the gates of its whole log; chunk_gates has the models of a name pattern instead."""
+    return L.chunk_gates(_chunks(spark, d), R.gates(_c(spark, d)))
+
+
 def links_index(spark, d):
     """The first place of each chunk among all files, with its offset."""
     f = L.first_seen(_placed(spark, d).filter("hash is not null"), ["hash"], ["root", "file_ix", "chunk_ix"])
@@ -277,7 +284,7 @@ QUERIES = {
     for f in (
         dedup_by_source, dedup_by_lang, dedup_totals, dedup_by_root, dedup_by_dtype, dedup_between_sources, chunk_offsets, range_read, read_ahead,
         range_coalesce, block_cut, block_ids, blocks_held, missing_plan, source_rotation, source_preference, first_good_source, quorum, part_ranges,
-        chunk_places, prefetch_order, layer_keys, path_tree, tree_listing, announce_set, chunk_gates, links_index, store_put, store_contains, store_known,
+        chunk_places, prefetch_order, layer_keys, path_tree, tree_listing, announce_set, chunk_gates, chunk_gates_log, links_index, store_put, store_contains, store_known,
         manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, byte_ranges, model_names,
         params_per_dtype, exponent_histogram, largest_chunks,
     )
@@ -370,6 +377,8 @@ v AS (SELECT root || '/' || block_ix AS key FROM hb WHERE block_ix = 0)
 SELECT key, 'announce' AS op FROM k WHERE key NOT IN (SELECT key FROM v) UNION ALL SELECT key, 'withdraw' FROM v WHERE key NOT IN (SELECT key FROM k)""",
     "chunk_gates": _CH + f""", m AS (SELECT DISTINCT {_K.format("root")} AS root, model FROM manifests WHERE model LIKE '%b-0%')
 SELECT hash, string_agg(model, ',' ORDER BY model) AS repos FROM (SELECT DISTINCT hash, model FROM ch JOIN m USING (root) WHERE hash IS NOT NULL) GROUP BY hash""",
+    "chunk_gates_log": _V + "," + _CH.removeprefix("WITH RECURSIVE") + """SELECT registry, hash, string_agg(repo, ',' ORDER BY repo) AS repos
+FROM (SELECT DISTINCT registry, hash, repo FROM ch JOIN gt USING (root) WHERE hash IS NOT NULL) GROUP BY ALL""",
     "links_index": _CH + "SELECT hash, root, file_ix, start AS \"offset\", len FROM pl WHERE hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hash ORDER BY root, file_ix, chunk_ix) = 1",
     "store_put": _CH + "SELECT hash, max(len) AS len FROM ch WHERE hash IS NOT NULL AND hash NOT IN (SELECT hash FROM st) GROUP BY hash",
     "store_contains": _CH + "SELECT root, count(DISTINCT hash) AS held FROM ch WHERE hash IN (SELECT hash FROM st) GROUP BY root",

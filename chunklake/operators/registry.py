@@ -18,6 +18,12 @@ from chunklake.operators.changes import GENESIS, longest_chain, registry_entries
 SEARCHED, SHOWN, PAGE = 200, 50, 1000
 
 
+def chain(log: DataFrame) -> DataFrame:
+    """registry, seq, own of every entry of the longest chains, also of those that repeat a signature and so have no effect."""
+    e = registry_entries(log).filter("own is not null")
+    return longest_chain(e).select(F.col("log").alias("registry"), "seq", "own")
+
+
 def claims(log: DataFrame) -> DataFrame:
     """registry, seq, own, prev, time, signer, sig and the claim's columns of every effective statement on the longest chains."""
     e = registry_entries(log).filter("own is not null")
@@ -152,12 +158,12 @@ def chain_breaks(log: DataFrame) -> DataFrame:
 
 
 def head(c: DataFrame) -> DataFrame:
-    """registry, size and hash of the last entry of each chain (size counts entries, also those without effect)."""
+    """registry, size and hash of the last entry of each chain (size counts entries, also those without effect): c is `chain`'s, as claims lack these."""
     return c.groupBy("registry").agg((F.max("seq") + 1).alias("size"), F.max_by("own", "seq").alias("hash"))
 
 
 def audit(c: DataFrame, heads: DataFrame) -> DataFrame:
-    """Whether heads (registry, size, hash) seen earlier are those of a prefix of the log."""
+    """Whether heads (registry, size, hash) seen earlier are those of a prefix of the log; c is `chain`'s."""
     at = c.select("registry", (F.col("seq") + 1).alias("size"), "own")
     return heads.join(at, ["registry", "size"], "left").select("registry", "size", F.coalesce(F.col("own") == F.col("hash"), F.lit(False)).alias("ok"))
 

@@ -1,6 +1,9 @@
 """Queries and operators that do the whole job, on cases that a part of it loses."""
 
+import hashlib
+
 from chunklake.operators import planning as L
+from chunklake.operators import registry as R
 
 
 def test_gates_reach_chunks_of_any_model(spark):
@@ -12,7 +15,6 @@ def test_gates_reach_chunks_of_any_model(spark):
 
 def test_chunk_gates_of_the_log(spark, data):
     from chunklake.common import key, table
-    from chunklake.operators import registry as R
     from chunklake.queries import planning as Q
 
     gates = {(r["registry"], r["root"]): r["repo"] for r in R.gates(R.claims(table(spark, data, "log"))).collect()}
@@ -23,3 +25,25 @@ def test_chunk_gates_of_the_log(spark, data):
                 want.setdefault((g, r["hash"]), set()).add(gates[g, root])
     got = {(r["registry"], r["hash"]): r["repos"] for r in Q.chunk_gates_log(spark, data).collect()}
     assert got and got == {k: ",".join(sorted(v)) for k, v in want.items()}
+
+
+def _log(spark, sigs):
+    """A chain with these signatures."""
+    rows, prev = [], "0" * 64
+    for n, g in enumerate(sigs):
+        rows.append(("x", n, prev, (("publish",), n, ("k", g)), None))
+        prev = hashlib.sha256(f"{n}|{prev}|{g}".encode()).hexdigest()
+    shape = "registry string, seq long, prev string, statement struct<claim: struct<kind string>, time bigint, signature: struct<key string, sig string>>, received timestamp"
+    return spark.createDataFrame(rows, shape), prev
+
+
+def test_head_and_audit_at_repeated_signatures(spark, tmp_path):
+    from chunklake.queries import registry as Q
+
+    log, last = _log(spark, ["a", "b", "a", "c", "b"])
+    assert [tuple(r) for r in R.head(R.chain(log)).collect()] == [("x", 5, last)]
+    heads = spark.createDataFrame([("x", 5, last), ("x", 4, last), ("x", 6, last)], "registry string, size long, hash string")
+    assert {r["size"]: r["ok"] for r in R.audit(R.chain(log), heads).collect()} == {4: False, 5: True, 6: False}
+    log.write.parquet(f"{tmp_path}/log.parquet")
+    assert [tuple(r) for r in Q.registry_head(spark, str(tmp_path)).collect()] == [("x", 5, last)]
+    assert {r["size"]: r["ok"] for r in Q.registry_audit_every(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}

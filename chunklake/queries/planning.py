@@ -246,6 +246,13 @@ def url_functions(spark, d):
     return t.select("doc_id", e.alias("encoded"), (S.url_decode(e) == F.col("s")).alias("same"))
 
 
+def text_codings(spark, d):
+    """Whole texts percent-encoded and back, and in hex; url_functions and content_hashes code the beginnings of texts."""
+    t = table(spark, d, "documents").filter("text is not null")
+    e = S.url_encode(F.col("text"))
+    return t.select("doc_id", e.alias("encoded"), (S.url_decode(e) == F.col("text")).alias("same"), S.to_hex(F.encode("text", "UTF-8")).alias("hex"))
+
+
 def byte_ranges(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     h = F.explode(F.array(F.concat(F.lit("bytes="), F.col("k").cast("string"), F.lit("-")), F.concat(F.lit("bytes=-"), F.col("k").cast("string")), F.concat(F.lit("bytes=10-"), F.col("k").cast("string")), F.lit("bytes=x")))
@@ -285,7 +292,7 @@ QUERIES = {
         dedup_by_source, dedup_by_lang, dedup_totals, dedup_by_root, dedup_by_dtype, dedup_between_sources, chunk_offsets, range_read, read_ahead,
         range_coalesce, block_cut, block_ids, blocks_held, missing_plan, source_rotation, source_preference, first_good_source, quorum, part_ranges,
         chunk_places, prefetch_order, layer_keys, path_tree, tree_listing, announce_set, chunk_gates, chunk_gates_log, links_index, store_put, store_contains, store_known,
-        manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, byte_ranges, model_names,
+        manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, text_codings, byte_ranges, model_names,
         params_per_dtype, exponent_histogram, largest_chunks,
     )
 }
@@ -395,6 +402,7 @@ SELECT k, {_HB("n")} AS bytes, {_HC("n")} AS count, {_AGO} AS ago,
   CASE WHEN contains(strftime(o_orderdate, '%Y-%m-%d'), '-0') THEN NULL ELSE CAST(o_orderdate AS DATE) - DATE '1970-01-01' END AS loose FROM orders""",
     "content_hashes": "SELECT doc_id, sha256(text) AS sha256, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS git, lower(hex(encode(substr(text, 1, 3)))) AS head FROM documents WHERE text IS NOT NULL",
     "url_functions": "SELECT doc_id, url_encode(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40)) AS encoded, true AS same FROM documents WHERE text IS NOT NULL",
+    "text_codings": "SELECT doc_id, url_encode(text) AS encoded, true AS same, lower(hex(encode(text))) AS hex FROM documents WHERE text IS NOT NULL",
     "byte_ranges": """WITH o AS (SELECT o_orderkey AS k FROM orders)
 SELECT k, 'bytes=' || k || '-' AS header, CASE WHEN k < 5000 THEN k END AS start, CASE WHEN k < 5000 THEN 5000 END AS "end" FROM o
 UNION ALL SELECT k, 'bytes=-' || k, CASE WHEN k > 0 THEN greatest(5000 - k, 0) END, CASE WHEN k > 0 THEN 5000 END FROM o

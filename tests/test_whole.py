@@ -47,3 +47,17 @@ def test_head_and_audit_at_repeated_signatures(spark, tmp_path):
     log.write.parquet(f"{tmp_path}/log.parquet")
     assert [tuple(r) for r in Q.registry_head(spark, str(tmp_path)).collect()] == [("x", 5, last)]
     assert {r["size"]: r["ok"] for r in Q.registry_audit_every(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_whole_texts_are_coded(spark, tmp_path):
+    from urllib.parse import quote, unquote
+
+    from chunklake.queries import planning as Q
+
+    texts = ["a b+c~*%20/é\r\nüber 日本 😀 " * 9, "x" * 100, "", "\t\x00\x7f", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in Q.text_codings(spark, str(tmp_path)).collect()}
+    assert set(rows) == {0, 1, 2, 3}
+    for n, r in rows.items():
+        assert r["encoded"] == quote(texts[n], safe="") and unquote(r["encoded"]) == texts[n] and r["same"]
+        assert r["hex"] == texts[n].encode().hex()

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunklake.common import key, table
+from chunklake.common import key, table, written
 from chunklake.functions import scalars as S
 from chunklake.operators import accounting as A
 from chunklake.queries.problems import _K
@@ -100,6 +100,11 @@ def days_finalized(spark, d):
     return A.finalize(_days(spark, d), few, TODAY)
 
 
+def days_finalized_all(spark, d):
+    """Closed days of every registered node; servers that no probe registered are left out. days_finalized has every second node."""
+    return A.finalize(written(_days(spark, d), "days"), _nodes(spark, d), TODAY)
+
+
 def served_by_source(spark, d):
     return A.served_totals(_receipts(spark, d).select(F.col("server").alias("source"), "bytes", F.lit(1).cast("bigint").alias("chunks")))
 
@@ -152,7 +157,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lookups_bound, receipts_taken, receipts_credit, probes_accepted, node_day, node_register, nodes_held, *map(_board, A.METRICS), node_history,
-        node_page, bytes_served, days_finalized, served_by_source, rate_limited, downloads_daily, downloads_of, downloads_totals, downloads_retained,
+        node_page, bytes_served, days_finalized, days_finalized_all, served_by_source, rate_limited, downloads_daily, downloads_of, downloads_totals, downloads_retained,
         networks, probes_uptime,
     )
 }
@@ -234,6 +239,8 @@ SQL = {
     "node_page": _DAYS + "SELECT peer, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(probes) AS BIGINT) AS probes, CAST(sum(answered) AS BIGINT) AS answered FROM hist GROUP BY peer",
     "bytes_served": _DAYS + f"SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes_served FROM days WHERE day_no <= {TODAY}",
     "days_finalized": _DAYS + f"""SELECT d.*, t.bytes_served FROM days d JOIN nodes n ON n.peer = d.peer AND n.registered % 2 = 0
+  JOIN (SELECT day_no, CAST(sum(bytes) AS BIGINT) AS bytes_served FROM days GROUP BY day_no) t ON t.day_no = d.day_no WHERE d.day_no + 2 <= {TODAY}""",
+    "days_finalized_all": _DAYS + f"""SELECT d.*, t.bytes_served FROM days d JOIN nodes n ON n.peer = d.peer
   JOIN (SELECT day_no, CAST(sum(bytes) AS BIGINT) AS bytes_served FROM days GROUP BY day_no) t ON t.day_no = d.day_no WHERE d.day_no + 2 <= {TODAY}""",
     "served_by_source": _BASE + "SELECT server AS source, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS chunks FROM r GROUP BY server",
     "rate_limited": _BASE + "SELECT receipt_id, right(server, 1) AS network, CAST(row_number() OVER (PARTITION BY right(server, 1), time // 3600 ORDER BY time, receipt_id) AS INTEGER) AS place FROM r QUALIFY place <= 10",

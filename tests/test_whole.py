@@ -61,3 +61,15 @@ def test_whole_texts_are_coded(spark, tmp_path):
     for n, r in rows.items():
         assert r["encoded"] == quote(texts[n], safe="") and unquote(r["encoded"]) == texts[n] and r["same"]
         assert r["hex"] == texts[n].encode().hex()
+
+
+def test_days_of_every_registered_node(spark, data):
+    from chunklake.queries import accounting as Q
+
+    nodes = {r["peer"]: r["registered"] for r in Q._nodes(spark, data).collect()}
+    days = Q._days(spark, data).filter(f"day_no + 2 <= {Q.TODAY}").collect()
+    got = Q.days_finalized_all(spark, data).collect()
+    want = {(r["day_no"], r["peer"]) for r in days if r["peer"] in nodes}
+    assert {(r["day_no"], r["peer"]) for r in got} == want and len(got) == len(want) < len(days)
+    assert {nodes[p] % 2 for _, p in want} == {0, 1}
+    assert all(r["bytes_served"] == sum(x["bytes"] for x in days if x["day_no"] == r["day_no"]) for r in got)

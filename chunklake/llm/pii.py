@@ -304,6 +304,22 @@ def pseudonym_date(text: str, key: bytes, back: bool = False) -> str:
         return text
 
 
+#: numeric dates in the three formats of pseudonym_date; not parts of longer numbers
+DATE = re.compile(r"(?<!\d)(?:\d{4}-\d\d-\d\d|(?<!\d[./])\d\d([./])\d\d\1\d{4}(?!\1\d))(?!\d)", re.A)
+
+
+def _dated(text: str, key: bytes, finds: list[Find]) -> list[tuple[int, int, str]]:
+    """start, end and pseudonym of every valid date outside the finds. Dates get no placeholder: they are no kind of p9_found."""
+    out, i = [], 0
+    for m in DATE.finditer(text):
+        a, b = m.span()
+        while i < len(finds) and finds[i][2] <= a:
+            i += 1
+        if i == len(finds) or b <= finds[i][1]:
+            out.append((a, b, pseudonym_date(m[0], key)))
+    return out
+
+
 def placeholder(kind: str, text: str, key: bytes) -> str:
     """<kind:pseudonym>. Numbers keep their format; of other kinds a keyed number of ten digits links equal values, whatever their case and blanks."""
     if kind in ("phone", "identity"):
@@ -313,12 +329,14 @@ def placeholder(kind: str, text: str, key: bytes) -> str:
 
 
 def redact(text: str | None, names: Names, key: bytes) -> str | None:
-    """The text with every find replaced; the rest stays as it is. Null stays null."""
+    """The text with every find and every valid numeric date replaced; the rest stays as it is. Null stays null."""
     if not text:
         return text
+    finds = find(text, names)
+    new = [(a, b, placeholder(kind, text[a:b], key)) for kind, a, b in finds] + _dated(text, key, finds)
     out, at = [], 0
-    for kind, a, b in find(text, names):
-        out += [text[at:a], placeholder(kind, text[a:b], key)]
+    for a, b, p in sorted(new):
+        out += [text[at:a], p]
         at = b
     return "".join([*out, text[at:]])
 

@@ -1,0 +1,19 @@
+"""Dates under redaction."""
+
+import re
+
+from chunklake.llm import pii
+
+NAMES = pii.Names([("Hira", "given")])
+
+
+def test_redaction_replaces_dates():
+    text = "Sevis du Osterwick;QQ 88 28 72 A;362-555-0153;27/02/2025\nat 2025-02-28T10:00, 28.02.2025. Not 2025-02-30, 1.2.2025, 10.12.2024.5 or 12025-02-28"
+    out = pii.redact(text, NAMES, b"k")
+    assert out == pii.redact(text, NAMES, b"k") and out.endswith(". Not 2025-02-30, 1.2.2025, 10.12.2024.5 or 12025-02-28")
+    for d in ("27/02/2025", "2025-02-28T", " 28.02.2025"):
+        assert d not in out
+    head = out.split(". Not")[0]
+    new = re.search(r";(\d\d/\d\d/\d{4})\nat (\d{4}-\d\d-\d\d)T10:00, (\d\d\.\d\d\.\d{4})$", head).groups()
+    assert [pii.pseudonym_date(x, b"k", back=True) for x in new] == ["27/02/2025", "2025-02-28", "28.02.2025"]
+    assert {f[0] for f in pii.find(text, NAMES)} <= set(pii.KINDS)

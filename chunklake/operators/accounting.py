@@ -68,11 +68,24 @@ def credit(taken: DataFrame) -> DataFrame:
     return c.filter("credited > 0")
 
 
-def accepted_probes(probes: DataFrame, gap: int = PROBE_GAP) -> DataFrame:
-    """Probes at least `gap` seconds after the last accepted one of the same anchor and node. probes: probe_id, anchor, node, root, outcome, t.
+def admitted_probes(probes: DataFrame, anchors: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Probes of allowed anchors (anchor) and registered nodes (peer, models); one that held a root which its node doesn't claim is dropped whole."""
+    if anchors is not None:
+        probes = probes.join(anchors.select("anchor").distinct(), "anchor", "left_semi").select(probes.columns)
+    if nodes is not None:
+        cols = probes.columns
+        claims = F.coalesce(F.array_contains("_models", F.col("root")), F.lit(False))
+        probes = probes.join(nodes.select(F.col("peer").alias("node"), F.col("models").alias("_models")), "node")
+        probes = probes.filter(F.coalesce(F.col("outcome") != "held", F.lit(True)) | claims).select(cols)
+    return probes
+
+
+def accepted_probes(probes: DataFrame, gap: int = PROBE_GAP, anchors: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Of the admitted probes, those at least `gap` seconds after the last accepted one of the same anchor and node. probes: probe_id, anchor, node, root, outcome, t.
 
     Most pairs' probes lie further apart than the gap anyway: a probe that follows its predecessor by the gap or more starts a run, and only
     runs of closer ones are folded, each a group of its own, so no group is larger than the longest burst."""
+    probes = admitted_probes(probes, anchors, nodes)
     pair = Window.partitionBy("anchor", "node").orderBy("t", "probe_id")
     p = probes.withColumn("_far", F.coalesce(F.col("t") - F.lag("t").over(pair) >= gap, F.lit(True)))
     p = p.withColumn("_run", F.sum(F.col("_far").cast("int")).over(pair.rowsBetween(Window.unboundedPreceding, 0)))
@@ -169,10 +182,21 @@ def finalize(days: DataFrame, nodes: DataFrame, today: int) -> DataFrame:
     return d.join(nodes.select("peer"), "peer", "left_semi").join(total, "day_no")
 
 
-def expire(nodes: DataFrame, lookups: DataFrame, credits: DataFrame, days: DataFrame, at: int) -> dict[str, DataFrame]:
-    """What is still kept at a time: lookups two days, receipts of closed days a week, days and nodes 90 days."""
+def expire(nodes: DataFrame, lookups: DataFrame, credits: DataFrame, days: DataFrame, at: int, probes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What is still kept at a time: lookups two days, receipts of closed days a week, days and nodes 90 days.
+
+    Of accepted probes, where given: those of days not closed yet, the models held in the last seven days, and the last one of each anchor
+    and node within a day (anchor, node, t)."""
     today = at // DAY
-    return {
+    more = {}
+    if probes is not None:
+        last = probes.groupBy("anchor", "node").agg(F.max("t").alias("t"))
+        more = {
+            "probes": probes.filter(epoch_day(F.col("t")) + 2 > today),
+            "held": held(probes, at),
+            "last_probe": last.filter(at - F.col("t") < DAY),
+        }
+    return more | {
         "lookups": lookups.filter(at - F.col("t") <= LOOKUP_SECS + DAY),
         "credits": credits.filter((F.col("day_no") + 2 > today) | (F.col("day_no") + 7 >= today)),
         "days": days.filter(F.col("day_no") >= today - HISTORY_DAYS),

@@ -2,6 +2,7 @@
 
 import hashlib
 
+from chunklake.operators import accounting as A
 from chunklake.operators import planning as L
 from chunklake.operators import registry as R
 
@@ -73,3 +74,28 @@ def test_days_of_every_registered_node(spark, data):
     assert {(r["day_no"], r["peer"]) for r in got} == want and len(got) == len(want) < len(days)
     assert {nodes[p] % 2 for _, p in want} == {0, 1}
     assert all(r["bytes_served"] == sum(x["bytes"] for x in days if x["day_no"] == r["day_no"]) for r in got)
+
+
+def test_probes_of_anchors_and_registered_nodes(spark):
+    rows = [
+        (1, "a1", "n1", "r2", "held", 0), (2, "a1", "n1", "r1", "held", 10), (3, "a1", "n1", "r1", "held", 50), (4, "bad", "n1", "r1", "held", 500),
+        (5, "a1", "n9", "r1", "up", 600), (6, "a1", "n1", "r2", "up", 700), (7, "a1", "n1", None, None, 800), (8, "a1", "n1", None, "held", 900),
+    ]
+    p = spark.createDataFrame(rows, "probe_id int, anchor string, node string, root string, outcome string, t long")
+    anchors = spark.createDataFrame([("a1",), ("a1",)], "anchor string")
+    nodes = spark.createDataFrame([("n1", ["r1"])], "peer string, models array<string>")
+    ids = lambda df: sorted(r["probe_id"] for r in df.collect())
+    assert ids(A.accepted_probes(p, 60, anchors, nodes)) == [2, 6, 7]
+    assert ids(A.accepted_probes(p, 60)) == [1, 4, 5, 6, 7, 8]
+    assert {tuple(r) for r in A.held(A.accepted_probes(p, 60, anchors, nodes), 1000).collect()} == {("n1", "r1", 10)}
+
+
+def test_expiry_of_probes(spark):
+    day, at = 86400, 10 * 86400 + 5
+    p = spark.createDataFrame([("a", "n", "r", "held", t) for t in (2 * day, 4 * day, 9 * day, 9 * day + 6)] + [("b", "n", "q", "held", 9 * day + 5)], "anchor string, node string, root string, outcome string, t long")
+    none = spark.createDataFrame([], "t long, day_no int, last_seen long")
+    kept = A.expire(none, none, none, none, at, p)
+    assert sorted(r["t"] for r in kept["probes"].collect()) == [9 * day, 9 * day + 5, 9 * day + 6]
+    assert sorted(tuple(r) for r in kept["last_probe"].collect()) == [("a", "n", 9 * day + 6)]
+    assert sorted(tuple(r) for r in kept["held"].collect()) == [("n", "q", 9 * day + 5), ("n", "r", 9 * day + 6)]
+    assert set(A.expire(none, none, none, none, at)) == {"lookups", "credits", "days", "nodes"}

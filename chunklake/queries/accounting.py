@@ -153,12 +153,21 @@ def probes_uptime(spark, d):
     return p.select("node", "probes", "answered", F.round(F.col("answered") / F.col("probes"), 6).alias("uptime"))
 
 
+def networks_all(spark, d):
+    """Addresses made of the whole user_id, so of every user; networks has those of 256 values. Ids are below 2^32."""
+    u = table(spark, d, "events").select(F.col("user_id").cast("bigint").alias("u")).filter("u is not null").distinct()
+    v4 = F.concat_ws(".", *[F.expr(f"cast(shiftright(u, {s}) & 255 as string)") for s in (24, 16, 8, 0)])
+    v6 = F.lower(F.concat_ws(":", F.lit("2001"), F.hex(F.expr("shiftright(u, 16) & 65535")), F.hex(F.expr("u & 65535"))))
+    ips = u.select(F.explode(F.array(v4, F.concat(F.lit("::ffff:"), v4), F.concat(v6, F.lit("::1")), F.concat(v6, F.lit(":1:2:3:4:5")))).alias("ip"))
+    return ips.select("ip", S.network(F.col("ip")).alias("network"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lookups_bound, receipts_taken, receipts_credit, probes_accepted, node_day, node_register, nodes_held, *map(_board, A.METRICS), node_history,
         node_page, bytes_served, days_finalized, days_finalized_all, served_by_source, rate_limited, downloads_daily, downloads_of, downloads_totals, downloads_retained,
-        networks, probes_uptime,
+        networks, networks_all, probes_uptime,
     )
 }
 
@@ -254,5 +263,11 @@ UNION ALL SELECT '::ffff:198.51.' || u || '.7', '198.51.' || u || '.0/24' FROM u
 UNION ALL SELECT '2001:db8:' || printf('%x', u) || '::1', '2001:db8:' || printf('%x', u) || '::/48' FROM u
 UNION ALL SELECT '2001:0DB8:0:' || printf('%x', u) || ':1:2:3:4', '2001:db8:0::/48' FROM u
 UNION ALL SELECT 'nowhere', NULL""",
+    "networks_all": """WITH u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS u FROM events WHERE user_id IS NOT NULL),
+x AS (SELECT (u >> 24 & 255) || '.' || (u >> 16 & 255) || '.' || (u >> 8 & 255) AS a, u & 255 AS b, '2001:' || printf('%x', u >> 16 & 65535) || ':' || printf('%x', u & 65535) AS c FROM u)
+SELECT a || '.' || b AS ip, a || '.0/24' AS network FROM x
+UNION ALL SELECT '::ffff:' || a || '.' || b, a || '.0/24' FROM x
+UNION ALL SELECT c || '::1', c || '::/48' FROM x
+UNION ALL SELECT c || ':1:2:3:4:5', c || '::/48' FROM x""",
     "probes_uptime": _BASE + _walk(60) + "SELECT node, count(*) AS probes, count(*) FILTER (WHERE outcome IS NULL OR outcome <> 'down') AS answered, round(count(*) FILTER (WHERE outcome IS NULL OR outcome <> 'down') / count(*), 6) AS uptime FROM ap GROUP BY node",
 }

@@ -154,6 +154,13 @@ def layer_keys(spark, d):
     return t.select("name", k["group"].alias("grp"), k["number"].alias("number"))
 
 
+def layer_keys_all(spark, d):
+    """A layer for every p_partkey; layer_keys has 40."""
+    t = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit("model.layers."), F.col("p_partkey").cast("string"), F.lit(".mlp.weight")), F.concat(F.lit("embed."), F.lower("p_brand")), F.concat(F.lit("lm_head."), F.col("p_size").cast("string")), F.lit("final.norm"))).alias("name")).distinct()
+    k = S.layer_key(F.col("name"))
+    return t.select("name", k["group"].alias("grp"), k["number"].alias("number"))
+
+
 def path_tree(spark, d):
     p = table(spark, d, "manifests").select(key("root").alias("root"), F.explode("files.path").alias("path")).distinct()
     return L.tree(p, ["root"]).select("root", "node", "parent", "is_file", "rank")
@@ -291,7 +298,7 @@ QUERIES = {
     for f in (
         dedup_by_source, dedup_by_lang, dedup_totals, dedup_by_root, dedup_by_dtype, dedup_between_sources, chunk_offsets, range_read, read_ahead,
         range_coalesce, block_cut, block_ids, blocks_held, missing_plan, source_rotation, source_preference, first_good_source, quorum, part_ranges,
-        chunk_places, prefetch_order, layer_keys, path_tree, tree_listing, announce_set, chunk_gates, chunk_gates_log, links_index, store_put, store_contains, store_known,
+        chunk_places, prefetch_order, layer_keys, layer_keys_all, path_tree, tree_listing, announce_set, chunk_gates, chunk_gates_log, links_index, store_put, store_contains, store_known,
         manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, text_codings, byte_ranges, model_names,
         params_per_dtype, exponent_histogram, largest_chunks,
     )
@@ -372,6 +379,9 @@ u AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY root, hash ORDER B
 SELECT root, hash, phase, CAST(row_number() OVER (PARTITION BY root ORDER BY phase, k1, k3, file_ix, chunk_ix) AS INTEGER) AS rank FROM u""",
     "layer_keys": """WITH t AS (SELECT DISTINCT unnest(['model.layers.' || (p_partkey % 40) || '.mlp.weight', 'embed.' || lower(p_brand), 'lm_head.' || p_size, 'final.norm']) AS name FROM part),
 n AS (SELECT name, TRY_CAST(list_filter(string_split(name, '.'), lambda p: regexp_full_match(p, '[0-9]+'))[1] AS BIGINT) AS number FROM t)
+SELECT name, CASE WHEN number IS NOT NULL THEN 1 WHEN regexp_matches(name, 'embed|wte|wpe') THEN 0 ELSE 2 END AS grp, coalesce(number, 0) AS number FROM n""",
+    "layer_keys_all": """WITH t AS (SELECT DISTINCT unnest(['model.layers.' || p_partkey || '.mlp.weight', 'embed.' || lower(p_brand), 'lm_head.' || p_size, 'final.norm']) AS name FROM part),
+n AS (SELECT name, TRY_CAST(list_filter(string_split(name, '.'), lambda p: regexp_full_match(p, '[0-9]+'))[1] AS BIGINT) AS number FROM t)
 SELECT name, CASE WHEN number IS NOT NULL THEN 1 WHEN regexp_matches(name, 'embed|wte|wpe') THEN 0 ELSE 2 END AS grp, coalesce(number, 0) AS number FROM n""",
     "path_tree": f"""WITH p AS (SELECT DISTINCT {_K.format("root")} AS root, unnest(files).path AS path FROM manifests),
 q AS (SELECT root, string_split(path, '/') AS s FROM p), e AS (SELECT root, s, unnest(generate_series(1, len(s))) AS i FROM q),

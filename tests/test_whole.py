@@ -99,3 +99,16 @@ def test_expiry_of_probes(spark):
     assert sorted(tuple(r) for r in kept["last_probe"].collect()) == [("a", "n", 9 * day + 6)]
     assert sorted(tuple(r) for r in kept["held"].collect()) == [("n", "q", 9 * day + 5), ("n", "r", 9 * day + 6)]
     assert set(A.expire(none, none, none, none, at)) == {"lookups", "credits", "days", "nodes"}
+
+
+def test_every_id_gives_its_own_row(spark, tmp_path):
+    from chunklake.queries import accounting, planning
+
+    ids = [0, 1, 255, 256, 257, 70_000, 2**31]
+    spark.createDataFrame([(i,) for i in ids] * 2 + [(None,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["ip"]: r["network"] for r in accounting.networks_all(spark, str(tmp_path)).collect()}
+    assert len(got) == 4 * len(ids) and got["0.1.17.112"] == got["::ffff:0.1.17.112"] == "0.1.17.0/24" and got["2001:1:1170::1"] == "2001:1:1170::/48"
+    assert got["2001:0:0::1"] == "2001:0:0::/48" and got["128.0.0.0"] == "128.0.0.0/24"
+    spark.createDataFrame([(i, "B", 1) for i in range(1, 101)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    numbers = {r["number"] for r in planning.layer_keys_all(spark, str(tmp_path)).collect() if r["name"].startswith("model.layers.")}
+    assert numbers == set(range(1, 101))

@@ -10,7 +10,6 @@ from chunklake.llm import bpe, distinct, frequent, packing, pii
 
 SHARE = 0.01
 TOP = 100
-PII_KEY = "chunklake"
 
 
 def _bits(df: DataFrame) -> int:
@@ -84,11 +83,12 @@ def p8_packing(spark, d):
 
 
 def p9_found(spark, d):
+    """The cases of which the redaction makes pseudonyms, from the same operator."""
     return pii.find_all(_texts(spark, d), table(spark, d, "name_list")).select("doc_id", "kind", "start_at")
 
 
 def p9_redacted(spark, d):
-    return pii.redact_all(_texts(spark, d), table(spark, d, "name_list"), PII_KEY)
+    return pii.redact_all(_texts(spark, d), table(spark, d, "name_list"))
 
 
 QUERIES = {f.__name__: f for f in (p1_distinct, p1_fetchers, p1_seen, p5_found, p5_topk, p7_ids, p8_found, p8_packing, p9_found, p9_redacted)}

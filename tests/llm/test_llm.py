@@ -2,14 +2,13 @@
 
 import base64
 import random
-from datetime import date
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunklake.llm import bpe, distinct, frequent, packing, pii
+from chunklake.llm import bpe, distinct, frequent, packing
 
 # ---------------------------------------------------------------- distinct counts
 
@@ -155,81 +154,3 @@ def test_pack_frames(spark):
     assert cut == {i for i, n in rows if n and n > 100}
     assert sum(map(sum, used.values())) / (100 * len(used)) > 0.9
     assert packing.pack(df.limit(0), "id", "n").count() == 0
-
-
-# ---------------------------------------------------------------- personal information
-
-NAMES = pii.Names([("Vulin", "given"), ("Hira", "given"), ("Zialiberg", "family"), ("Marsh", "family"), ("Flint", "given"), ("Reed", "given"), ("Maelin", "given"), ("Trilin", "given"), ("Bialin", "given")])
-
-CASES = [
-    ("Mail vulin.z+x@mail.lake.example, now", [("email", "vulin.z+x@mail.lake.example")]),
-    ("to <hira [at] post [dot] lake [dot] test> or a(at)b.example or c at d dot test.", [("email", "hira [at] post [dot] lake [dot] test"), ("email", "a(at)b.example"), ("email", "c at d dot test")]),
-    ("連絡先はvulin@lake.exampleです。", [("email", "vulin@lake.example")]),
-    ("use lake/model-3b@v1 and send 3 @ 2 per second, see x@2025-03", []),
-    ("call (618) 555-0188 or +44 7700 900779, 0171 not", [("phone", "(618) 555-0188"), ("phone", "+44 7700 900779")]),
-    ("his number (335-555-0192) and ((618) 555-0188)", [("phone", "335-555-0192"), ("phone", "(618) 555-0188")]),
-    ("+49(0)30/23125-688; (0171) 3920012; 030-23125879; 01.99.00.56.34; (+34) 555042890", [("phone", x) for x in ("+49(0)30/23125-688", "(0171) 3920012", "030-23125879", "01.99.00.56.34", "(+34) 555042890")]),
-    ("lines 120-133-3427, 10.68.3.307, 3 797 782 312 of 9,443,933,492 on 2025-04-25 12:00", []),
-    ("Ticket 4471-88-20391, job 4471/88/203, offset 1-078-912", []),
-    ("My social security number is 000-37-8257, ID QQ 21 65 83 B.", [("identity", "000-37-8257"), ("identity", "QQ 21 65 83 B")]),
-    ("Mi DNI es 99.206.210-G; tax_id: 06720504387", [("identity", "99.206.210-G"), ("identity", "06720504387")]),
-    ("at Flat 2, 103 Tanner St.\nHarrow Fen QX6 9QX and 14 St. Oswin's Lane, Saltley Bar, ZZ 00453.", [("address", "Flat 2, 103 Tanner St.\nHarrow Fen QX6 9QX"), ("address", "14 St. Oswin's Lane, Saltley Bar, ZZ 00453")]),
-    ("new address is 12 Kiln Lane, Ostwick. Then 9 Kiln Street\nThe rack", [("address", "12 Kiln Lane, Ostwick"), ("address", "9 Kiln Street")]),
-    ("Mühlenstr. 29, 99922 Harnau; 135, avenue des Puits; C/ Mayor Vieja n.º 88", [("address", "Mühlenstr. 29, 99922 Harnau"), ("address", "135, avenue des Puits"), ("address", "C/ Mayor Vieja n.º 88")]),
-    ("Lane 3 of the loader, Street View tiles go to lane 4.", []),
-    ("From: Vulin Zialiberg <v@l.test>", [("name", "Vulin Zialiberg"), ("email", "v@l.test")]),
-    ("cc: Zialiberg, Hira; h@l.test", [("name", "Zialiberg, Hira"), ("email", "h@l.test")]),
-    ("Thanks to A. Brant and HIRA MARSH for packing it", [("name", "A. Brant"), ("name", "HIRA MARSH")]),
-    ("Gate request from Dr. Marsh, passport no. X00348766, for it", [("name", "Marsh"), ("identity", "X00348766")]),
-    ("Un saludo, hira zialiberg", [("name", "hira zialiberg")]),
-    ("Flint is the slow one. Reed switches report, the marsh sensor too. Release \"St. Oswin\"", []),
-]
-
-
-@pytest.mark.parametrize("text,want", CASES)
-def test_finds(text, want):
-    got = [(k, text[a:b]) for k, a, b in pii.find(text, NAMES)]
-    assert got == want
-
-
-def test_finds_edges():
-    assert pii.find(None, NAMES) == pii.find("", NAMES) == pii.find(" \n", NAMES) == []
-    long = "x" * 30_000 + " 1" * 10_000 + " A" * 10_000
-    assert pii.find(long + " mail v@l.test", NAMES)[-1] == ("email", len(long) + 6, len(long) + 14)
-    assert pii.find("🙂 v@l.test", NAMES) == [("email", 2, 10)]  # code points
-
-
-@given(st.text("0123456789", min_size=1, max_size=18), st.binary(min_size=1, max_size=32))
-@settings(max_examples=200, deadline=None)
-def test_digits_are_permuted_and_come_back(digits, key):
-    new = pii.permute_digits(digits, key)
-    assert len(new) == len(digits) and pii.permute_digits(new, key, back=True) == digits
-
-
-def test_permutation_is_one_to_one():
-    for n in (1, 2, 3):
-        assert len({pii.permute_digits(f"{i:0{n}}", b"k") for i in range(10**n)}) == 10**n
-    assert len({pii.permute_day(date(2025, 1, d), b"k") for d in range(1, 32)}) == 31
-
-
-def test_pseudonyms_keep_format_and_links():
-    a, b = pii.pseudonym_number("+44 7700 900779", b"k", "phone"), pii.pseudonym_number("+44-7700-900779", b"k", "phone")
-    assert a.replace(" ", "-") == b and a != "+44 7700 900779" and a[0] == "+" and a[3] == " "
-    assert pii.pseudonym_number(a, b"k", "phone", back=True) == "+44 7700 900779"
-    for d in ("2025-02-28", "28.02.2025", "28/02/2025"):
-        new = pii.pseudonym_date(d, b"k")
-        assert len(new) == len(d) and pii.pseudonym_date(new, b"k", back=True) == d
-    assert pii.pseudonym_date("2025-02-30", b"k") == "2025-02-30"
-
-
-def test_redaction(spark):
-    text = "Call +44 7700 900779, ask for Hira. Bye"
-    out = pii.redact(text, NAMES, b"k")
-    assert out.startswith("Call <phone:+") and ", ask for <name:" in out and out.endswith(">. Bye")
-    docs = spark.createDataFrame([(1, text, 1), (2, None, 1), (3, "", 1), (1, text, 1)], "doc_id long, text string, kind int")
-    names = spark.createDataFrame([("Hira", "given"), (None, "family"), ("X", None)], "name string, role string")
-    got = sorted(tuple(r) for r in pii.find_all(docs, names).collect())
-    assert [g[1:] for g in got] == [("name", 30, 4), ("name", 30, 4), ("phone", 5, 15), ("phone", 5, 15)]
-    rows = pii.redact_all(docs, names, "secret").collect()
-    assert len(rows) == 4 and {r["text"] for r in rows if r["doc_id"] == 2} == {None}
-    assert pii.find_all(docs.limit(0), names.limit(0)).count() == 0

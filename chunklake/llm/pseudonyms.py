@@ -208,7 +208,7 @@ _DNI = "TRWAGMYFPDXBNJZSQVHLCKE"
 #: shapes of numbers with check characters: name, form, where the payload ends, the check from the payload
 CHECKED = [
     ("dni", re.compile(r"\d{8}[A-Z]"), 8, lambda p: _DNI[int(p) % 23]),
-    ("nie", re.compile(r"[XYZ]\d{7}[A-Z]"), 8, lambda p: _DNI[int("XYZ".index(p[0]) * 10**7 + int(p[1:])) % 23]),
+    ("nie", re.compile(r"[XYZ]\d{7}[A-Z]"), 8, lambda p: _DNI[("XYZ".index(p[0]) * 10**7 + int(p[1:])) % 23] if p[0] in "XYZ" else ""),
     ("nir", re.compile(r"[12]\d{14}"), 13, lambda p: f"{97 - int(p) % 97:02}"),
     ("steuer", re.compile(r"[1-9]\d{10}"), 10, _mod11_10),
     ("cpf", re.compile(r"\d{11}"), 9, _cpf),

@@ -85,6 +85,7 @@ def test_permutation_is_one_to_one():
     assert len({ps.permute_day(date(2025, 1, d), b"k") for d in range(1, 32)}) == 31
     assert len({ps.pseudonym_phone(f"+44 7700 9{i:05}", b"k") for i in range(3000)}) == 3000
     assert len({ps.pseudonym_identity(f"{i:08}" + ps._DNI[i % 23], b"k") for i in range(3000)}) == 3000
+    assert len({ps.pseudonym_identity(f"X{i:07}{ps._DNI[i % 23]}", b"k") for i in range(1000)}) == 1000
 
 
 @pytest.mark.parametrize(

@@ -40,10 +40,13 @@ def epoch_day(seconds: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one of this machine, but only for a
+    local master (tests): executors on other machines would each write to a folder of their own, so a cluster is refused."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(sc, "_chunklake_shared", None)
         if root is None:
             local = tempfile.mkdtemp(prefix="chunklake-")
@@ -75,13 +78,45 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut and it survives the loss of executors."""
+    """df as a table in the shared folder: its lineage is cut and it survives the loss of executors.
+
+    The folder is deleted when the driver's process ends, as results may be read from it until then."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    _delete_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_chunklake_written"):
+        sc._chunklake_written = []
+        stop = sc.stop
+
+        def cleaned(*args, **kwargs):
+            _delete(sc)
+            stop(*args, **kwargs)
+
+        sc.stop = cleaned
+        atexit.register(_delete, sc)
+    sc._chunklake_written.append(path)
+
+
+def _delete(sc) -> None:
+    """Delete the context's written tables, as far as the context still lives."""
+    paths, sc._chunklake_written = sc._chunklake_written, []
+    if sc._jsc is None:
+        return
+    try:
+        conf = sc._jsc.hadoopConfiguration()
+        for p in paths:
+            at = sc._jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the process is ending; what is left is a folder of the shared one
+        pass
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """df over at least `least` partitions (twice the cores by default); left alone when it has them already."""
     least = least or 2 * df.sparkSession.sparkContext.defaultParallelism
@@ -98,6 +133,17 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = 1 / 512) -> DataFram
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
 
 
+def hot_hashes(df: DataFrame, keys: list[str], share: float = 1 / 512) -> list[int]:
+    """xxhash64 of the keys that hold at least `share` of df's rows: at most 1/share numbers, for `isin` on either side of a join.
+
+    One pass without a shuffle of keys: a frequent-items sketch of bounded size, which misses no key of that share and may add one slightly
+    below it. Whoever salts by it must be right for any set of keys, so that only speed depends on it. An empty df has no hot keys."""
+    most = int(1 / share)
+    top = F.expr(f"approx_top_k(_h, {2 * most}, {16 * most})")
+    row = df.select(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("n"), top.alias("top")).first()
+    return [x["item"] for x in row["top"] or [] if x["count"] >= max(2, row["n"] * share)][:most]
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with its rows' places (from 1) in one order over all rows, without bringing them into one task.
 

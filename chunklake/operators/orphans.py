@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunklake.common import hot_keys, key, micros, table
+from chunklake.common import hot_hashes, key, micros, table
 
 ALWAYS = -(2**62)
 
@@ -34,10 +34,9 @@ def find_orphans(refs: DataFrame, parents: DataFrame, salts: int = 32) -> DataFr
     still = parents.filter("until is null").groupBy("kind", "key").agg(F.min("since").alias("since"), F.max("since").alias("last"))
     closed = parents.filter("until is not null").distinct()
     parents = still.select("kind", "key", "since", F.lit(None).cast("bigint").alias("until"), "last").unionByName(closed.withColumn("last", F.col("since")))
-    hot = F.broadcast(hot_keys(refs, ["kind", "key"]).withColumn("hot", F.lit(True)))  # at most 512 rows
+    hot = F.xxhash64("kind", "key").isin(hot_hashes(refs, ["kind", "key"]))  # at most 512 numbers
     left = (
-        refs.join(hot, ["kind", "key"], "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row", "at"), F.lit(salts)).cast("int")).otherwise(0))
+        refs.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("row", "at"), F.lit(salts)).cast("int")).otherwise(0))
         .select("kind", "key", "salt", F.lit(1).alias("phase"), F.col("at").alias("t"), F.lit(1).alias("side"),
                 F.lit(0).alias("opened"), F.lit(0).alias("ended"), F.lit(None).cast("bigint").alias("since"), "at", "row")
     )
@@ -49,8 +48,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, salts: int = 32) -> DataFr
         F.struct(F.lit(1).alias("phase"), F.col("until").alias("t"), F.lit(-1).alias("opened"), F.lit(1).alias("ended")),
     )
     right = (
-        parents.join(hot, ["kind", "key"], "left")
-        .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+        parents.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
         .withColumn("m", F.explode(F.filter(marks, lambda m: m["t"].isNotNull())))
         .select("kind", "key", "salt", "m.phase", "m.t", F.lit(0).alias("side"), "m.opened", "m.ended", F.col("last").alias("since"), F.lit(None).cast("bigint").alias("at"), nothing.alias("row"))
     )

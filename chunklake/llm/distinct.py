@@ -1,8 +1,12 @@
 """Distinct counts over huge identifier sets: linear counting on fixed bitmaps, merged by bitwise union.
 
 An identifier sets one bit of a bitmap of m = 2^k bits. A bitmap is held as its non-zero 64-bit words, one row each
-(group, word_ix, word), so a small set costs a few rows, a huge one at most m/64, and no group ever lies in one task. The
-union of bitmaps is bit_or per word, with partial unions before the shuffle; the estimate is m * ln(m / empty bits).
+(group, word_ix, word), so a set of few values costs few rows however large m is, a huge one at most m/64, and no group ever
+lies in one row or one task. The union of bitmaps is bit_or per word, with partial unions before the shuffle; the estimate is
+m * ln(m / empty bits), its standard error follows from the load. Bitmaps of different m merge after folding the larger one.
+
+The partial counts of the finest groups are the stored, mergeable result (`partials`); every combination of groups is counted
+from them (`cube_counts`), never from rows again.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.common import hot_keys
+from chunklake.common import hot_hashes
 
 ERROR = 0.01
 LEAST_BITS = 1 << 16
@@ -42,60 +46,64 @@ def bit_of(value: Column, m: int) -> Column:
 
 
 def partials(df: DataFrame, groups: list[str], value: str, m: int) -> DataFrame:
-    """Partial counts (groups, word_ix, word), to be merged with any others of the same m. Null values set no bit, but their groups stay away."""
-    b = df.filter(F.col(value).isNotNull()).select(*groups, bit_of(F.col(value), m).alias("_b"))
-    return b.groupBy(*groups, F.shiftright("_b", 6).alias("word_ix")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("word"))
-
-
-def merge(parts: list[DataFrame], groups: list[str]) -> DataFrame:
-    """The union of partial counts over any number of tables, days or runs."""
-    return reduce(DataFrame.unionByName, parts).groupBy(*groups, "word_ix").agg(F.bit_or("word").alias("word"))
+    """Partial counts (groups, word_ix bigint, word bigint), to be merged with any others. Rows with a null value set no bit; null groups are groups.
 
+    Words are united in each partition before the shuffle, so what is shuffled is bitmaps: a value that a partition holds over
+    and over leaves it once."""
+    b = df.filter(F.col(value).isNotNull()).select(*groups, bit_of(F.col(value).cast("string"), m).alias("_b"))
+    return b.groupBy(*groups, F.shiftright("_b", 6).alias("word_ix")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 as int))")).alias("word"))
 
-def roll_up(part: DataFrame, groups: list[str], sets: list[tuple[str, ...]] | None = None) -> DataFrame:
-    """Partial counts of every combination of groups (or of `sets`): a column grouping tells which columns are held, the others are null.
 
-    Made from the partial counts of the finest groups, not from rows."""
-    sets = sets if sets is not None else [c for n in range(len(groups) + 1) for c in combinations(groups, n)]
-    each = F.array(*[F.struct(F.lit(",".join(s)).alias("grouping"), *[(F.col(g) if g in s else F.lit(None).cast(part.schema[g].dataType)).alias(g) for g in groups]) for s in sets])
-    return part.select(F.explode(each).alias("g"), "word_ix", "word").select("g.*", "word_ix", "word").groupBy("grouping", *groups, "word_ix").agg(F.bit_or("word").alias("word"))
+def fold(part: DataFrame, groups: list[str], m: int) -> DataFrame:
+    """Partial counts of a larger bitmap as those of one of m bits."""
+    return part.groupBy(*groups, F.col("word_ix").bitwiseAND(m // 64 - 1).alias("word_ix")).agg(F.bit_or("word").alias("word"))
 
 
-def estimate(part: DataFrame, groups: list[str], m: int) -> DataFrame:
-    """(groups, bits_set, estimate): estimate = m * ln(m / empty bits), rounded; null when every bit is set, as the set is then too large for m."""
-    return with_estimate(part.groupBy(*groups).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set")), m)
+def merge(parts: list[tuple[DataFrame, int]], groups: list[str]) -> tuple[DataFrame, int]:
+    """The union of partial counts, each with its bits, over any number of tables, days or runs, and its bits: the least of theirs."""
+    m = min(bits for _, bits in parts)
+    same = [fold(p, groups, m) if bits > m else p.select(*groups, "word_ix", "word") for p, bits in parts]
+    return reduce(DataFrame.unionByName, same).groupBy(*groups, "word_ix").agg(F.bit_or("word").alias("word")), m
 
 
 def with_estimate(n: DataFrame, m: int) -> DataFrame:
-    return n.withColumn("estimate", F.when(F.col("bits_set") < m, F.round(m * F.log(m / (m - F.col("bits_set")))).cast("bigint")))
+    """bits_set with `estimate`, rounded, null when every bit is set, as the set is then too large for m, and `error`, the estimate's
+    relative standard error (six decimals), at most the one m was chosen for."""
+    s = F.col("bits_set")
+    load = F.log(m / (m - s))
+    error = F.round(F.sqrt(F.lit(float(m)) * (F.exp(load) - load - 1)) / (m * load), 6)
+    return n.withColumn("estimate", F.when(s < m, F.round(m * load).cast("bigint"))).withColumn("error", F.when(s < m, error))
 
 
-def cube_counts(df: DataFrame, groups: list[str], value: str, m: int, salts: int = 16) -> DataFrame:
-    """(grouping, groups, bits_set, estimate) of every combination of groups at once, straight from rows.
+def cube_counts(part: DataFrame, groups: list[str], m: int, salts: int = 16) -> DataFrame:
+    """(grouping, groups, bits_set, estimate, error) of every combination of groups, from the partial counts of the finest ones.
 
-    The first group should be the one with the most values: rows are shuffled once by it, and every combination that holds it
-    is united and counted where it lies. Its values with 1/512 of the rows or more are spread by word over `salts` partitions and
-    only their counts are added up. The combinations without it have few groups and are united with partial unions before the
-    shuffle. Rows with a null value set no bit; null groups are groups; a combination without rows has no row."""
+    A column `grouping` tells which columns are held, the others are null. The first group should be the one with the most
+    values: words are shuffled once by it, and every combination that holds it is united and counted where it lies. Its values with
+    1/512 of the words or more are spread by word over `salts` partitions and only their counts are added up. The combinations without
+    it have few groups and are united with partial unions before the shuffle. A combination without words has no row."""
     wide, rest = groups[0], groups[1:]
-    bits = df.filter(F.col(value).isNotNull()).select(*groups, bit_of(F.col(value), m).alias("_b"))
-    words = bits.select(*groups, F.shiftright("_b", 6).cast("int").alias("word_ix"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("word"))
 
     def sets(cols: list[str], always: list[str]) -> Column:
         of = [c for n in range(len(cols) + 1) for c in combinations(cols, n)]
         return F.explode(F.array(*[
-            F.struct(F.lit(",".join(g for g in groups if g in c or g in always)).alias("grouping"), *[(F.col(g) if g in c else F.lit(None).cast(df.schema[g].dataType)).alias(g) for g in cols])
+            F.struct(F.lit(",".join(g for g in groups if g in c or g in always)).alias("grouping"), *[(F.col(g) if g in c else F.lit(None).cast(part.schema[g].dataType)).alias(g) for g in cols])
             for c in of
         ]))
 
-    hot = F.broadcast(hot_keys(df.select(wide), [wide]).select(F.col(wide).alias("_wide"), F.lit(True).alias("_hot")))
-    a = words.join(hot, F.col(wide).eqNullSafe(F.col("_wide")), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False))).drop("_wide")
-    a = a.withColumn("_salt", F.when(F.col("_hot"), F.pmod("word_ix", F.lit(salts))).otherwise(0)).repartition(wide, "_salt")
-    g = [wide, "_salt", "_hot", "grouping", *rest]
-    a = a.select(wide, "_salt", "_hot", "word_ix", "word", sets(rest, [wide]).alias("_s")).select(wide, "_salt", "_hot", "word_ix", "word", "_s.*")
+    hot = hot_hashes(part, [wide])
+    salt = F.when(F.xxhash64(wide).isin(hot), F.pmod("word_ix", F.lit(salts)).cast("int")).otherwise(0) if hot else F.lit(0)
+    a = part.withColumn("_salt", salt).repartition(wide, "_salt")
+    g = [wide, "_salt", "grouping", *rest]
+    a = a.select(wide, "_salt", "word_ix", "word", sets(rest, [wide]).alias("_s")).select(wide, "_salt", "word_ix", "word", "_s.*")
     a = a.groupBy(*g, "word_ix").agg(F.bit_or("word").alias("word")).groupBy(*g).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set"))
-    spread = a.filter("_hot").groupBy("grouping", *groups).agg(F.sum("bits_set").alias("bits_set"))
-    b = words.select("word_ix", "word", sets(rest, []).alias("_s")).select("word_ix", "word", "_s.*", F.lit(None).cast(df.schema[wide].dataType).alias(wide))
+    if hot:
+        whole = a.filter(~F.xxhash64(wide).isin(hot))
+        spread = a.filter(F.xxhash64(wide).isin(hot)).groupBy("grouping", *groups).agg(F.sum("bits_set").alias("bits_set"))
+        counted = [whole, spread]
+    else:
+        counted = [a]
+    b = part.select("word_ix", "word", sets(rest, []).alias("_s")).select("word_ix", "word", "_s.*", F.lit(None).cast(part.schema[wide].dataType).alias(wide))
     b = b.groupBy("grouping", *groups, "word_ix").agg(F.bit_or("word").alias("word")).groupBy("grouping", *groups).agg(F.sum(F.bit_count("word")).cast("bigint").alias("bits_set"))
-    every = [x.select("grouping", *groups, "bits_set") for x in (a.filter("not _hot"), spread, b)]
+    every = [x.select("grouping", *groups, "bits_set") for x in (*counted, b)]
     return with_estimate(reduce(DataFrame.unionByName, every), m)

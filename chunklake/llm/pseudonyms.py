@@ -19,18 +19,25 @@ DIGITS = "0123456789"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@lru_cache(maxsize=64)
+def _keyed(key: bytes):
+    return hashlib.blake2b(key=key, digest_size=16)
+
+
 def round_value(key: bytes, i: int, tweak: bytes, half: str) -> int:
-    return int.from_bytes(hashlib.blake2b(bytes([i]) + tweak + b"\0" + half.encode(), key=key, digest_size=16).digest(), "big")
+    h = _keyed(key).copy()
+    h.update(b"%c%b\0%b" % (i, tweak, half.encode()))
+    return int.from_bytes(h.digest(), "big")
 
 
 def _size(shape: str) -> int:
-    n = 1
-    for c in shape:
-        n *= 26 if c == "A" else 10
-    return n
+    letters = shape.count("A")
+    return 26**letters * 10 ** (len(shape) - letters)
 
 
 def _number(chars: str, shape: str) -> int:
+    if "A" not in shape:
+        return int(chars)
     n = 0
     for c, s in zip(chars, shape):
         n = n * 26 + LETTERS.index(c) if s == "A" else n * 10 + int(c)
@@ -38,6 +45,8 @@ def _number(chars: str, shape: str) -> int:
 
 
 def _chars(n: int, shape: str) -> str:
+    if "A" not in shape:
+        return str(n).zfill(len(shape))
     out = []
     for s in reversed(shape):
         n, d = divmod(n, 26 if s == "A" else 10)

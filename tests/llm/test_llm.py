@@ -30,7 +30,8 @@ def exact(rows, groups):
 def test_counts_of_every_combination_within_the_error(spark):
     rows, df = rows_of(spark)
     m = distinct.bits_for(len(rows))
-    got = distinct.cube_counts(df, ["root", "server", "day"], "id", m).collect()
+    groups = ["root", "server", "day"]
+    got = distinct.cube_counts(distinct.partials(df, groups, "id", m), groups, m).collect()
     n = 0
     for names, ix in ((("root", "server", "day"), (1, 2, 0)), (("day",), (0,)), ((), ()), (("root", "day"), (1, 0)), (("server",), (2,))):
         want = exact(rows, ix)
@@ -39,11 +40,14 @@ def test_counts_of_every_combination_within_the_error(spark):
         for k, v in want.items():
             assert abs(mine[k] - v) <= max(1, 4 * distinct.ERROR * v)
         n += len(want)
-    # the same sets from partial counts of the finest groups, and from two halves merged
-    parts = distinct.merge([distinct.partials(df.filter("day = 0"), ["root", "server", "day"], "id", m), distinct.partials(df.filter("day > 0"), ["root", "server", "day"], "id", m)], ["root", "server", "day"])
-    again = distinct.estimate(distinct.roll_up(parts, ["root", "server", "day"]), ["grouping", "root", "server", "day"], m).collect()
-    key = lambda r: (r["grouping"], str(r["root"]), str(r["server"]), str(r["day"]), r["bits_set"])
+    # the same from two halves whose bitmaps differ in size, merged
+    halves = [(distinct.partials(df.filter("day = 0"), groups, "id", m), m), (distinct.partials(df.filter("day > 0"), groups, "id", 4 * m), 4 * m)]
+    part, bits = distinct.merge(halves, groups)
+    assert bits == m
+    again = distinct.cube_counts(part, groups, bits).collect()
+    key = lambda r: (r["grouping"], str(r["root"]), str(r["server"]), str(r["day"]), r["bits_set"], r["error"])
     assert sorted(map(key, again)) == sorted(map(key, got))
+    assert all(r["error"] <= distinct.ERROR for r in got)
 
 
 def test_bitmap_sizes():
@@ -54,9 +58,18 @@ def test_bitmap_sizes():
 
 def test_full_bitmap_and_empty_table(spark):
     df = spark.range(2000).selectExpr("1 as g", "cast(id as string) as id")
-    full = distinct.estimate(distinct.partials(df, ["g"], "id", 64), ["g"], 64).first()
-    assert full["bits_set"] == 64 and full["estimate"] is None
-    assert distinct.cube_counts(df.limit(0), ["g"], "id", 1 << 16).count() == 0
+    full = distinct.cube_counts(distinct.partials(df, ["g"], "id", 64), ["g"], 64).filter("grouping = 'g'").first()
+    assert full["bits_set"] == 64 and full["estimate"] is None and full["error"] is None
+    assert distinct.cube_counts(distinct.partials(df.limit(0), ["g"], "id", 1 << 16), ["g"], 1 << 16).count() == 0
+
+
+def test_bits_beyond_an_int(spark):
+    m = 1 << 45
+    part = distinct.partials(spark.range(1000).selectExpr("1 as g", "cast(id as string) as id"), ["g"], "id", m)
+    assert part.agg({"word_ix": "max"}).first()[0] > 1 << 31
+    assert {r["estimate"] for r in distinct.cube_counts(part, ["g"], m).collect()} == {1000}
+    folded = distinct.fold(part, ["g"], 1 << 16)
+    assert folded.agg({"word_ix": "max"}).first()[0] < 1 << 10
 
 
 # ---------------------------------------------------------------- frequent items

@@ -38,10 +38,10 @@ def p3_found(spark, d):
 
 
 def p3_rolling(spark, d):
-    changes_ = rolling.amount_versions(table(spark, d, "recent"))
-    by_name = rolling.rolling_state(changes_.withColumn("scope", F.lit("name")), ["scope", "name"], FIRST, LAST)
-    every = changes_.withColumn("scope", F.lit("all")).withColumn("name", F.lit(None).cast("string"))
-    both = by_name.unionByName(rolling.rolling_state(every, ["scope", "name"], FIRST, LAST))
+    c = rolling.amount_versions(table(spark, d, "recent"))
+    # all names together are one entity more; its amounts are united per day before anything else
+    scopes = c.withColumn("scope", F.lit("name")).unionByName(c.withColumn("scope", F.lit("all")).withColumn("name", F.lit(None).cast("string")))
+    both = rolling.rolling_state(scopes, ["scope", "name"], FIRST, LAST)
     return both.select(
         "scope", "name", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_7", F.round("mean_7", 6).alias("mean_7"),
         "total_30", F.round("mean_30", 6).alias("mean_30"), F.col("version").cast("bigint").alias("version"),

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from chunklake.operators import changes, compaction, orphans, rolling
 
@@ -64,7 +65,7 @@ def test_orphans_keep_clashing_columns(spark):
 
 def saves(spark, rows):
     return spark.createDataFrame(rows, "registry string, day string, name string, downloads long, saved long").selectExpr(
-        "registry", "to_date(day) as day", "name", "downloads", "timestamp_seconds(saved) as saved"
+        "registry", "to_date(day) as day", "name", "downloads", "timestamp_seconds(1735689600 + saved * 864000) as saved"
     )
 
 
@@ -86,16 +87,21 @@ def test_rolling_against_brute_force_and_steps(spark):
     for (n, d), (a, b) in got.items():
         want = [sum(v for (_, m, e), v in latest.items() if m == n and 0 <= (day(d) - day(e)).days < p) for p in (7, 30)]
         assert [a, b] == want, (n, d)
-    # yesterday's state, today's arrivals and the expiring amounts give today's
-    amounts = c.groupBy("name", "day").agg({"change": "sum"}).withColumnRenamed("sum(change)", "amount")
-    full = rolling.rolling_state(c, ["name"], "2025-01-01", "2025-03-10")
-    step = rolling.advance_day(full.filter("day = '2025-02-14'"), amounts, ["name"], "2025-02-15")
+    assert c.filter("late").count() > 10 and c.filter("not late").count() > 10
+    # yesterday's state, today's arrivals and the expiring amounts give today's, a day at a time as in blocks of any length
+    known = c.withColumn("late", F.lit(False))
+    amounts = c.groupBy("name", "day").agg(F.sum("change").alias("amount"), F.max("version").alias("version"))
+    full = rolling.rolling_state(known, ["name"], "2025-01-01", "2025-03-10")
+    step = rolling.advance(full.filter("day = '2025-02-14'"), amounts, ["name"], "2025-02-15", "2025-02-15")
     assert sorted(map(str, step.collect())) == sorted(map(str, full.filter("day = '2025-02-15'").select(step.columns).collect()))
+    assert sorted(map(str, rolling.rolling_state(known, ["name"], "2025-01-01", "2025-03-10", block=7).collect())) == sorted(map(str, full.collect()))
+    # what is known late gives the same totals as what is known in time
+    assert sorted(map(str, rolling.rolling_state(c, ["name"], "2025-01-01", "2025-03-10").collect())) == sorted(map(str, full.collect()))
     # a correction changes and marks only the days whose periods hold its day
-    fix = spark.createDataFrame([("x", 10)], "name string, change long").selectExpr("name", "to_date('2025-02-10') as day", "change")
-    state = rolling.rolling_state(c, ["name"], "2025-02-01", "2025-03-10")
-    new = rolling.apply_corrections(state, fix, ["name"], 99)
-    more = c.select("name", "day", "change", "version").unionByName(fix.selectExpr("name", "day", "change", "99 as version"))
+    fix = spark.createDataFrame([("x", 10, 99)], "name string, change long, version int").selectExpr("name", "to_date('2025-02-10') as day", "change", "version")
+    state = rolling.rolling_state(known, ["name"], "2025-02-01", "2025-03-10")
+    new = rolling.apply_corrections(state, fix, ["name"])
+    more = known.select("name", "day", "change", "version", "late").unionByName(fix.withColumn("late", F.lit(False)))
     again = rolling.rolling_state(more, ["name"], "2025-02-01", "2025-03-10")
     pick = ["name", "day", "total_7", "total_30"]
     assert sorted(map(str, new.select(pick).collect())) == sorted(map(str, again.select(pick).collect()))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +145,18 @@ def test_compaction(spark, tmp_path):
     some = made[0]["path"]
     shutil.copy(some, f"{tmp_path}/a/data/part-stray.parquet")
     assert compaction.compacted(spark, folder).count() == 300
+    # records that were exchanged for others are seen, although their number is right, as are lost ones
+    rows_, check = sum(r["rows"] for r in made), int(sum(r["check"] for r in made))
+    compaction.verify(spark, folder, (rows_, check))
+    for want in ((rows_, check + 1), (rows_ + 1, check)):
+        with pytest.raises(OSError):
+            compaction.verify(spark, folder, want)
+    pq.write_table(pq.read_table(some).slice(1), some)
+    with pytest.raises(OSError):
+        compaction.verify(spark, folder, (rows_, check))
+    fs.LocalFileSystem().delete_file(f"{tmp_path}/a/CURRENT")
+    with pytest.raises(FileNotFoundError):
+        compaction.compacted(spark, folder)
 
 
 def test_compaction_empty_and_hot_file(spark, tmp_path):

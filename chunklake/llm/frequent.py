@@ -1,9 +1,10 @@
 """Most frequent items: three-phase threshold top-k over local counts.
 
 A node is a run of rows of one partition with at most `node_values` distinct values, so its counts always fit. Nodes write
-their local counts to the shared folder once. Phase 1 exchanges the k largest of each node, which gives a lower bound
-of the k-th largest total; phase 2 fetches the values whose local count reaches the bound's share (bound / nodes): any value
-that reaches the bound does so in some node; phase 3 adds up the candidates' counts over all nodes exactly.
+their local counts to the shared folder once. Phase 1 exchanges the k largest of each node, which gives a lower bound of the k-th
+largest total. Every node has a share of the bound, in proportion to its rows, so that the shares add up to the bound: a value that
+reaches the bound reaches the share of some node. Phase 2 fetches the values whose local count reaches their node's share;
+phase 3 adds up the candidates' counts over all nodes exactly.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ def _count(node_values: int):
         def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
             node = uuid4().hex
             t = t.sort_by([("n", "descending"), ("item", "ascending")])
+            rows = pc.sum(t.column("n")).as_py()
+            t = t.append_column("node_rows", pa.array([rows] * t.num_rows, pa.int64()))
             t = t.append_column("place", pa.array(range(1, t.num_rows + 1), pa.int64())).append_column("node", pa.array([node] * t.num_rows, pa.string()))
             yield from t.combine_chunks().to_batches(max_chunksize=100_000)
 
@@ -55,9 +58,9 @@ def _count(node_values: int):
 
 
 def local_counts(items: DataFrame, node_values: int = NODE_VALUES) -> DataFrame:
-    """(node, item, n, place) of one column of strings, null included as a value; written, so all phases see the same nodes."""
+    """(node, node_rows, item, n, place) of one column of strings, null included as a value; written, so all phases see the same nodes."""
     one = items.toDF("item")
-    return written(one.mapInArrow(_count(node_values), schema="item string, n long, place long, node string"), "counts")
+    return written(one.mapInArrow(_count(node_values), schema="item string, n long, node_rows long, place long, node string"), "counts")
 
 
 def _exact(local: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -67,28 +70,32 @@ def _exact(local: DataFrame, candidates: DataFrame) -> DataFrame:
     return local.join(side, local["item"].eqNullSafe(candidates["item"]), "left_semi").groupBy("item").agg(F.sum("n").alias("n"))
 
 
-def top_k(items: DataFrame, k: int, node_values: int = NODE_VALUES) -> DataFrame:
-    """The k most frequent values and their exact counts (item, n); ties at the end: the smaller value, nulls first.
-
-    Null is a value like any other; fewer than k distinct values give all of them, an empty column gives none."""
+def _most(items: DataFrame, k: int, share: float, node_values: int) -> tuple[DataFrame, float]:
+    """Exact counts of all values that may be among the k largest and reach a share of all rows, and how many rows that share is."""
     local = local_counts(items, node_values)
-    nodes = local.filter("place = 1").count()
-    if not nodes:
-        return local.select("item", "n").limit(0)
+    total = local.filter("place = 1").agg(F.coalesce(F.sum("node_rows"), F.lit(0))).first()[0]
+    least = total * share
+    # phase 1: k-th largest sum of the leaders, a lower bound of the k-th largest total
     leaders = local.filter(F.col("place") <= k).groupBy("item").agg(F.sum("n").alias("n"))
     low = leaders.orderBy(F.desc("n")).limit(k).agg(F.min("n"), F.count("n")).first()
-    bound = low[0] if low[1] == k else 0
-    candidates = local.filter(F.col("n") >= -(-bound // nodes)).select("item").distinct() if bound > nodes else local.select("item").distinct()
-    return _exact(local, candidates).orderBy(F.desc("n"), F.asc_nulls_first("item")).limit(k)
+    bound = max(low[0] if low[1] == k else 0, least)
+    # phase 2; with a bound so low that every share is one row, all values are candidates
+    candidates = local.filter(F.col("n") * total >= F.lit(float(bound)) * F.col("node_rows")).select("item").distinct()
+    return _exact(local, candidates), least
+
+
+def top_k(items: DataFrame, k: int, node_values: int = NODE_VALUES) -> DataFrame:
+    """The k most frequent values and their exact counts (item, n); ties at the end: the smaller value, nulls first.
+
+    Null is a value like any other; fewer than k distinct values give all of them, an empty column gives none. Where all values are about
+    equally frequent the bound parts nothing: all of them are counted, by partial counts and one shuffle, as exactness demands."""
+    counts, _ = _most(items, k, 0.0, node_values)
+    return counts.orderBy(F.desc("n"), F.asc_nulls_first("item")).limit(k)
 
 
 def over_share(items: DataFrame, share: float, node_values: int = NODE_VALUES) -> DataFrame:
     """The values in at least `share` of all rows, with exact counts (item, n). Rows with null count for the total and may be a value.
 
-    Such a value reaches this share of the rows of some node, so a node fetches at most 1/share values."""
-    local = local_counts(items, node_values)
-    sizes = local.groupBy("node").agg(F.sum("n").alias("rows"))
-    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    leaders = local.filter(F.col("place") <= int(1 / share) + 1)
-    candidates = leaders.join(sizes, "node").filter(F.col("n") >= F.col("rows") * share).select("item").distinct()
-    return _exact(local, candidates).filter(F.col("n") >= total * share)
+    At most 1/share values can reach it, so they are among the 1/share most frequent: the bound is the larger one of both."""
+    counts, least = _most(items, int(1 / share + 1e-9), share, node_values)
+    return counts.filter(F.col("n") >= least)

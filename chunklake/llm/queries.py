@@ -139,6 +139,30 @@ def p8_packing(spark, d):
     return _packed(spark, d).withColumnRenamed("item_id", "doc_id")
 
 
+def _packed_characters(spark, d):
+    """The same packing with texts sized in characters, which SQL can count, too."""
+    return packing.pack(_texts(spark, d).select("doc_id", F.length("text").alias("n")), "doc_id", "n")
+
+
+def p8_invariants(spark, d):
+    """Per text, sized in characters: how much of it is placed, in how many pieces, whether they cover it without gaps or overlaps,
+    and whether all its containers hold what they should and no more than they may."""
+    p = _packed_characters(spark, d)
+    held = p.groupBy("container").agg(((F.sum("length") == F.max("used")) & (F.max("used") == F.min("used")) & (F.max("used") <= packing.CAPACITY)).alias("ok"))
+    return p.join(held, "container").groupBy(F.col("item_id").alias("doc_id")).agg(
+        F.sum("length").alias("placed"), F.count(F.lit(1)).alias("pieces"),
+        ((F.min("start") == 0) & (F.max(F.col("start") + F.col("length")) == F.sum("length")) & (F.count_distinct("start") == F.count(F.lit(1)))).alias("whole"),
+        F.bool_and("ok").alias("fits"),
+    )
+
+
+def p8_fill(spark, d):
+    """All texts, sized in characters: pieces, characters, and whether the containers are at most 1 % (and 16) more than needed at least."""
+    p = _packed_characters(spark, d)
+    n = p.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("characters"), F.count_distinct("container").alias("containers"))
+    return n.select("pieces", "characters", (F.col("containers") <= F.ceil(F.col("characters") / packing.CAPACITY) * 1.01 + 16).alias("full"))
+
+
 def p9_found(spark, d):
     """The cases of which the redaction makes pseudonyms, from the same operator."""
     return pii.find_all(_texts(spark, d), table(spark, d, "name_list")).select("doc_id", "kind", "start_at")
@@ -148,7 +172,7 @@ def p9_redacted(spark, d):
     return pii.redact_all(_texts(spark, d), table(spark, d, "name_list"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_fetchers, p1_seen, p1_partials, p1_merged, distinct_bound, p5_found, p5_topk, p7_ids, p8_found, p8_packing, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_fetchers, p1_seen, p1_partials, p1_merged, distinct_bound, p5_found, p5_topk, p7_ids, p8_found, p8_packing, p8_invariants, p8_fill, p9_found, p9_redacted)}
 
 _K = "nullif(lower(trim({0}, ' \t\r\n')), '')"
 
@@ -205,6 +229,10 @@ SQL = {
     "p1_partials": _words_sql(*_FETCHERS, _ABC, "receipts") + " UNION ALL " + _words_sql(*_SEEN, _ABC, "seen"),
     "p1_merged": _linear_counting(*_FETCHERS, _ABC, "receipts", _LESS) + " UNION ALL " + _linear_counting(*_SEEN, _ABC, "seen", _LESS),
     "distinct_bound": _exact_sql(*_FETCHERS, "receipts") + " UNION ALL " + _exact_sql(*_SEEN, "seen"),
+    "p8_invariants": f"""SELECT doc_id, CAST(length(text) AS BIGINT) AS placed, CAST(ceil(length(text) / {packing.CAPACITY}) AS BIGINT) AS pieces, true AS whole, true AS fits
+FROM documents WHERE length(text) > 0""",
+    "p8_fill": f"""SELECT CAST(sum(ceil(length(text) / {packing.CAPACITY})) AS BIGINT) AS pieces, CAST(sum(length(text)) AS BIGINT) AS characters, true AS "full"
+FROM documents WHERE length(text) > 0""",
     "p5_found": f"SELECT hash FROM (SELECT {_K.format('hash')} AS hash, count(*) AS n FROM chunks GROUP BY 1) WHERE hash IS NOT NULL AND n >= {SHARE} * (SELECT count(*) FROM chunks)",
     "p5_topk": f"SELECT hash, n FROM (SELECT {_K.format('hash')} AS hash, count(*) AS n FROM chunks GROUP BY 1) ORDER BY n DESC, hash NULLS FIRST LIMIT {TOP}",
 }

@@ -137,25 +137,48 @@ def test_encode_frames(spark):
 # ---------------------------------------------------------------- packing
 
 
-@given(st.lists(st.integers(1, 100), min_size=1, max_size=300), st.integers(1, 6))
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=300), st.sampled_from([1, 3, 20, 100]))
 @settings(max_examples=150, deadline=None)
-def test_packing_places_every_piece_within_the_capacity(lengths, classes):
+def test_packing_places_every_piece_within_the_capacity(lengths, parts):
     n = np.array(lengths)
-    where, count = packing.pack_lengths(n, 100, classes)
+    where, count = packing.pack_lengths(n, 100, parts)
     used = np.bincount(where, weights=n, minlength=count)
     assert (where >= 0).all() and used.max() <= 100 and (used > 0).all()
-    for k in range(1, classes + 1):  # containers of a class hold k of it, but for the last
-        of = where[100 // n == k]
-        if len(of):
-            per = np.unique(of, return_counts=True)[1]
-            assert per.max() <= k and (per < k).sum() <= 1
+    if parts == 1:  # plain harmonic classes: k pieces of the class a container begins with, but for the last of a class
+        first = np.full(count, 101)
+        np.minimum.at(first, where, 100 // n)
+        for k in set(first.tolist()):
+            held = [int(((where == c) & (100 // n == k)).sum()) for c in np.flatnonzero(first == k)]
+            assert max(held) <= k and sum(h < k for h in held) <= 1
+
+
+@pytest.mark.parametrize("name,low", [("uniform", 0.995), ("halves", 0.99), ("lognormal", 0.995), ("small", 0.995)])
+def test_fill_of_several_distributions(name, low):
+    r = np.random.default_rng(7)
+    x = {
+        "uniform": r.integers(1, 1024, 50_000), "halves": np.concatenate([r.integers(342, 513, 25_000), r.integers(513, 683, 25_000)]),
+        "lognormal": np.clip(r.lognormal(5, 1, 50_000).astype(int), 1, 1023), "small": r.integers(1, 101, 50_000),
+    }[name]
+    _, count = packing.pack_lengths(x)
+    assert x.sum() / (packing.CAPACITY * count) >= low
+
+
+def test_pack_copies_null_and_equal_ids(spark):
+    df = spark.range(6000).selectExpr("cast(case when id % 3 = 0 then null else 7 end as bigint) as id", "250 as n")
+    got = packing.pack(df, "id", "n", 1000, share_rows=500)
+    assert got.count() == 6000 and got.groupBy("container").agg({"length": "sum"}).filter("`sum(length)` > 1000").count() == 0
+    assert got.selectExpr("split(container, '-')[0] as s").groupBy("s").count().agg({"count": "max"}).first()[0] < 700
+    same = packing.pack(df, "id", "n", 1000, share_rows=500)
+    assert got.exceptAll(same).count() == 0
+    big = packing.pack(spark.createDataFrame([(1, 250), (1, 350), (None, 250), (None, 250)], "id long, n int"), "id", "n", 100)
+    assert big.filter("container like 'full%'").groupBy("container").count().filter("count > 1").count() == 0
 
 
 def test_pack_frames(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([0, None, 5, 60, 100, 101, 250, 300, rnd.randrange(1, 100)])) for i in range(700)] + [(5, 77), (5, 77), (None, 10)]
     df = spark.createDataFrame(rows, "id long, n int")
-    got = packing.pack(df, "id", "n", 100, 3, 100).collect()
+    got = packing.pack(df, "id", "n", 100, share_rows=100).collect()
     assert sum(r["length"] for r in got) == sum(n or 0 for _, n in rows)
     used = {}
     for r in got:

@@ -123,16 +123,6 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = 1 / 512) -> DataFrame:
-    """The keys that hold at least `share` of df's rows: at most 1/share rows, so always safe to broadcast.
-
-    Counted exactly, with partial counts before the shuffle. An empty df has no hot keys."""
-    n = df.count()
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.filter(F.col("_n") >= max(2, int(n * share))).select(*keys).limit(int(1 / share) + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.select(*keys).schema)
-
-
 def hot_hashes(df: DataFrame, keys: list[str], share: float = 1 / 512) -> list[int]:
     """xxhash64 of the keys that hold at least `share` of df's rows: at most 1/share numbers, for `isin` on either side of a join.
 

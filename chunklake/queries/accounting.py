@@ -96,12 +96,7 @@ def bytes_served(spark, d):
 
 
 def days_finalized(spark, d):
-    few = _nodes(spark, d).filter("registered % 2 = 0")
-    return A.finalize(_days(spark, d), few, TODAY)
-
-
-def days_finalized_all(spark, d):
-    """Closed days of every registered node; servers that no probe registered are left out. days_finalized has every second node."""
+    """Closed days of every registered node; servers that no probe registered are left out."""
     return A.finalize(written(_days(spark, d), "days"), _nodes(spark, d), TODAY)
 
 
@@ -140,21 +135,13 @@ def downloads_retained(spark, d):
     return A.retained(_event_days(spark, d), 19765)
 
 
-def networks(spark, d):
-    u = table(spark, d, "events").select((F.col("user_id") % 256).alias("u")).distinct()
-    s = F.col("u").cast("string")
-    h = F.lower(F.hex("u"))
-    ips = u.select(F.explode(F.array(F.concat(F.lit("192.0.2."), s), F.concat(F.lit("::ffff:198.51."), s, F.lit(".7")), F.concat(F.lit("2001:db8:"), h, F.lit("::1")), F.concat(F.lit("2001:0DB8:0:"), h, F.lit(":1:2:3:4")), F.lit("nowhere"))).alias("ip")).distinct()
-    return ips.select("ip", S.network(F.col("ip")).alias("network"))
-
-
 def probes_uptime(spark, d):
     p = A.accepted_probes(_probes(spark, d)).groupBy("node").agg(F.count(F.lit(1)).alias("probes"), F.count_if(F.col("outcome").isNull() | (F.col("outcome") != "down")).alias("answered"))
     return p.select("node", "probes", "answered", F.round(F.col("answered") / F.col("probes"), 6).alias("uptime"))
 
 
-def networks_all(spark, d):
-    """Addresses made of the whole user_id, so of every user; networks has those of 256 values. Ids are below 2^32."""
+def networks(spark, d):
+    """Addresses made of the whole user_id, so of every user. Ids are below 2^32."""
     u = table(spark, d, "events").select(F.col("user_id").cast("bigint").alias("u")).filter("u is not null").distinct()
     v4 = F.concat_ws(".", *[F.expr(f"cast(shiftright(u, {s}) & 255 as string)") for s in (24, 16, 8, 0)])
     v6 = F.lower(F.concat_ws(":", F.lit("2001"), F.hex(F.expr("shiftright(u, 16) & 65535")), F.hex(F.expr("u & 65535"))))
@@ -166,8 +153,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         lookups_bound, receipts_taken, receipts_credit, probes_accepted, node_day, node_register, nodes_held, *map(_board, A.METRICS), node_history,
-        node_page, bytes_served, days_finalized, days_finalized_all, served_by_source, rate_limited, downloads_daily, downloads_of, downloads_totals, downloads_retained,
-        networks, networks_all, probes_uptime,
+        node_page, bytes_served, days_finalized, served_by_source, rate_limited, downloads_daily, downloads_of, downloads_totals, downloads_retained,
+        networks, probes_uptime,
     )
 }
 
@@ -247,9 +234,7 @@ SQL = {
     "node_history": _DAYS + "SELECT * FROM hist",
     "node_page": _DAYS + "SELECT peer, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(probes) AS BIGINT) AS probes, CAST(sum(answered) AS BIGINT) AS answered FROM hist GROUP BY peer",
     "bytes_served": _DAYS + f"SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes_served FROM days WHERE day_no <= {TODAY}",
-    "days_finalized": _DAYS + f"""SELECT d.*, t.bytes_served FROM days d JOIN nodes n ON n.peer = d.peer AND n.registered % 2 = 0
-  JOIN (SELECT day_no, CAST(sum(bytes) AS BIGINT) AS bytes_served FROM days GROUP BY day_no) t ON t.day_no = d.day_no WHERE d.day_no + 2 <= {TODAY}""",
-    "days_finalized_all": _DAYS + f"""SELECT d.*, t.bytes_served FROM days d JOIN nodes n ON n.peer = d.peer
+    "days_finalized": _DAYS + f"""SELECT d.*, t.bytes_served FROM days d JOIN nodes n ON n.peer = d.peer
   JOIN (SELECT day_no, CAST(sum(bytes) AS BIGINT) AS bytes_served FROM days GROUP BY day_no) t ON t.day_no = d.day_no WHERE d.day_no + 2 <= {TODAY}""",
     "served_by_source": _BASE + "SELECT server AS source, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS chunks FROM r GROUP BY server",
     "rate_limited": _BASE + "SELECT receipt_id, right(server, 1) AS network, CAST(row_number() OVER (PARTITION BY right(server, 1), time // 3600 ORDER BY time, receipt_id) AS INTEGER) AS place FROM r QUALIFY place <= 10",
@@ -257,13 +242,7 @@ SQL = {
     "downloads_of": _EVENTS + "SELECT name, CAST(sum(downloads) AS BIGINT) AS total, CAST(coalesce(sum(downloads) FILTER (WHERE day_no > 19720 AND day_no <= 19750), 0) AS BIGINT) AS last_30_days FROM dd GROUP BY name",
     "downloads_totals": _EVENTS + "SELECT day_no, downloads, CAST(sum(downloads) OVER (ORDER BY day_no) AS BIGINT) AS total FROM (SELECT day_no, CAST(sum(downloads) AS BIGINT) AS downloads FROM dd GROUP BY day_no)",
     "downloads_retained": _EVENTS + "SELECT * FROM dd WHERE day_no + 30 > 19765",
-    "networks": """WITH u AS (SELECT DISTINCT user_id % 256 AS u FROM events)
-SELECT '192.0.2.' || u AS ip, '192.0.2.0/24' AS network FROM u
-UNION ALL SELECT '::ffff:198.51.' || u || '.7', '198.51.' || u || '.0/24' FROM u
-UNION ALL SELECT '2001:db8:' || printf('%x', u) || '::1', '2001:db8:' || printf('%x', u) || '::/48' FROM u
-UNION ALL SELECT '2001:0DB8:0:' || printf('%x', u) || ':1:2:3:4', '2001:db8:0::/48' FROM u
-UNION ALL SELECT 'nowhere', NULL""",
-    "networks_all": """WITH u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS u FROM events WHERE user_id IS NOT NULL),
+    "networks": """WITH u AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS u FROM events WHERE user_id IS NOT NULL),
 x AS (SELECT (u >> 24 & 255) || '.' || (u >> 16 & 255) || '.' || (u >> 8 & 255) AS a, u & 255 AS b, '2001:' || printf('%x', u >> 16 & 65535) || ':' || printf('%x', u & 65535) AS c FROM u)
 SELECT a || '.' || b AS ip, a || '.0/24' AS network FROM x
 UNION ALL SELECT '::ffff:' || a || '.' || b, a || '.0/24' FROM x

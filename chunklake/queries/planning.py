@@ -149,12 +149,6 @@ def prefetch_order(spark, d):
 
 
 def layer_keys(spark, d):
-    t = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit("model.layers."), (F.col("p_partkey") % 40).cast("string"), F.lit(".mlp.weight")), F.concat(F.lit("embed."), F.lower("p_brand")), F.concat(F.lit("lm_head."), F.col("p_size").cast("string")), F.lit("final.norm"))).alias("name")).distinct()
-    k = S.layer_key(F.col("name"))
-    return t.select("name", k["group"].alias("grp"), k["number"].alias("number"))
-
-
-def layer_keys_all(spark, d):
     """A layer for every p_partkey; layer_keys has 40."""
     t = table(spark, d, "part").select(F.explode(F.array(F.concat(F.lit("model.layers."), F.col("p_partkey").cast("string"), F.lit(".mlp.weight")), F.concat(F.lit("embed."), F.lower("p_brand")), F.concat(F.lit("lm_head."), F.col("p_size").cast("string")), F.lit("final.norm"))).alias("name")).distinct()
     k = S.layer_key(F.col("name"))
@@ -180,14 +174,7 @@ def announce_set(spark, d):
 
 
 def chunk_gates(spark, d):
-    """Which repos gate each chunk: through the gated models that contain it."""
-    m = table(spark, d, "manifests").filter("model is not null").select(key("root").alias("root"), "model").distinct().filter("model like '%b-0%'")
-    c = _chunks(spark, d).select("root", "hash").filter("hash is not null").distinct().join(m, "root")
-    return c.groupBy("hash").agg(F.array_join(F.array_sort(F.collect_set("model")), ",").alias("repos"))
-
-
-def chunk_gates_log(spark, d):
-    """Which repos gate each chunk in each registry, by the gates of its whole log; chunk_gates has the models of a name pattern instead."""
+    """Which repos gate each chunk in each registry, by the gates of its whole log."""
     return L.chunk_gates(_chunks(spark, d), R.gates(_c(spark, d)))
 
 
@@ -243,21 +230,16 @@ def date_functions(spark, d):
 
 
 def content_hashes(spark, d):
-    t = table(spark, d, "documents").filter("text is not null")
-    return t.select("doc_id", S.content_hash(F.encode("text", "UTF-8")).alias("sha256"), S.git_blob_hash(F.encode("text", "UTF-8")).alias("git"), S.to_hex(F.encode(F.substring("text", 1, 3), "UTF-8")).alias("head"))
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    h = S.to_hex(F.col("b"))
+    return t.select("doc_id", S.content_hash(F.col("b")).alias("sha256"), S.git_blob_hash(F.col("b")).alias("git"), h.alias("hex"), (S.from_hex(h) == F.col("b")).alias("same"))
 
 
 def url_functions(spark, d):
-    t = table(spark, d, "documents").filter("text is not null").select("doc_id", F.substring(F.regexp_replace("text", r"[^ -~]", ""), 1, 40).alias("s"))
-    e = S.url_encode(F.col("s"))
-    return t.select("doc_id", e.alias("encoded"), (S.url_decode(e) == F.col("s")).alias("same"))
-
-
-def text_codings(spark, d):
-    """Whole texts percent-encoded and back, and in hex; url_functions and content_hashes code the beginnings of texts."""
+    """Whole texts percent-encoded and back."""
     t = table(spark, d, "documents").filter("text is not null")
     e = S.url_encode(F.col("text"))
-    return t.select("doc_id", e.alias("encoded"), (S.url_decode(e) == F.col("text")).alias("same"), S.to_hex(F.encode("text", "UTF-8")).alias("hex"))
+    return t.select("doc_id", e.alias("encoded"), (S.url_decode(e) == F.col("text")).alias("same"))
 
 
 def byte_ranges(spark, d):
@@ -298,8 +280,8 @@ QUERIES = {
     for f in (
         dedup_by_source, dedup_by_lang, dedup_totals, dedup_by_root, dedup_by_dtype, dedup_between_sources, chunk_offsets, range_read, read_ahead,
         range_coalesce, block_cut, block_ids, blocks_held, missing_plan, source_rotation, source_preference, first_good_source, quorum, part_ranges,
-        chunk_places, prefetch_order, layer_keys, layer_keys_all, path_tree, tree_listing, announce_set, chunk_gates, chunk_gates_log, links_index, store_put, store_contains, store_known,
-        manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, text_codings, byte_ranges, model_names,
+        chunk_places, prefetch_order, layer_keys, path_tree, tree_listing, announce_set, chunk_gates, links_index, store_put, store_contains, store_known,
+        manifest_soundness, tiered_lookup, version_share, human_formats, date_functions, content_hashes, url_functions, byte_ranges, model_names,
         params_per_dtype, exponent_histogram, largest_chunks,
     )
 }
@@ -377,10 +359,7 @@ r AS (
 ), j AS (SELECT p.root, p.hash, phase, k1, k3, p.file_ix, chunk_ix FROM p JOIN r ON p.root = r.root AND p.file_ix = r.file_ix AND stop > 0 AND start < hi),
 u AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY root, hash ORDER BY phase, k1, k3, file_ix, chunk_ix) = 1)
 SELECT root, hash, phase, CAST(row_number() OVER (PARTITION BY root ORDER BY phase, k1, k3, file_ix, chunk_ix) AS INTEGER) AS rank FROM u""",
-    "layer_keys": """WITH t AS (SELECT DISTINCT unnest(['model.layers.' || (p_partkey % 40) || '.mlp.weight', 'embed.' || lower(p_brand), 'lm_head.' || p_size, 'final.norm']) AS name FROM part),
-n AS (SELECT name, TRY_CAST(list_filter(string_split(name, '.'), lambda p: regexp_full_match(p, '[0-9]+'))[1] AS BIGINT) AS number FROM t)
-SELECT name, CASE WHEN number IS NOT NULL THEN 1 WHEN regexp_matches(name, 'embed|wte|wpe') THEN 0 ELSE 2 END AS grp, coalesce(number, 0) AS number FROM n""",
-    "layer_keys_all": """WITH t AS (SELECT DISTINCT unnest(['model.layers.' || p_partkey || '.mlp.weight', 'embed.' || lower(p_brand), 'lm_head.' || p_size, 'final.norm']) AS name FROM part),
+    "layer_keys": """WITH t AS (SELECT DISTINCT unnest(['model.layers.' || p_partkey || '.mlp.weight', 'embed.' || lower(p_brand), 'lm_head.' || p_size, 'final.norm']) AS name FROM part),
 n AS (SELECT name, TRY_CAST(list_filter(string_split(name, '.'), lambda p: regexp_full_match(p, '[0-9]+'))[1] AS BIGINT) AS number FROM t)
 SELECT name, CASE WHEN number IS NOT NULL THEN 1 WHEN regexp_matches(name, 'embed|wte|wpe') THEN 0 ELSE 2 END AS grp, coalesce(number, 0) AS number FROM n""",
     "path_tree": f"""WITH p AS (SELECT DISTINCT {_K.format("root")} AS root, unnest(files).path AS path FROM manifests),
@@ -392,9 +371,7 @@ SELECT path, 'direct' AS mode FROM p WHERE starts_with(path, 'tokenizer/') AND N
     "announce_set": _CH + _CUT + """, k AS (SELECT root AS key FROM hb GROUP BY root HAVING bool_and(held) UNION SELECT root || '/' || block_ix FROM hb WHERE held),
 v AS (SELECT root || '/' || block_ix AS key FROM hb WHERE block_ix = 0)
 SELECT key, 'announce' AS op FROM k WHERE key NOT IN (SELECT key FROM v) UNION ALL SELECT key, 'withdraw' FROM v WHERE key NOT IN (SELECT key FROM k)""",
-    "chunk_gates": _CH + f""", m AS (SELECT DISTINCT {_K.format("root")} AS root, model FROM manifests WHERE model LIKE '%b-0%')
-SELECT hash, string_agg(model, ',' ORDER BY model) AS repos FROM (SELECT DISTINCT hash, model FROM ch JOIN m USING (root) WHERE hash IS NOT NULL) GROUP BY hash""",
-    "chunk_gates_log": _V + "," + _CH.removeprefix("WITH RECURSIVE") + """SELECT registry, hash, string_agg(repo, ',' ORDER BY repo) AS repos
+    "chunk_gates": _V + "," + _CH.removeprefix("WITH RECURSIVE") + """SELECT registry, hash, string_agg(repo, ',' ORDER BY repo) AS repos
 FROM (SELECT DISTINCT registry, hash, repo FROM ch JOIN gt USING (root) WHERE hash IS NOT NULL) GROUP BY ALL""",
     "links_index": _CH + "SELECT hash, root, file_ix, start AS \"offset\", len FROM pl WHERE hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hash ORDER BY root, file_ix, chunk_ix) = 1",
     "store_put": _CH + "SELECT hash, max(len) AS len FROM ch WHERE hash IS NOT NULL AND hash NOT IN (SELECT hash FROM st) GROUP BY hash",
@@ -410,9 +387,8 @@ SELECT k, {_HB("n")} AS bytes, {_HC("n")} AS count, {_AGO} AS ago,
   CAST(floor(least(k, 15000) * 100 / 15000) AS INTEGER) AS pct, printf('%d:%02d', CAST(ceil(n / 1000000) AS BIGINT) // 60, CAST(ceil(n / 1000000) AS BIGINT) % 60) AS eta FROM t""",
     "date_functions": """SELECT DISTINCT CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS day_no, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS back,
   CASE WHEN contains(strftime(o_orderdate, '%Y-%m-%d'), '-0') THEN NULL ELSE CAST(o_orderdate AS DATE) - DATE '1970-01-01' END AS loose FROM orders""",
-    "content_hashes": "SELECT doc_id, sha256(text) AS sha256, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS git, lower(hex(encode(substr(text, 1, 3)))) AS head FROM documents WHERE text IS NOT NULL",
-    "url_functions": "SELECT doc_id, url_encode(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40)) AS encoded, true AS same FROM documents WHERE text IS NOT NULL",
-    "text_codings": "SELECT doc_id, url_encode(text) AS encoded, true AS same, lower(hex(encode(text))) AS hex FROM documents WHERE text IS NOT NULL",
+    "content_hashes": "SELECT doc_id, sha256(text) AS sha256, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS git, lower(hex(encode(text))) AS hex, true AS same FROM documents WHERE text IS NOT NULL",
+    "url_functions": "SELECT doc_id, url_encode(text) AS encoded, true AS same FROM documents WHERE text IS NOT NULL",
     "byte_ranges": """WITH o AS (SELECT o_orderkey AS k FROM orders)
 SELECT k, 'bytes=' || k || '-' AS header, CASE WHEN k < 5000 THEN k END AS start, CASE WHEN k < 5000 THEN 5000 END AS "end" FROM o
 UNION ALL SELECT k, 'bytes=-' || k, CASE WHEN k > 0 THEN greatest(5000 - k, 0) END, CASE WHEN k > 0 THEN 5000 END FROM o

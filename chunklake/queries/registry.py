@@ -85,12 +85,7 @@ def _heads(c):
 
 
 def registry_audit(spark, d):
-    c = written(R.chain(table(spark, d, "log")), "chain")
-    return R.audit(c, _heads(c.filter("seq % 997 = 0")))
-
-
-def registry_audit_every(spark, d):
-    """A head at every entry of the chains; registry_audit has those at multiples of 997 only."""
+    """A head at every entry of the chains, also of those without effect."""
     c = written(R.chain(table(spark, d, "log")), "chain")
     return R.audit(c, _heads(c))
 
@@ -180,7 +175,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         names_latest, resolve_main, registry_owners, registry_blocked, registry_gates, registry_anchors, registry_delegate, registry_ticket_issuers,
-        registry_index, registry_search, registry_search_listed, registry_search_site, registry_by_name, registry_head, registry_audit, registry_audit_every,
+        registry_index, registry_search, registry_search_listed, registry_search_site, registry_by_name, registry_head, registry_audit,
         registry_chain_breaks, registry_page, registry_claims_by_kind, registry_validate, registry_publish_check, registry_enforced, model_summary,
         model_files_by_size, model_list, gguf_sets, gguf_shards, unsafe_files, valid_names, valid_keys, description_words,
     )
@@ -259,9 +254,8 @@ SQL = {
     "registry_search_site": _V
     + f", latest AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY registry, name ORDER BY time DESC, rev DESC) = 1) SELECT registry, name, rev, score, rank FROM ({_search('checkpoint', 'latest')})",
     "registry_by_name": _V + "SELECT registry, name, max(time) AS newest, string_agg(rev, ',' ORDER BY time DESC, rev DESC) AS revs FROM hits GROUP BY registry, name",
-    "registry_head": CHAIN + "SELECT registry, max(seq) + 1 AS size, arg_max(own, seq) AS hash FROM effective GROUP BY registry",
-    "registry_audit": CHAIN + "SELECT registry, seq + 1 AS size, seq % 2 = 0 AS ok FROM effective WHERE seq % 997 = 0",
-    "registry_audit_every": CHAIN + "SELECT registry, seq + 1 AS size, seq % 2 = 0 AS ok FROM back",
+    "registry_head": CHAIN + "SELECT registry, max(seq) + 1 AS size, arg_max(own, seq) AS hash FROM back GROUP BY registry",
+    "registry_audit": CHAIN + "SELECT registry, seq + 1 AS size, seq % 2 = 0 AS ok FROM back",
     "registry_chain_breaks": f"""
 WITH e AS (
   SELECT registry, seq, {_K.format("prev")} AS prev,

@@ -11,13 +11,13 @@ from chunklake.streaming import board as B
 
 
 def _stream(spark, d, name, seconds, *cols):
-    return B.event_time(B.source(spark, f"{d}/{name}.parquet").select(*cols), seconds, "400 days")
+    return B.event_time(B.source(spark, f"{d}/{name}.parquet").select(*cols), seconds)
 
 
 def stream_downloads(spark, d):
     """Downloads counted once per name, id and day as they come in."""
     s = B.source(spark, f"{d}/seen.parquet").select("registry", "name", "seen_id", "t").filter("seen_id is not null")
-    one = B.run(B.once_a_day(s, ["registry", "name", "seen_id"], "t", "400 days").select("registry", "name", "day_at"), name="downloads")
+    one = B.run(B.once_a_day(s, ["registry", "name", "seen_id"], "t").select("registry", "name", "day_at"), name="downloads")
     return one.groupBy("registry", "name", F.date_format("day_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -36,15 +36,17 @@ def stream_hourly_probes(spark, d):
 
 
 def stream_probe_gap(spark, d):
-    s = B.source(spark, f"{d}/probes.parquet").select("probe_id", "anchor", "node", "t").withColumn("at", F.timestamp_seconds("t")).withWatermark("at", "400 days")
-    one = B.once(s, ["probe_id"]).select("probe_id", "anchor", "node", "t")
-    return B.run(B.min_gap(one, ["anchor", "node"], "t", 3600), name="gap").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    """Probes accepted per node up to two days before the last one, which the watermark has then passed."""
+    s = B.event_time(B.source(spark, f"{d}/probes.parquet").select("probe_id", "anchor", "node", "t"), "t")
+    one = B.once(s, ["probe_id"]).select("probe_id", "anchor", "node", "t", "at")
+    return B.run(B.min_gap(one, ["anchor", "node"], "t", 3600, "probe_id"), name="gap").groupBy("node").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_latest_probe(spark, d):
-    s = B.source(spark, f"{d}/probes.parquet").select("node", "t", "probe_id")
-    u = B.run(B.latest(s, ["node"], "t", ["probe_id"]), mode="update", name="latest")
-    return u.groupBy("node").agg(F.max("t").alias("t"))
+    """The latest probe of each node, upserted as they come; of several at one time that with the largest id."""
+    s = B.source(spark, f"{d}/probes.parquet").select("node", F.struct("t", "probe_id").alias("o"))
+    u = B.run(B.latest(s.select("node", F.expr("o.t * 1000000000L + o.probe_id").alias("place"), F.col("o.t").alias("t"), F.col("o.probe_id").alias("probe_id")), ["node"], "place", ["t", "probe_id"]), mode="update", name="latest")
+    return u.groupBy("node").agg(F.max_by(F.struct("t", "probe_id"), "place").alias("v")).select("node", "v.t", "v.probe_id")
 
 
 def stream_follow_log(spark, d):
@@ -112,8 +114,8 @@ SQL = {
     "stream_downloads": "SELECT registry, name, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, count(DISTINCT seen_id) AS n FROM seen WHERE seen_id IS NOT NULL GROUP BY ALL",
     "stream_daily_bytes": "SELECT server, strftime(make_timestamp(time * 1000000), '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM (SELECT DISTINCT ON (receipt_id) * FROM receipts) GROUP BY ALL",
     "stream_hourly_probes": "SELECT node, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H') AS hour, count(*) AS n FROM (SELECT DISTINCT ON (probe_id) * FROM probes) GROUP BY ALL",
-    "stream_probe_gap": _BASE + _walk(3600) + "SELECT node, count(*) AS n FROM ap GROUP BY node",
-    "stream_latest_probe": "SELECT node, max(t) AS t FROM probes GROUP BY node",
+    "stream_probe_gap": _BASE + _walk(3600) + "SELECT node, count(*) AS n FROM ap WHERE t < (SELECT max(t) FROM probes) - 172800 GROUP BY node",
+    "stream_latest_probe": "SELECT node, t, probe_id FROM (SELECT DISTINCT node, t, probe_id FROM probes) QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC, probe_id DESC) = 1",
     "stream_follow_log": "SELECT registry, statement.claim.kind AS kind, count(*) AS n FROM log WHERE statement IS NOT NULL GROUP BY ALL",
     "cdc_chunks": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) > 0) AS files FROM documents WHERE text IS NOT NULL GROUP BY source",
     "pack_manifest": "SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS size, 64 AS root_digits FROM documents WHERE text IS NOT NULL",

@@ -47,10 +47,11 @@ class Store:
 
     def table(self, name: str, schema: str) -> DataFrame:
         """A table of the store; empty before its first write."""
-        files, at = fs.FileSystem.from_uri(f"{self.root}/{name}" if "://" in self.root else f"file://{self.root}/{name}")
-        if files.get_file_info(at).type == fs.FileType.NotFound:
+        files, at = self._files()
+        folder = self._folder(name)
+        if files.get_file_info(f"{at}/{folder}").type == fs.FileType.NotFound:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{folder}")
 
     # chunks: put if absent, get, contains
 
@@ -65,7 +66,7 @@ class Store:
         one = blobs.filter(P.is_hash(F.col("hash"))).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
         before = self.chunks().count()
         new = one.join(self.chunks().select("hash"), "hash", "left_anti").withColumn("hh", F.substring("hash", 1, 2))
-        new.write.mode("append").partitionBy("hh").parquet(f"{self.root}/chunks")
+        new.write.mode("append").partitionBy("hh").parquet(f"{self.root}/{self._folder('chunks')}")
         return self.chunks().count() - before
 
     def get(self, wanted: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ class Store:
         )
         m = m.withColumn("refused", why).drop("_bad")
         old = self.manifests().select("root")
-        m.filter("refused is null").drop("refused").dropDuplicates(["root"]).join(old, "root", "left_anti").select("format", "root", "files").write.mode("append").parquet(f"{self.root}/manifests")
+        m.filter("refused is null").drop("refused").dropDuplicates(["root"]).join(old, "root", "left_anti").select("format", "root", "files").write.mode("append").parquet(f"{self.root}/{self._folder('manifests')}")
         return m.filter("refused is not null")
 
     def manifests(self) -> DataFrame:
@@ -105,20 +106,39 @@ class Store:
         return r.join(blocked.select(F.col("hash").alias("root")), "root", "left_anti").orderBy("root")
 
     def block(self, blocked: DataFrame) -> tuple[int, int]:
-        """Rewrite chunks and manifests without what is blocked; gives how many of each went."""
+        """Rewrite chunks and manifests without what is blocked; gives how many of each went.
+
+        A table's rows are in numbered folders (name, name.1, name.2, ...) and a small file tells the one that counts. The rewritten table is
+        whole before that file is replaced, and the old folder goes after it: a crash in between loses nothing and blocks on the next run."""
         out = []
         for name, column, df in (("chunks", "hash", self.chunks()), ("manifests", "root", self.manifests())):
             gone = df.join(blocked.select(F.col("hash").alias(column)).distinct(), column, "left_semi").count()
             if gone:
                 keep = df.join(blocked.select(F.col("hash").alias(column)).distinct(), column, "left_anti")
+                old, n = self._folder(name), self._number(name) + 1
                 w = keep.write.mode("overwrite")
-                (w.partitionBy("hh") if name == "chunks" else w).parquet(f"{self.root}/{name}.new")
-                files, at = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
-                files.delete_dir(f"{at}/{name}")
-                files.move(f"{at}/{name}.new", f"{at}/{name}")
+                (w.partitionBy("hh") if name == "chunks" else w).parquet(f"{self.root}/{name}.{n}")
+                files, at = self._files()
+                with files.open_output_stream(f"{at}/{name}.at.new") as f:
+                    f.write(str(n).encode())
+                files.move(f"{at}/{name}.at.new", f"{at}/{name}.at")
+                files.delete_dir(f"{at}/{old}")
             out.append(gone)
         return tuple(out)
 
+    def _files(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+
+    def _number(self, name: str) -> int:
+        files, at = self._files()
+        if files.get_file_info(f"{at}/{name}.at").type == fs.FileType.NotFound:
+            return 0
+        with files.open_input_stream(f"{at}/{name}.at") as f:
+            return int(f.read())
+
+    def _folder(self, name: str) -> str:
+        return f"{name}.{n}" if (n := self._number(name)) else name
+
     # signatures, links, metadata
 
     SIGNATURES = "root string, key string, sig string, at bigint"
@@ -127,7 +147,7 @@ class Store:
         """Valid signatures (root, key, sig, at, ok), one per root and key, the first; known ones stay."""
         w = Window.partitionBy("root", "key").orderBy("at", "sig")
         one = signatures.filter("ok").withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("root", "key", "sig", "at")
-        one.join(self.signatures().select("root", "key"), ["root", "key"], "left_anti").write.mode("append").parquet(f"{self.root}/signatures")
+        one.join(self.signatures().select("root", "key"), ["root", "key"], "left_anti").write.mode("append").parquet(f"{self.root}/{self._folder('signatures')}")
 
     def signatures(self) -> DataFrame:
         return self.table("signatures", self.SIGNATURES)
@@ -145,7 +165,7 @@ class Store:
     META = "key string, value string, at bigint"
 
     def put_meta(self, rows: DataFrame) -> None:
-        rows.filter(P.is_meta_key(F.col("key"))).select("key", "value", "at").write.mode("append").parquet(f"{self.root}/meta")
+        rows.filter(P.is_meta_key(F.col("key"))).select("key", "value", "at").write.mode("append").parquet(f"{self.root}/{self._folder('meta')}")
 
     def meta(self) -> DataFrame:
         """The latest value of each key, in order of keys."""

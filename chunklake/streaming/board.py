@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -77,23 +78,43 @@ def latest(df: DataFrame, keys: list[str], order: str, values: list[str], ttl_ms
     return df.groupBy(*keys).applyInPandasWithState(step, out, shape, "update", timeout)
 
 
-def min_gap(df: DataFrame, keys: list[str], t: str, gap: int = PROBE_GAP) -> DataFrame:
-    """Rows at least `gap` seconds after the last accepted row of their keys, batch by batch in order of time."""
+def min_gap(df: DataFrame, keys: list[str], t: str, gap: int = PROBE_GAP, order: str | None = None, at: str = "at") -> DataFrame:
+    """Rows at least `gap` seconds after the last accepted row of their keys, in order of event time, however the rows are batched.
+
+    df: with a watermark on `at`. Rows wait in the state until the watermark has passed them, as an earlier one may still come; then
+    they are judged in order of time (ties by `order`). Rows behind the watermark when they come are too late and are dropped. The state of a
+    pair is its waiting rows and its last accepted time, and goes when nothing waits and the gap is over."""
+    cols = [c for c in df.columns if c != at]
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    out = ", ".join(f"{c} {k}" for c, k in fields.items())
+    out = ", ".join(f"{c} {fields[c]}" for c in cols)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(t)
+        last, waiting = None, pd.DataFrame(columns=cols)
+        if state.exists:
+            last, held = state.get
+            waiting = pd.DataFrame(json.loads(held), columns=cols)
+        passed = state.getCurrentWatermarkMs() / 1000
+        if not state.hasTimedOut:
+            came = pd.concat([f[cols] for f in frames])
+            came = came[came[t].notna() & (came[t] >= passed)]
+            waiting = pd.concat([waiting, came]) if len(waiting) else came
+        waiting = waiting.sort_values([t, order] if order else [t])
+        ready, waiting = waiting[waiting[t] < passed], waiting[waiting[t] >= passed]
         keep = []
-        for x in rows[t]:
+        for x in ready[t]:
             ok = last is None or x - last >= gap
             last = int(x) if ok else last
             keep.append(ok)
-        state.update((last,))
-        yield rows[keep]
+        if len(waiting) or last is not None and last + gap > passed:
+            state.update((last, json.dumps(waiting.astype(object).where(waiting.notna(), None).values.tolist(), default=int)))
+            due = waiting[t].iloc[0] if len(waiting) else last + gap
+            state.setTimeoutTimestamp(max(int(due * 1000), int(passed * 1000) + 1))
+        elif state.exists:
+            state.remove()
+        if any(keep):
+            yield ready[keep][cols].astype({c: "int64" for c in cols if fields[c] in ("bigint", "int") and ready[c].notna().all()})
 
-    return df.groupBy(*keys).applyInPandasWithState(step, out, "last long", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(step, out, "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def follow(entries: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
@@ -101,6 +122,12 @@ def follow(entries: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
     return entries.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; an error of the file system is an error, not an absence."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def with_retry(send: Callable[[DataFrame], DataFrame], keep_seconds: int, queue: str) -> Callable[[DataFrame, int], None]:
     """A batch function that sends rows together with those that failed before and are younger than keep_seconds; what fails again waits in `queue`.
 
@@ -108,10 +135,7 @@ def with_retry(send: Callable[[DataFrame], DataFrame], keep_seconds: int, queue:
 
     def batch(df: DataFrame, n: int) -> None:
         spark, before = df.sparkSession, f"{queue}/{n - 1}"
-        try:
-            waiting = spark.read.schema(df.schema).parquet(before)
-        except Exception:  # noqa: BLE001 - the first batch has no queue
-            waiting = df.limit(0)
+        waiting = spark.read.schema(df.schema).parquet(before) if n and _there(spark, before) else df.limit(0)
         newest = df.agg(F.max("time")).first()[0]
         all_rows = df.unionByName(waiting.filter(F.col("time") > (newest or 0) - keep_seconds))
         send(all_rows).write.mode("overwrite").parquet(f"{queue}/{n}")

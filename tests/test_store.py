@@ -3,6 +3,7 @@
 import hashlib
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,8 +119,22 @@ def test_streams_over_several_batches(spark, tmp_path):
     timed = B.event_time(s, "t", "1 day")
     closed = B.run(B.daily(B.once(timed, ["id"]), ["name"], n=F.count(F.lit(1))))
     assert [r["n"] for r in closed.orderBy("day").collect()] == [3, 2]  # the last day is still open
-    gap = B.run(B.min_gap(s.select("name", "t", "id"), ["name"], "t", 60))
-    assert sorted(r["t"] - z for r in gap.collect()) == [10, 75, day + 5, 9 * day]
+    gap = B.run(B.min_gap(timed.select("name", "t", "id", "at"), ["name"], "t", 60))
+    assert sorted(r["t"] - z for r in gap.collect()) == [10, 75, day + 5]  # what comes last waits for the watermark
+
+
+@pytest.mark.parametrize("files", [[[100, 130, 500], [60, 125, 9000]], [[60, 100, 125, 130, 500, 9000]], [[9000], [500, 130, 125, 100, 60]]])
+def test_gap_does_not_depend_on_the_batches(spark, tmp_path, files):
+    for i, ts in enumerate(files):
+        spark.createDataFrame([("a", t, f"x{t}") for t in ts], "name string, t long, id string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")
+        time.sleep(0.02)
+    s = B.event_time(B.source(spark, f"{tmp_path}/s", 1), "t", "3 hours")
+    got = B.run(B.min_gap(s.select("name", "t", "id", "at"), ["name"], "t", 60, "id"))
+    assert got.count() == 0  # nothing has been passed by three hours yet
+    s = B.event_time(B.source(spark, f"{tmp_path}/s", 1), "t", "1 hour")
+    got = B.run(B.min_gap(s.select("name", "t", "id", "at"), ["name"], "t", 60, "id"))
+    late = len(files) == 2 and files[0] == [9000]
+    assert sorted(r["t"] for r in got.collect()) == ([] if late else [60, 125, 500])
 
 
 def test_retry_queue(spark, tmp_path):
@@ -135,3 +150,33 @@ def test_retry_queue(spark, tmp_path):
     step(spark.createDataFrame([(3, 1050)], "id long, time long"), 1)
     step(spark.createDataFrame([(5, 2000)], "id long, time long"), 2)
     assert tries == [[1, 2], [2, 3], [5]]
+    # a queue that can't be read is an error, not an empty queue
+    step(spark.createDataFrame([(4, 2010)], "id long, time long"), 3)
+    for f in (tmp_path / "q" / "3").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        step(spark.createDataFrame([(6, 2020)], "id long, time long"), 4)
+
+
+def test_block_survives_a_crash_before_its_end(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    store = st.Store(spark, f"file://{tmp_path}/store")
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(6)]
+    store.put(spark.createDataFrame([(h, 1, b"x") for h in hashes], "hash string, raw_len long, blob binary"))
+    bad = spark.createDataFrame([(hashes[0],)], "hash string")
+    files = store._files()
+
+    class Dies:
+        def __getattr__(self, name):
+            if name == "move":
+                raise OSError("crash")
+            return getattr(files[0], name)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_files", lambda: (Dies(), files[1]))
+        with pytest.raises(OSError):
+            store.block(bad)
+    assert store.chunks().count() == 6
+    assert store.block(bad) == (1, 0) and store.chunks().count() == 5
+    assert store.put(spark.createDataFrame([(hashes[1], 1, b"x"), (hashes[0], 1, b"x")], "hash string, raw_len long, blob binary")) == 1

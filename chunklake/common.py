@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,6 +89,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), written once for each version of df's files in this session: a view that many queries read. df reads files and nothing else.
+
+    A version is the names, lengths and times of the files, so a changed table is made anew; a view whose folder is gone is, too."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    conf, path_of = sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path
+
+    def status(f: str) -> tuple:
+        at = path_of(f)
+        s = at.getFileSystem(conf).getFileStatus(at)
+        return f, s.getLen(), s.getModificationTime()
+
+    views = sc.__dict__.setdefault("_chunklake_views", {})
+    version = (name, tuple(sorted(map(status, df.inputFiles()))))
+    if version in views:
+        path, schema = views[version]
+        at = path_of(path)
+        if at.getFileSystem(conf).exists(at):
+            return spark.read.schema(schema).parquet(path)
+    made = make(df)
+    path = scratch(spark, name)
+    _delete_at_exit(spark, path)
+    made.write.parquet(path)
+    views[version] = (path, made.schema)
+    return spark.read.schema(made.schema).parquet(path)
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if not hasattr(sc, "_chunklake_written"):

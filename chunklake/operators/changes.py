@@ -81,14 +81,19 @@ def _block_picks(t: pa.Table) -> pa.Table:
 
 
 def _plausible(base: DataFrame) -> DataFrame:
-    """Entries that can be on a longest chain: those whose predecessor is there; of several that follow the same one and that nothing follows,
-    only the one with the smallest hash. So no flood of forged entries at one position gathers in a block."""
-    parents = base.select("log", (F.col("seq") + 1).alias("seq"), F.col("own").alias("prev"))
-    children = base.select("log", (F.col("seq") - 1).alias("seq"), F.col("prev").alias("own")).distinct().withColumn("_followed", F.lit(True))
-    known = base.filter("seq = 0").unionByName(base.filter("seq > 0").join(parents, ["log", "seq", "prev"], "left_semi").select(base.columns))
-    e = known.join(children, ["log", "seq", "own"], "left")
-    ends = e.filter("_followed is null").groupBy("log", "seq", "prev").agg(F.min("own").alias("own"))
-    return e.filter("_followed").select("log", "seq", "prev", "own").unionByName(ends.select("log", "seq", "prev", "own"))
+    """Entries that can be on a longest chain (log, seq, prev, own, followed): those whose predecessor is there. Of several that follow the same
+    one, those that nothing follows can't be on it if something follows another, and else only that with the smallest hash can. So no flood
+    of forged entries at one position gathers in a block."""
+    # one shuffle by (log, seq, own) tells of each entry whether it has a predecessor and a follower
+    me = base.select("log", "seq", "own", "prev", F.lit(1).alias("k"))
+    child = base.select("log", (F.col("seq") - 1).alias("seq"), F.col("prev").alias("own"), F.lit(None).cast("string").alias("prev"), F.lit(2).alias("k")).distinct()
+    parent = base.select("log", (F.col("seq") + 1).alias("seq"), F.col("own").alias("prev"), F.lit(True).alias("_known"))
+    w = Window.partitionBy("log", "seq", "own")
+    e = me.unionByName(child).withColumn("followed", F.max(F.col("k") == 2).over(w)).filter("k = 1").drop("k")
+    e = e.join(parent, ["log", "seq", "prev"], "left").filter("_known or seq = 0").drop("_known")
+    same = e.groupBy("log", "seq", "prev").agg(F.max("followed").alias("_any"), F.min("own").alias("own"))
+    ends = same.filter("not _any").select("log", "seq", "prev", "own", F.lit(False).alias("followed"))
+    return e.filter("followed").select("log", "seq", "prev", "own", "followed").unionByName(ends)
 
 
 def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -99,14 +104,18 @@ def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     it, these again, until one block is left; then the best path is traced back down. So no task ever holds more than one
     block. Equal lengths: the chain with the smallest last hash. Entries with null fields are on no chain; repeated ones count once."""
     base = entries.select("log", "seq", "prev", "own").filter("log is not null and seq >= 0 and prev is not null and own is not null").distinct()
-    # hashed and made distinct once: it is read to size the blocks, on the way up and on the way down
-    base = written(base, "entries")
+    # hashed and made distinct once, and linked once: both are read several times
+    base = written(base.filter((F.col("seq") > 0) | (F.col("prev") == GENESIS)), "entries")
+    linked = written(_plausible(base), "linked")
+    n = linked.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("d")).agg(F.max("n").alias("most"), F.bool_or(F.col("n") > F.col("d")).alias("forked")).first()
+    if not n["forked"]:
+        # no fork is left: each entry follows the one before it, so a log's chain ends where the first of them has no follower
+        end = linked.filter("not followed").groupBy("log").agg(F.min("seq").alias("_end"))
+        start = linked.filter("seq = 0").select("log")
+        return linked.join(end, "log").join(start, "log", "left_semi").filter(F.col("seq") <= F.col("_end")).select("log", "seq", "own")
     # a chain of n entries ends at seq n-1, so seqs beyond a log's count can't be on it
-    bound = base.groupBy("log").count().agg(F.max("count")).first()[0]
-    if not bound:
-        return entries.select("log", "seq", "own").limit(0)
-    base = _plausible(base.filter((F.col("seq") < bound) & ((F.col("seq") > 0) | (F.col("prev") == GENESIS))))
-    base = written(base, "linked")
+    bound = n["most"]
+    base = linked.filter(F.col("seq") < bound)
     levels = [
         base.select("log", F.col("seq").alias("pos"), F.col("prev").alias("came"), F.col("own").alias("went"), F.col("seq").alias("tail"), F.col("own").alias("tip"), F.lit(True).alias("whole"), F.lit(False).alias("pick"))
     ]

@@ -5,17 +5,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunklake.common import key
+from chunklake.common import key, written
 from chunklake.functions import predicates as P
 from chunklake.functions.scalars import gguf_set, words
 from chunklake.operators.changes import GENESIS, longest_chain, registry_entries
 
 SEARCHED, SHOWN, PAGE = 200, 50, 1000
+MAX_DESCRIPTION, MAX_ANCHORS = 2000, 64
+BLOCK = 4096
 
 
 def chain(log: DataFrame) -> DataFrame:
@@ -24,12 +27,14 @@ def chain(log: DataFrame) -> DataFrame:
     return longest_chain(e).select(F.col("log").alias("registry"), "seq", "own")
 
 
-def claims(log: DataFrame) -> DataFrame:
-    """registry, seq, own, prev, time, signer, sig and the claim's columns of every effective statement on the longest chains."""
+def claims(log: DataFrame, repeated: bool = False) -> DataFrame:
+    """registry, seq, own, prev, time, signer, sig and the claim's columns of every effective statement on the longest chains;
+    with `repeated`, also of those whose signature occurred before."""
     e = registry_entries(log).filter("own is not null")
     s = e.join(longest_chain(e).select("log", "seq", "own"), ["log", "seq", "own"], "left_semi")
     s = s.withColumn("r", F.row_number().over(Window.partitionBy("log", "seq").orderBy(F.col("received").asc_nulls_last()))).filter("r = 1")
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("log", "statement.signature.sig").orderBy("seq"))).filter("r = 1")
+    if not repeated:
+        s = s.withColumn("r", F.row_number().over(Window.partitionBy("log", "statement.signature.sig").orderBy("seq"))).filter("r = 1")
     return s.select(
         F.col("log").alias("registry"), "seq", "own", "prev", F.col("statement.time").alias("time"), F.col("statement.signature.key").alias("signer"),
         F.col("statement.signature.sig").alias("sig"), "statement.claim.*",
@@ -223,74 +228,109 @@ def check_headers(leading: DataFrame) -> DataFrame:
     return c.groupBy("root", "path").agg(F.bool_and(part == F.col("hash")).alias("ok"))
 
 
-def fold(entries: pd.DataFrame, operator: str) -> pd.DataFrame:
-    """Which statements of one log are accepted: the rules whose answer depends on what was accepted before.
-
-    Publishers must own the org (the first one founds it), grants and revokes come from owners, the last owner stays, what is
-    blocked isn't published, blocklist, gates and anchors are the operator's or its delegate's, and no signature counts twice."""
-    own: dict[str, set[str]] = {}
-    bad: set[str] = set()
-    seen: set[str] = set()
-    agent, until = None, 0
-    out = []
-    for r in entries.sort_values("seq").itertuples():
-        acts = r.signer == operator or (agent is not None and r.signer == agent and r.time < until)
-        why = ""
-        if r.sig in seen:
-            why = "repeated"
-        elif r.kind == "publish":
-            org = (r.name or "").split("/")[0]
-            if r.root in bad:
-                why = "blocked"
-            elif org in own and r.signer not in own[org]:
-                why = "not an owner"
-            else:
-                own.setdefault(org, {r.signer})
-        elif r.kind in ("grant", "revoke"):
-            keys = own.get(r.org)
-            if keys is None:
-                why = "no such org"
-            elif r.signer not in keys:
-                why = "not an owner"
-            elif r.kind == "grant":
-                why = "owns it already" if r.key in keys else ""
-                keys.add(r.key)
-            elif r.key not in keys:
-                why = "no owner"
-            elif len(keys) == 1:
-                why = "last owner"
-            else:
-                keys.discard(r.key)
-        elif r.kind == "delegate":
-            if r.signer != operator:
-                why = "not the operator"
-            elif r.key and r.expires is not None and r.expires <= r.time:
-                why = "expired"
-            else:
-                agent, until = (r.key or None), (r.expires or 0)
-        elif not acts:
-            why = "not the operator"
-        elif r.kind == "block":
-            bad.add(r.hash)
-        elif r.kind == "unblock":
-            bad.discard(r.hash)
-        seen.add(r.sig)
-        out.append((r.registry, r.seq, r.kind, why))
-    return pd.DataFrame(out, columns=["registry", "seq", "kind", "refused"])
-
+def _unfit() -> Column:
+    """Why a publish, grant or revoke is refused whatever came before it; empty when it isn't."""
+    gated = F.col("gated").isNotNull() & ~P.is_repo(F.col("gated"))
+    return (
+        F.when(F.col("kind") == "publish", F.when(gated, "invalid gate").when(~P.is_name(F.col("name")) | ~P.is_rev(F.col("rev")), "invalid name")
+               .when(~P.is_hash(key("root")), "invalid root").when(F.octet_length("description") > MAX_DESCRIPTION, "description too long"))
+        .when(F.col("kind") == "grant", F.when(~P.is_hash(F.col("key")), "invalid key"))
+    )
 
-def validate(c: DataFrame, operators: DataFrame) -> DataFrame:
-    """registry, seq, kind, refused (empty when accepted) of every statement, by one ordered pass per log.
 
-    The pass is one task per registry and needs its claims in memory: a registry's log is what one server once replayed at
-    its start. State that needs no such rule comes from the views above, which have no such limit."""
-    cols = ["registry", "seq", "time", "signer", "sig", "kind", "name", "root", "org", "key", "hash", "expires"]
-    both = c.select(*cols).join(F.broadcast(operators.select("registry", F.col("key").alias("operator"))), "registry")
+def _operator_statements(c: DataFrame) -> DataFrame:
+    """c with `refused` for delegations, blocks, unblocks, gates and anchors. c: claims with the operator's key.
+
+    Who acts for the operator follows from the latest accepted delegation before a statement. Delegations are accepted or not by
+    themselves, so their times in force are intervals; these are joined by blocks of sequence numbers, so a registry with half of all
+    entries isn't one group."""
+    d = c.filter("kind = 'delegate'")
+    given = F.coalesce("key", F.lit("")) != ""
+    d = d.withColumn("_why", F.when(~F.coalesce(F.col("signer") == F.col("operator"), F.lit(False)), "not the operator").when(
+        given, F.when(~P.is_hash(F.col("key")), "invalid key").when(~F.coalesce(F.col("expires") > F.col("time"), F.lit(False)), "expired").when(F.col("key") == F.col("operator"), "delegates to itself")
+    ))
+    force = d.filter("_why is null").select("registry", "seq", F.col("key").alias("agent"), F.col("expires").alias("until"))
+    last = c.groupBy("registry").agg(F.max("seq").alias("last"))
+    force = force.withColumn("next", F.lead("seq").over(Window.partitionBy("registry").orderBy("seq"))).join(last, "registry")
+    spans = F.sequence(F.expr(f"seq div {BLOCK}"), F.expr(f"coalesce(next, last) div {BLOCK}"))
+    force = force.select("registry", F.col("seq").alias("_from"), F.coalesce("next", F.col("last") + 1).alias("_to"), "agent", "until", F.explode(spans).alias("_block"))
+    o = c.filter("kind in ('block', 'unblock', 'gate', 'anchors')").withColumn("_block", F.expr(f"seq div {BLOCK}"))
+    o = o.alias("o").join(force.alias("f"), (F.col("o.registry") == F.col("f.registry")) & (F.col("o._block") == F.col("f._block")) & (F.col("seq") > F.col("_from")) & (F.col("seq") <= F.col("_to")), "left")
+    acts = P.may_operate(F.col("signer"), F.col("operator"), F.when(F.col("agent") != "", F.col("agent")), F.col("until"), F.col("time"))
+    repo = F.trim(F.coalesce("repo", F.lit("")))
+    o = o.withColumn("_why", F.when(~acts, "not the operator").when(
+        F.col("kind").isin("block", "unblock"), F.when(~P.is_hash(key("hash")), "invalid hash")
+    ).when(F.col("kind") == "gate", F.when(~P.is_hash(key("root")), "invalid root").when((repo != "") & ~P.is_repo(repo), "invalid gate")
+    ).when(F.col("kind") == "anchors", F.when(F.size("addrs") > MAX_ANCHORS, "too many anchors").when(F.exists("addrs", lambda a: ~a.rlike("/p2p/[A-Za-z0-9]+$")), "invalid anchor"))).select(
+        *[F.col(f"o.{x}") for x in c.columns], "_why")
+    both = d.select(*c.columns, "_why").unionByName(o)
+    # only accepted statements are remembered, and a remembered one is refused when it comes again
+    before = Window.partitionBy("registry", "sig").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.max(F.col("_why").isNull()).over(before), F.lit(False))
+    return both.withColumn("refused", F.when(known, "repeated").otherwise(F.coalesce("_why", F.lit("")))).drop("_why")
+
+
+def _org_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ownership of orgs: rows sorted by registry, org and seq stream through; held are one org's owners and accepted signatures."""
+    at, own, seen = None, set(), set()
+    for b in batches:
+        out = []
+        for registry, org, kind, signer, member, sig, why in zip(*(b.column(x).to_pylist() for x in ("registry", "org", "kind", "signer", "key", "sig", "_why"))):
+            if (registry, org) != at:
+                at, own, seen = (registry, org), set(), set()
+            if sig in seen:
+                why = "repeated"
+            elif why is None and kind == "publish":
+                if own and signer not in own:
+                    why = "not an owner"
+                elif not own:
+                    own.add(signer)
+            elif why is None:
+                if not own:
+                    why = "no such org"
+                elif signer not in own:
+                    why = "not an owner"
+                elif kind == "grant":
+                    why = "owns it already" if member in own else None
+                    own.add(member)
+                elif member not in own:
+                    why = "no owner"
+                elif len(own) == 1:
+                    why = "last owner"
+                else:
+                    own.discard(member)
+            if why is None:
+                seen.add(sig)
+            out.append(why or "")
+        yield pa.RecordBatch.from_arrays([b.column("registry"), b.column("seq"), b.column("kind"), pa.array(out, pa.string())], ["registry", "seq", "kind", "refused"])
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold(rows.astype(object).where(rows.notna(), None), rows["operator"].iloc[0])
 
-    return both.groupBy("registry").applyInPandas(one, schema="registry string, seq long, kind string, refused string")
+def validate(c: DataFrame, operators: DataFrame) -> DataFrame:
+    """registry, seq, kind, refused (empty when accepted) of every statement of the chains (claims with repeated ones).
+
+    Publishers must own the org (the first one founds it), grants and revokes come from owners, the last owner stays, what is blocked isn't
+    published, blocklist, gates and anchors are the operator's (operators: registry, key) or its delegate's, names, keys, hashes and sizes must
+    be valid, and no accepted statement counts twice (a signature names one statement). A statement of another kind, or one in a registry
+    without operator that only one may make, is refused.
+
+    Statements of the operator are judged by joins; those of orgs stream through in order, org by org, so what is held at once is the owners
+    and signatures of one org."""
+    c = written(c.join(operators.select("registry", F.col("key").alias("operator")), "registry", "left"), "statements")
+    ops = written(_operator_statements(c), "operator")
+    marks = ops.filter("refused = '' and kind in ('block', 'unblock')").select("registry", key("hash").alias("_root"), "seq", (F.col("kind") == "block").alias("on"))
+    p = c.filter("kind in ('publish', 'grant', 'revoke')").withColumn("_root", F.when(F.col("kind") == "publish", key("root")))
+    # only roots that were ever blocked are looked at in order
+    ever = marks.select("registry", "_root").distinct()
+    some = p.join(ever, ["registry", "_root"], "left_semi").select("registry", "_root", "seq", F.lit(None).cast("boolean").alias("on"))
+    w = Window.partitionBy("registry", "_root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    bad = marks.unionByName(some).withColumn("was", F.last("on", ignorenulls=True).over(w)).filter("on is null and was").select("registry", "seq", F.lit(True).alias("_bad"))
+    p = p.join(bad, ["registry", "seq"], "left").withColumn("_why", F.coalesce(_unfit(), F.when(F.col("_bad"), "blocked")))
+    org = F.when(F.col("kind") == "publish", F.substring_index("name", "/", 1)).otherwise(F.col("org"))
+    p = p.select("registry", org.alias("org"), "seq", "kind", "signer", "key", "sig", "_why").repartition("registry", "org").sortWithinPartitions("registry", "org", "seq")
+    owned = p.mapInArrow(_org_rules, schema="registry string, seq long, kind string, refused string")
+    known = ("publish", "grant", "revoke", "delegate", "block", "unblock", "gate", "anchors")
+    other = c.filter(~F.coalesce(F.col("kind").isin(*known), F.lit(False))).select("registry", "seq", "kind", F.lit("unknown kind").alias("refused"))
+    return owned.unionByName(ops.select("registry", "seq", "kind", "refused")).unionByName(other)
 
 
 def publish(statements: DataFrame, manifests: DataFrame, blocklist: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chunklake.common import key, table, written
+from chunklake.common import key, stored, table
 from chunklake.functions import predicates as P
 from chunklake.functions import scalars as S
 from chunklake.operators import accounting as A
@@ -17,7 +17,7 @@ from chunklake.queries.problems import _K, CHAIN
 
 
 def _claims(spark, d):
-    return written(R.claims(table(spark, d, "log")), "claims")
+    return stored(table(spark, d, "log"), "claims", R.claims)
 
 
 def operator_rights(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunklake.common import key, table, written
+from chunklake.common import key, stored, table, written
 from chunklake.functions import predicates as P
 from chunklake.functions.scalars import gguf_set, words
 from chunklake.operators import registry as R
@@ -15,8 +15,8 @@ AT = 1747000000
 
 
 def _c(spark, d):
-    """The effective claims, written once: most queries read them several times."""
-    return written(R.claims(table(spark, d, "log")), "claims")
+    """The effective claims, a view made once for each version of the log: most queries read it, several times."""
+    return stored(table(spark, d, "log"), "claims", R.claims)
 
 
 def names_latest(spark, d):
@@ -76,7 +76,7 @@ def registry_by_name(spark, d):
 
 
 def registry_head(spark, d):
-    return R.head(R.chain(table(spark, d, "log")))
+    return R.head(stored(table(spark, d, "log"), "chain", R.chain))
 
 
 def _heads(c):
@@ -86,7 +86,7 @@ def _heads(c):
 
 def registry_audit(spark, d):
     """A head at every entry of the chains, also of those without effect."""
-    c = written(R.chain(table(spark, d, "log")), "chain")
+    c = stored(table(spark, d, "log"), "chain", R.chain)
     return R.audit(c, _heads(c))
 
 
@@ -104,7 +104,8 @@ def registry_claims_by_kind(spark, d):
 
 
 def registry_validate(spark, d):
-    c = _c(spark, d)
+    """Which statements of the chains are accepted, and why the others aren't; the operator is the signer of the first anchors."""
+    c = written(R.claims(table(spark, d, "log"), repeated=True), "claims")
     operators = c.filter("kind = 'anchors'").groupBy("registry").agg(F.min_by("signer", "seq").alias("key"))
     return R.validate(c, operators)
 
@@ -231,7 +232,57 @@ summary AS (
 )"""
 _F1 = _FILES.replace("DISTINCT ON (root)", f"DISTINCT ON ({_K.format('root')})")
 
+_PART = "[A-Za-z0-9_-][A-Za-z0-9._-]{{0,{0}}}"
+_NAME_OK = f"coalesce(regexp_full_match(c.name, '{_PART.format(63)}/{_PART.format(95)}') AND regexp_full_match(c.rev, '{_PART.format(63)}'), false)"
+_REPO_OK = lambda x: f"coalesce(regexp_full_match({x}, '{_PART.format(95)}/{_PART.format(95)}'), false)"
+_HASH_OK = lambda x: f"coalesce(regexp_full_match({x}, '[0-9a-f]{{64}}'), false)"
+
+#: SQL of the acceptance rules: operator statements by windows, orgs by a walk over their statements in step
+_VALIDATE = f""", every AS (
+  SELECT e.registry, e.seq, e.st.claim AS c, e.st.claim.kind AS kind, e.st.signature.key AS signer, e.st.signature.sig AS sig, e.st.time AS told FROM entries e JOIN back b USING (registry, seq, own)
+), boss AS (SELECT registry, arg_min(signer, seq) AS boss FROM every WHERE kind = 'anchors' GROUP BY registry),
+x AS (SELECT every.*, boss FROM every LEFT JOIN boss USING (registry)),
+d AS (
+  SELECT *, CASE WHEN NOT coalesce(signer = boss, false) THEN 'not the operator' WHEN coalesce(c.key, '') = '' THEN '' WHEN NOT {_HASH_OK("c.key")} THEN 'invalid key'
+    WHEN NOT coalesce(c.expires > told, false) THEN 'expired' WHEN c.key = boss THEN 'delegates to itself' ELSE '' END AS dwhy FROM x
+), f AS (
+  SELECT *, last_value(CASE WHEN kind = 'delegate' AND dwhy = '' THEN {{'k': c.key, 'e': c.expires}} END IGNORE NULLS) OVER (PARTITION BY registry ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deal FROM d
+), a AS (SELECT *, coalesce(signer = boss OR (deal.k <> '' AND signer = deal.k AND told < deal.e), false) AS acts FROM f),
+o AS (
+  SELECT *, CASE WHEN kind = 'delegate' THEN dwhy WHEN NOT acts THEN 'not the operator'
+    WHEN kind IN ('block', 'unblock') THEN CASE WHEN NOT {_HASH_OK(_K.format("c.hash"))} THEN 'invalid hash' ELSE '' END
+    WHEN kind = 'gate' THEN CASE WHEN NOT {_HASH_OK(_K.format("c.root"))} THEN 'invalid root' WHEN coalesce(trim(c.repo), '') <> '' AND NOT {_REPO_OK("trim(c.repo)")} THEN 'invalid gate' ELSE '' END
+    ELSE CASE WHEN len(c.addrs) > {R.MAX_ANCHORS} THEN 'too many anchors' WHEN len(list_filter(c.addrs, lambda z: NOT regexp_matches(z, '/p2p/[A-Za-z0-9]+$'))) > 0 THEN 'invalid anchor' ELSE '' END END AS owhy
+  FROM a WHERE kind IN ('delegate', 'block', 'unblock', 'gate', 'anchors')
+), od AS (
+  SELECT *, CASE WHEN coalesce(bool_or(owhy = '') OVER (PARTITION BY registry, sig ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'repeated' ELSE owhy END AS refused FROM o
+), mk AS (SELECT registry, {_K.format("c.hash")} AS root, seq, kind = 'block' AS up FROM od WHERE refused = '' AND kind IN ('block', 'unblock')),
+p AS (
+  SELECT registry, seq, kind, signer, sig, c.key AS member, CASE WHEN kind = 'publish' THEN split_part(c.name, '/', 1) ELSE c.org END AS org,
+    CASE WHEN kind = 'publish' THEN CASE WHEN c.gated IS NOT NULL AND NOT {_REPO_OK("c.gated")} THEN 'invalid gate' WHEN NOT {_NAME_OK} THEN 'invalid name'
+      WHEN NOT {_HASH_OK(_K.format("c.root"))} THEN 'invalid root' WHEN strlen(c.description) > {R.MAX_DESCRIPTION} THEN 'description too long'
+      WHEN coalesce((SELECT arg_max(up, mk.seq) FROM mk WHERE mk.registry = x.registry AND mk.root = {_K.format("x.c.root")} AND mk.seq < x.seq), false) THEN 'blocked' ELSE '' END
+    WHEN kind = 'grant' AND NOT {_HASH_OK("c.key")} THEN 'invalid key' ELSE '' END AS pwhy
+  FROM x WHERE kind IN ('publish', 'grant', 'revoke')
+), q AS (SELECT *, row_number() OVER (PARTITION BY registry, org ORDER BY seq) AS i FROM p),
+walk AS (
+  SELECT registry, org, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS seq, '' AS kind, 'start' AS refused, CAST([] AS VARCHAR[]) AS own, CAST([] AS VARCHAR[]) AS sigs FROM (SELECT DISTINCT registry, org FROM q)
+  UNION ALL
+  SELECT registry, org, i, seq, kind, why, CASE WHEN why <> '' THEN own WHEN kind = 'publish' THEN CASE WHEN len(own) = 0 THEN [signer] ELSE own END
+      WHEN kind = 'grant' THEN list_append(own, member) ELSE list_filter(own, lambda z: z <> member) END, CASE WHEN why = '' THEN list_append(sigs, sig) ELSE sigs END
+  FROM (
+    SELECT q.*, w.own, w.sigs, CASE WHEN list_contains(w.sigs, q.sig) THEN 'repeated' WHEN pwhy <> '' THEN pwhy
+      WHEN q.kind = 'publish' THEN CASE WHEN len(w.own) > 0 AND NOT list_contains(w.own, q.signer) THEN 'not an owner' ELSE '' END
+      WHEN len(w.own) = 0 THEN 'no such org' WHEN NOT list_contains(w.own, q.signer) THEN 'not an owner'
+      WHEN q.kind = 'grant' THEN CASE WHEN list_contains(w.own, member) THEN 'owns it already' ELSE '' END
+      WHEN NOT coalesce(list_contains(w.own, member), false) THEN 'no owner' WHEN len(w.own) = 1 THEN 'last owner' ELSE '' END AS why
+    FROM walk w JOIN q ON q.registry = w.registry AND q.org IS NOT DISTINCT FROM w.org AND q.i = w.i + 1
+  )
+) SELECT registry, seq, kind, refused FROM walk WHERE seq >= 0 UNION ALL SELECT registry, seq, kind, refused FROM od
+UNION ALL SELECT registry, seq, kind, 'unknown kind' FROM x WHERE kind IS NULL OR kind NOT IN ('publish', 'grant', 'revoke', 'delegate', 'block', 'unblock', 'gate', 'anchors')"""
+
 SQL = {
+    "registry_validate": CHAIN + _VALIDATE,
     "names_latest": _V + "SELECT registry, name, rev, root, time, seq, publisher FROM nm",
     "resolve_main": _V + "SELECT registry, name, root, seq FROM nm WHERE rev = 'main'",
     "registry_owners": CHAIN

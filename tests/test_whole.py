@@ -24,7 +24,7 @@ def test_chunk_gates_of_the_log(spark, data):
         for g, root in gates:
             if root == r["root"] and r["hash"] is not None:
                 want.setdefault((g, r["hash"]), set()).add(gates[g, root])
-    got = {(r["registry"], r["hash"]): r["repos"] for r in Q.chunk_gates_log(spark, data).collect()}
+    got = {(r["registry"], r["hash"]): r["repos"] for r in Q.chunk_gates(spark, data).collect()}
     assert got and got == {k: ",".join(sorted(v)) for k, v in want.items()}
 
 
@@ -47,7 +47,7 @@ def test_head_and_audit_at_repeated_signatures(spark, tmp_path):
     assert {r["size"]: r["ok"] for r in R.audit(R.chain(log), heads).collect()} == {4: False, 5: True, 6: False}
     log.write.parquet(f"{tmp_path}/log.parquet")
     assert [tuple(r) for r in Q.registry_head(spark, str(tmp_path)).collect()] == [("x", 5, last)]
-    assert {r["size"]: r["ok"] for r in Q.registry_audit_every(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+    assert {r["size"]: r["ok"] for r in Q.registry_audit(spark, str(tmp_path)).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
 def test_whole_texts_are_coded(spark, tmp_path):
@@ -57,11 +57,12 @@ def test_whole_texts_are_coded(spark, tmp_path):
 
     texts = ["a b+c~*%20/é\r\nüber 日本 😀 " * 9, "x" * 100, "", "\t\x00\x7f", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = {r["doc_id"]: r for r in Q.text_codings(spark, str(tmp_path)).collect()}
-    assert set(rows) == {0, 1, 2, 3}
+    rows = {r["doc_id"]: r for r in Q.url_functions(spark, str(tmp_path)).collect()}
+    hexes = {r["doc_id"]: r for r in Q.content_hashes(spark, str(tmp_path)).collect()}
+    assert set(rows) == set(hexes) == {0, 1, 2, 3}
     for n, r in rows.items():
         assert r["encoded"] == quote(texts[n], safe="") and unquote(r["encoded"]) == texts[n] and r["same"]
-        assert r["hex"] == texts[n].encode().hex()
+        assert hexes[n]["hex"] == texts[n].encode().hex() and hexes[n]["same"]
 
 
 def test_days_of_every_registered_node(spark, data):
@@ -69,7 +70,7 @@ def test_days_of_every_registered_node(spark, data):
 
     nodes = {r["peer"]: r["registered"] for r in Q._nodes(spark, data).collect()}
     days = Q._days(spark, data).filter(f"day_no + 2 <= {Q.TODAY}").collect()
-    got = Q.days_finalized_all(spark, data).collect()
+    got = Q.days_finalized(spark, data).collect()
     want = {(r["day_no"], r["peer"]) for r in days if r["peer"] in nodes}
     assert {(r["day_no"], r["peer"]) for r in got} == want and len(got) == len(want) < len(days)
     assert {nodes[p] % 2 for _, p in want} == {0, 1}
@@ -106,9 +107,9 @@ def test_every_id_gives_its_own_row(spark, tmp_path):
 
     ids = [0, 1, 255, 256, 257, 70_000, 2**31]
     spark.createDataFrame([(i,) for i in ids] * 2 + [(None,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["ip"]: r["network"] for r in accounting.networks_all(spark, str(tmp_path)).collect()}
+    got = {r["ip"]: r["network"] for r in accounting.networks(spark, str(tmp_path)).collect()}
     assert len(got) == 4 * len(ids) and got["0.1.17.112"] == got["::ffff:0.1.17.112"] == "0.1.17.0/24" and got["2001:1:1170::1"] == "2001:1:1170::/48"
     assert got["2001:0:0::1"] == "2001:0:0::/48" and got["128.0.0.0"] == "128.0.0.0/24"
     spark.createDataFrame([(i, "B", 1) for i in range(1, 101)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    numbers = {r["number"] for r in planning.layer_keys_all(spark, str(tmp_path)).collect() if r["name"].startswith("model.layers.")}
+    numbers = {r["number"] for r in planning.layer_keys(spark, str(tmp_path)).collect() if r["name"].startswith("model.layers.")}
     assert numbers == set(range(1, 101))

@@ -193,6 +193,18 @@ def announce(blocks_held: DataFrame, provided: DataFrame) -> tuple[DataFrame, Da
     return keys.join(p, "key", "left_anti"), p.join(keys, "key", "left_anti")
 
 
+def chunk_peers(chunks: DataFrame, providers: DataFrame) -> DataFrame:
+    """hash, peers of the chunks that somebody provides: through the blocks that hold them, in the order in which a reader of this chunk asks them.
+
+    chunks: hash, block_id; providers: block_id, peer. A hash in very many blocks, or a block of very many peers, is made distinct by partial
+    aggregates on both sides of the join; the list of a chunk has a peer once."""
+    held = chunks.select("hash", "block_id").filter("hash is not null and block_id is not null").distinct()
+    offered = providers.select("block_id", "peer").filter("block_id is not null and peer is not null").distinct()
+    pairs = held.join(offered, "block_id").select("hash", "peer").distinct()
+    sources = pairs.groupBy("hash").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
+    return sources.select("hash", rotate(F.col("hash"), F.col("peers")).alias("peers"))
+
+
 def peers(*sets: DataFrame) -> DataFrame:
     every = sets[0]
     for s in sets[1:]:

@@ -204,6 +204,13 @@ def gguf_params(files: DataFrame) -> DataFrame:
     )
 
 
+def model_params(files: DataFrame) -> DataFrame:
+    """root, params of models from their safetensors files (root, path, params): the sum, or null when one of them isn't counted, as a
+    number that lacks a shard would be wrong. Models without such files have no row; see gguf_params for those of GGUF files."""
+    s = files.filter("path like '%.safetensors'").groupBy("root")
+    return s.agg(F.when(F.bool_and(F.col("params").isNotNull()), F.sum("params")).cast("bigint").alias("params"))
+
+
 def files_by_size(manifests: DataFrame) -> DataFrame:
     """The files of each root, largest first."""
     m = manifests.select(key("root").alias("root"), "files").filter("root is not null").dropDuplicates(["root"])

@@ -175,7 +175,8 @@ def manifest_root(listed: DataFrame) -> DataFrame:
 
 
 def unpack(pieces: DataFrame, raws: DataFrame, files: DataFrame, folder: str) -> DataFrame:
-    """Rebuild files below a folder: chunks in order, each verified, then the file's hash; path, ok. Paths that could leave the folder are refused.
+    """Rebuild files below a folder (a URI or absolute path that all workers see): chunks in order, each verified, then the file's hash; path,
+    ok. Paths that could leave the folder are refused.
 
     Each task writes its files from sorted rows, chunk by chunk; a file gets its name only when it is whole and right."""
     want = files.select("path", F.col("hash").alias("file_hash"))
@@ -185,9 +186,9 @@ def unpack(pieces: DataFrame, raws: DataFrame, files: DataFrame, folder: str) ->
     rows = rows.repartition("path").sortWithinPartitions("path", "chunk_ix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         path, out, digest, whole, hash_, temp = None, None, None, True, None, ""
         done: list[tuple[str, bool]] = []
 
@@ -198,7 +199,7 @@ def unpack(pieces: DataFrame, raws: DataFrame, files: DataFrame, folder: str) ->
             if out is not None:
                 out.close()
                 ok = whole and digest.hexdigest() == hash_
-                os.replace(temp, os.path.join(folder, path)) if ok else os.remove(temp)
+                files.move(temp, f"{root}/{path}") if ok else files.delete_file(temp)
             done.append((path, ok))
 
         for b in batches:
@@ -207,10 +208,9 @@ def unpack(pieces: DataFrame, raws: DataFrame, files: DataFrame, folder: str) ->
                     close()
                     path, hash_, whole, out, digest = p, h, not bad, None, hashlib.sha256()
                     if not bad:
-                        target = os.path.join(folder, p)
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        temp = f"{target}.{uuid.uuid4().hex}"
-                        out = open(temp, "wb")
+                        files.create_dir(f"{root}/{p}".rpartition("/")[0], recursive=True)
+                        temp = f"{root}/{p}.{uuid.uuid4().hex}"
+                        out = files.open_output_stream(temp)
                 if ix >= 0 and out is not None:
                     if raw is None:
                         whole = False

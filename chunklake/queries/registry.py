@@ -138,9 +138,9 @@ def model_list(spark, d):
 
 
 def gguf_sets(spark, d):
-    m = table(spark, d, "manifests").select(key("root").alias("root"), "files").dropDuplicates(["root"])
-    f = m.select("root", F.explode("files").alias("f")).select("root", "f.path", (F.col("f.size") % 7 == 0).alias("odd"), F.col("f.size").alias("size"))
-    return R.gguf_params(f.select("root", "path", F.lit(1000).cast("bigint").alias("params")))
+    """Parameters of GGUF models, a byte of a file standing for one, by the rule for sets of shards."""
+    m = table(spark, d, "manifests").select(key("root").alias("root"), "files").filter("root is not null").groupBy("root").agg(F.min_by("files", F.to_json("files")).alias("files"))
+    return R.gguf_params(m.select("root", F.explode("files").alias("f")).select("root", "f.path", F.col("f.size").alias("params")))
 
 
 def gguf_shards(spark, d):
@@ -330,12 +330,13 @@ FROM (SELECT *, {_K.format("c.root")} AS r FROM effective WHERE c.kind = 'publis
     "model_summary": "WITH " + _SUMMARY + " SELECT * FROM summary",
     "model_files_by_size": f"SELECT root, path, size, CAST(row_number() OVER (PARTITION BY root ORDER BY size DESC, path) AS INTEGER) AS rank FROM (SELECT root, unnest(files, recursive := true) FROM {_F1})",
     "model_list": f"SELECT root, CAST(list_sum(list_transform(files, lambda f: f.size)) AS BIGINT) AS size, array_to_string(list_sort(list_transform(files, lambda f: f.path)), ' ') AS names FROM {_F1}",
-    "gguf_sets": f"""WITH s AS (
+    "gguf_sets": f"""WITH mo AS (SELECT root, arg_min(files, CAST(to_json(files) AS VARCHAR)) AS files FROM (SELECT {_K.format("root")} AS root, files FROM manifests) WHERE root IS NOT NULL GROUP BY root),
+s AS (
   SELECT root, coalesce(nullif(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\\.gguf$', 1), ''), path) AS stem,
-    coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\\.gguf$', 2) AS INTEGER), 1) AS total, path
-  FROM (SELECT root, unnest(files, recursive := true) FROM {_F1}) WHERE path LIKE '%.gguf'
-), g AS (SELECT root, stem, count(*) AS n, arg_min(total, path) AS total FROM s GROUP BY root, stem)
-SELECT root, count(*) AS sets, CASE WHEN bool_and(n = total) AND count(DISTINCT n) = 1 THEN 1000 * max(n) END AS params FROM g GROUP BY root""",
+    coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\\.gguf$', 2) AS INTEGER), 1) AS total, path, size
+  FROM (SELECT root, unnest(files, recursive := true) FROM mo) WHERE path LIKE '%.gguf'
+), g AS (SELECT root, stem, count(*) AS n, sum(size) AS p, arg_min(total, path) AS total FROM s GROUP BY root, stem)
+SELECT root, count(*) AS sets, CAST(CASE WHEN bool_and(n = total) AND count(DISTINCT p) = 1 THEN max(p) END AS BIGINT) AS params FROM g GROUP BY root""",
     "gguf_shards": """SELECT path, coalesce(nullif(regexp_extract(path, '^(.*)-[0-9]{5}-of-([0-9]{5})\\.gguf$', 1), ''), path) AS stem,
   coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{5}-of-([0-9]{5})\\.gguf$', 2) AS INTEGER), 1) AS total
 FROM (SELECT DISTINCT unnest(files).path AS path FROM manifests)""",

@@ -29,6 +29,29 @@ def stream_daily_bytes(spark, d):
     return last.select("server", F.date_format("day", "yyyy-MM-dd").alias("day"), "v.n", F.col("v.total").alias("total"))
 
 
+def stream_days_closed(spark, d):
+    """Days that the watermark has passed by two days, each given once and for good, as receipts come in."""
+    s = _stream(spark, d, "receipts", "time", "receipt_id", "server", "bytes", "time")
+    u = B.run(B.daily(B.once(s, ["receipt_id"]), ["server"], n=F.count(F.lit(1)), total=F.sum("bytes")), name="closed")
+    return u.select("server", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "total")
+
+
+def stream_restarted(spark, d):
+    """A view of probes per node and outcome that was stopped after half of the files and went on from its checkpoint with the rest."""
+    from chunklake.common import scratch
+
+    src, out, state = (scratch(spark, x) for x in ("incoming", "view", "view-state"))
+    p = table(spark, d, "probes").dropDuplicates(["probe_id"])
+
+    def step(df, n):
+        df.groupBy("node", "outcome").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    for half in (F.col("t") < 1_744_000_000, ~F.coalesce(F.col("t") < 1_744_000_000, F.lit(False))):
+        p.filter(half).write.mode("append").parquet(src)
+        B.follow(B.source(spark, src, 3), step, state).awaitTermination()
+    return spark.read.parquet(out).groupBy("node", "outcome").agg(F.sum("n").alias("n"), F.lit(True).alias("whole"))
+
+
 def stream_hourly_probes(spark, d):
     s = _stream(spark, d, "probes", "t", "probe_id", "node", "t")
     u = B.run(B.hourly(B.once(s, ["probe_id"]), ["node"], n=F.count(F.lit(1))), mode="update", name="probes")
@@ -81,7 +104,7 @@ def codec_roundtrip(spark, d):
 
 
 def codec_ratio(spark, d):
-    """Raw and encoded bytes of the embeddings as F32 and of the texts."""
+    """Bytes of the embeddings, raw, encoded as F32 and encoded as plain bytes."""
     from chunklake.functions import codec
 
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -107,12 +130,16 @@ def pack_manifest(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_downloads, stream_daily_bytes, stream_hourly_probes, stream_probe_gap, stream_latest_probe, stream_follow_log, cdc_chunks, codec_roundtrip, codec_ratio, pack_manifest)
+    for f in (stream_downloads, stream_daily_bytes, stream_days_closed, stream_restarted, stream_hourly_probes, stream_probe_gap, stream_latest_probe, stream_follow_log, cdc_chunks, codec_roundtrip, codec_ratio, pack_manifest)
 }
 
 SQL = {
     "stream_downloads": "SELECT registry, name, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, count(DISTINCT seen_id) AS n FROM seen WHERE seen_id IS NOT NULL GROUP BY ALL",
     "stream_daily_bytes": "SELECT server, strftime(make_timestamp(time * 1000000), '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM (SELECT DISTINCT ON (receipt_id) * FROM receipts) GROUP BY ALL",
+    "stream_days_closed": """WITH r AS (SELECT DISTINCT ON (receipt_id) * FROM receipts)
+SELECT server, strftime(make_timestamp(time * 1000000), '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM r
+WHERE (time // 86400 + 1) * 86400 <= (SELECT max(time) FROM r) - 172800 GROUP BY ALL""",
+    "stream_restarted": "SELECT node, outcome, count(*) AS n, true AS whole FROM (SELECT DISTINCT ON (probe_id) * FROM probes) GROUP BY ALL",
     "stream_hourly_probes": "SELECT node, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H') AS hour, count(*) AS n FROM (SELECT DISTINCT ON (probe_id) * FROM probes) GROUP BY ALL",
     "stream_probe_gap": _BASE + _walk(3600) + "SELECT node, count(*) AS n FROM ap WHERE t < (SELECT max(t) FROM probes) - 172800 GROUP BY node",
     "stream_latest_probe": "SELECT node, t, probe_id FROM (SELECT DISTINCT node, t, probe_id FROM probes) QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC, probe_id DESC) = 1",

@@ -47,6 +47,11 @@ def _cover(size: int, first: int, pieces: list[Segment]) -> list[Segment]:
     return [*out, (at, size, "raw")] if at < size else out
 
 
+def header_length(data: bytes) -> int | None:
+    """The length of a safetensors header as its first eight bytes tell it; None while they aren't there."""
+    return struct.unpack_from("<Q", data)[0] if len(data) >= 8 else None
+
+
 def safetensors_header(data: bytes) -> tuple[int, dict] | None:
     """(length with its prefix, JSON) of a safetensors header; None if there is none, or it isn't all there."""
     if len(data) < 8:
@@ -62,7 +67,9 @@ def safetensors_header(data: bytes) -> tuple[int, dict] | None:
 
 
 def safetensors_segments(data: bytes, size: int | None = None) -> list[Segment] | None:
-    """None if this is no safetensors file; FormatError if tensors overlap or lie outside of it. With the file's size, data need only hold the header."""
+    """None if this is no safetensors file; FormatError if a tensor has no type or offsets, or tensors overlap or lie outside of the file.
+
+    With the file's size, data need only hold the header."""
     got = safetensors_header(data)
     if got is None:
         return None
@@ -74,8 +81,8 @@ def safetensors_segments(data: bytes, size: int | None = None) -> list[Segment]
         try:
             a, b = t["data_offsets"]
             dtype = SAFETENSORS_TYPES.get(t["dtype"], "raw")
-        except (TypeError, KeyError, ValueError):
-            return None
+        except (TypeError, KeyError, ValueError) as e:
+            raise FormatError(f"{name}: no type or offsets") from e
         if not 0 <= a <= b:
             raise FormatError(f"{name}: offsets {a} to {b}")
         pieces.append((first + a, first + b, dtype))
@@ -139,17 +146,24 @@ def gguf_header(data: bytes) -> tuple[int, list[tuple[str, list[int], int, int]]
     for _ in range(pairs):
         name, kind = r.text(), r.number(4)
         value = r.skip(kind)
-        if name == b"general.alignment" and value is not None:
+        if name == b"general.alignment":
+            if kind != 4:
+                raise FormatError(f"alignment of kind {kind}")
             align = int.from_bytes(value, "little")
     if align < 1 or align & (align - 1):
         raise FormatError(f"alignment {align}")
+    if tensors * 24 > len(data) - r.at:
+        raise FormatError(f"{tensors} tensors in a header that is too short for them")
     out = []
     for _ in range(tensors):
         name, rank = r.text().decode("utf-8", "replace"), r.number(4)
         if rank > 8:
             raise FormatError(f"{rank} dimensions")
         shape = [r.number(8) for _ in range(rank)]
-        out.append((name, shape, r.number(4), r.number(8)))
+        kind, offset = r.number(4), r.number(8)
+        if offset % align:
+            raise FormatError(f"{name} isn't aligned")
+        out.append((name, shape, kind, offset))
     return -(-r.at // align) * align, out
 
 
@@ -160,15 +174,19 @@ def gguf_segments(data: bytes, size: int | None = None) -> list[Segment]:
     try:
         first, tensors = gguf_header(data)
         pieces = []
-        for _, shape, kind, offset in tensors:
+        tensors = sorted(tensors, key=lambda t: t[3])
+        for (_, shape, kind, offset), then in zip(tensors, [*(first + t[3] for t in tensors[1:]), total]):
             block = GGML_TYPES.get(kind, (None, None, "raw"))
-            if block[1] is None:
-                continue  # its size isn't known: it stays part of a gap
-            per, width = block[1]
-            n = prod(shape)
-            if n % per or first + offset + n // per * width > total:
+            end = then  # a tensor whose block size isn't known reaches to the next one
+            if block[1] is not None:
+                per, width = block[1]
+                n = prod(shape)
+                end = first + offset + n // per * width
+                if n % per or end > then:
+                    return whole
+            if first + offset > end:
                 return whole
-            pieces.append((first + offset, first + offset + n // per * width, block[2]))
+            pieces.append((first + offset, end, block[2]))
         return _cover(total, first, pieces) if first <= total else whole
     except FormatError:
         return whole

@@ -185,22 +185,22 @@ def link_index(manifests: DataFrame, files: DataFrame) -> DataFrame:
 def read_linked(links: DataFrame) -> DataFrame:
     """hash, raw, ok of linked chunks (hash, target, start, len, size, mtime), read from their files and hashed again.
 
-    A file that changed (size or time) or is gone gives ok = false, so that another copy can be tried."""
+    target is a URI or an absolute path of a folder that all workers see. A file that changed (size or time) or is gone gives ok = false, so
+    that another copy can be tried."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
-        import os
 
         for f in frames:
             out = []
             for r in f.itertuples():
                 raw = None
                 try:
-                    st = os.stat(r.target)
-                    if st.st_size == r.size and st.st_mtime_ns == r.mtime:
-                        with open(r.target, "rb") as file:
-                            file.seek(r.start)
-                            raw = file.read(r.len)
+                    files, at = fs.FileSystem.from_uri(r.target if "://" in r.target else f"file://{r.target}")
+                    st = files.get_file_info(at)
+                    if st.size == r.size and st.mtime_ns == r.mtime:
+                        with files.open_input_file(at) as file:
+                            raw = file.read_at(r.len, r.start)
                 except OSError:
                     pass
                 out.append((r.hash, raw, raw is not None and hashlib.sha256(raw).hexdigest() == r.hash))
@@ -209,9 +209,9 @@ def read_linked(links: DataFrame) -> DataFrame:
     return links.select("hash", "target", "start", "len", "size", "mtime").mapInPandas(run, schema="hash string, raw binary, ok boolean")
 
 
-def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(manifests, refused) from JSON files, one manifest each: the format is looked at first; newer or broken ones are refused."""
-    raw = spark.read.text(path, wholetext=True)
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(manifests, refused) from JSON files, one manifest each, or each line one: the format is looked at first; newer or broken ones are refused."""
+    raw = spark.read.text(path, wholetext=not lines)
     j = raw.select("value", F.get_json_object("value", "$.format").alias("format"))
     known = P.manifest_known(F.col("format"))
     m = j.filter(known).select("value", F.from_json("value", MANIFEST, {"mode": "PERMISSIVE"}).alias("m"))
@@ -234,13 +234,14 @@ def append_log(entries: DataFrame, path: str) -> None:
 
 
 def model_headers(leading: DataFrame) -> DataFrame:
-    """root, path, header (JSON) and params of files whose leading chunks hold a whole safetensors header.
+    """root, path, header (JSON) and params of files whose leading chunks hold a whole safetensors header; both are null where a file has a
+    header that is longer than MAX_HEADER or no JSON object, so that it is known to be missing.
 
     leading: root, path, chunk_ix, raw. Chunks stream through in order, file by file, until the header is whole; the rest is skipped."""
     ordered = leading.repartition("root", "path").sortWithinPartitions("root", "path", "chunk_ix").select("root", "path", "raw")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from chunklake.sources.formats import MAX_HEADER, safetensors_header, safetensors_params
+        from chunklake.sources.formats import MAX_HEADER, header_length, safetensors_header, safetensors_params
 
         at, held, done = None, b"", False
         for f in frames:
@@ -248,14 +249,16 @@ def model_headers(leading: DataFrame) -> DataFrame:
             for root, path, raw in zip(f["root"], f["path"], f["raw"]):
                 if (root, path) != at:
                     at, held, done = (root, path), b"", False
-                if done or raw is None or len(held) > MAX_HEADER:
+                if done or raw is None:
                     continue
                 held += raw
+                need = header_length(held)
+                if need is None or need <= MAX_HEADER and len(held) < 8 + need:
+                    continue
                 got = safetensors_header(held)
-                if got:
-                    out.append((root, path, json.dumps(got[1]), sum(safetensors_params(held).values())))
-                    held, done = b"", True
-            yield pd.DataFrame(out, columns=["root", "path", "header", "params"])
+                out.append((root, path, json.dumps(got[1]), sum(safetensors_params(held).values())) if got else (root, path, None, None))
+                held, done = b"", True
+            yield pd.DataFrame(out, columns=["root", "path", "header", "params"]).astype({"params": "Int64"})
 
     return ordered.mapInPandas(run, schema="root string, path string, header string, params long")
 

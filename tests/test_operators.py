@@ -206,3 +206,45 @@ def test_check_headers(spark):
     rows = [("r", "p", h, 0, hashlib.sha256(h[:4]).hexdigest(), 4), ("r", "p", h, 1, hashlib.sha256(h[4:8]).hexdigest(), 4), ("r", "p", h, 2, "x", 4), ("r", "q", h, 0, "x", 4)]
     df = spark.createDataFrame(rows, "root string, path string, header binary, chunk_ix int, hash string, len long")
     assert {r["path"]: r["ok"] for r in R.check_headers(df).collect()} == {"p": True, "q": False}
+
+
+def test_verified_signatures(spark):
+    from chunklake.functions.hashing import ed25519_sign
+    from chunklake.operators.signatures import verified
+
+    public, sig = (x.hex() for x in ed25519_sign(b"\1" * 32, b"text"))
+    rows = [(public, "text", sig, 1), (public.upper(), "text", sig, 2), (public, "texT", sig, 3), (public, None, sig, 4), (None, "text", sig, 5), (public, "text", None, 6), (public, "text", "xyz", 7), (public[:-2], "text", sig, 8), (public, "text", sig, 1)]
+    df = spark.createDataFrame(rows, "key string, t string, sig string, ok int")
+    got = [r["ok"] for r in verified(df, "key", F.encode("t", "UTF-8"), "sig").collect()]
+    assert sorted(got) == [False] * 6 + [True] * 3
+    assert verified(df.limit(0), "key", F.encode("t", "UTF-8"), "sig").count() == 0
+
+
+def test_formats_refuse_what_the_rules_forbid():
+    import json
+    import struct
+
+    from chunklake.sources import formats
+
+    def tensors(info):
+        h = json.dumps(info).encode()
+        return struct.pack("<Q", len(h)) + h + bytes(16)
+
+    with pytest.raises(formats.FormatError):
+        formats.safetensors_segments(tensors({"a": {"dtype": "F32"}}))
+
+    text = lambda s: struct.pack("<Q", len(s)) + s
+
+    def gguf(kind, align, tensors):
+        head = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), 1) + text(b"general.alignment") + struct.pack("<I", kind) + (struct.pack("<I", align) if kind == 4 else struct.pack("<Q", align))
+        for name, dims, t, at in tensors:
+            head += text(name) + struct.pack(f"<I{len(dims)}Q", len(dims), *dims) + struct.pack("<IQ", t, at)
+        return head.ljust(-(-len(head) // 64) * 64, b"\0") + bytes(512)
+
+    whole = lambda d: formats.gguf_segments(d) == [(0, len(d), "raw")]
+    assert whole(gguf(10, 64, [(b"a", (4,), 0, 0)])) and whole(gguf(4, 48, [(b"a", (4,), 0, 0)]))  # kind and size of the alignment
+    assert whole(gguf(4, 64, [(b"a", (4,), 0, 32)]))  # an offset that isn't aligned
+    assert whole(gguf(4, 64, [(b"a", (100,), 0, 0), (b"b", (4,), 0, 64)]))  # tensors that overlap
+    d = gguf(4, 64, [(b"u", (256,), 19, 64), (b"a", (4,), 0, 0), (b"z", (256,), 19, 128)])  # tensors of unknown size end at the next one or at the end
+    first = len(d) - 512
+    assert formats.gguf_segments(d) == [(0, first, "raw"), (first, first + 16, "f32"), (first + 16, first + 64, "raw"), (first + 64, first + 128, "raw"), (first + 128, len(d), "raw")]

@@ -3,9 +3,9 @@
 import oracle
 import pytest
 
-from chunklake.queries import accounting, misc, planning, problems, registry, streams
+from chunklake.queries import accounting, files, misc, planning, problems, registry, streams
 
-MODULES = [problems, registry, accounting, planning, streams, misc]
+MODULES = [problems, registry, accounting, planning, streams, misc, files]
 CASES = [(k, f, m.SQL.get(k)) for m in MODULES for k, f in m.QUERIES.items()]
 
 

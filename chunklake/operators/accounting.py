@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,26 +86,29 @@ def accepted_probes(probes: DataFrame, gap: int = PROBE_GAP, anchors: DataFrame
     """Of the admitted probes, those at least `gap` seconds after the last accepted one of the same anchor and node. probes: probe_id, anchor, node, root, outcome, t.
 
     Most pairs' probes lie further apart than the gap anyway: a probe that follows its predecessor by the gap or more starts a run, and only
-    runs of closer ones are folded, each a group of its own, so no group is larger than the longest burst."""
+    runs of closer ones are gone through in order. Their rows stream through sorted, so a burst of any length is never held, only the
+    last accepted time."""
     probes = admitted_probes(probes, anchors, nodes)
     pair = Window.partitionBy("anchor", "node").orderBy("t", "probe_id")
     p = probes.withColumn("_far", F.coalesce(F.col("t") - F.lag("t").over(pair) >= gap, F.lit(True)))
     p = p.withColumn("_run", F.sum(F.col("_far").cast("int")).over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    n = F.count(F.lit(1)).over(Window.partitionBy("anchor", "node", "_run"))
-    p = p.withColumn("_n", n)
+    p = p.withColumn("_alone", F.col("_far") & F.coalesce(F.lead("_far").over(pair), F.lit(True)))
     cols = probes.columns
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        keep, last = [], None
-        rows = rows.sort_values(["t", "probe_id"])
-        for t in rows["t"]:
-            ok = last is None or t - last >= gap
-            last = t if ok else last
-            keep.append(ok)
-        return rows[keep][cols]
-
-    alone = p.filter("_n = 1").select(cols)
-    return alone.unionByName(p.filter("_n > 1").groupBy("anchor", "node", "_run").applyInPandas(one, schema=probes.schema))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, None
+        for b in batches:
+            keep = []
+            for key, t in zip(zip(*(b.column(c).to_pylist() for c in ("anchor", "node", "_run"))), b.column("t").to_pylist()):
+                if key != at:
+                    at, last = key, None
+                ok = last is None or t - last >= gap
+                last = t if ok else last
+                keep.append(ok)
+            yield b.filter(pa.array(keep, pa.bool_())).select(cols)
+
+    close = p.filter("not _alone").repartition("anchor", "node", "_run").sortWithinPartitions("anchor", "node", "_run", "t", "probe_id").select(*cols, "_run")
+    return p.filter("_alone").select(cols).unionByName(close.mapInArrow(run, schema=probes.schema))
 
 
 def node_days(credits: DataFrame, probes: DataFrame) -> DataFrame:

@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def report(pieces: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """pieces: hash, raw, stored and the columns of by and order. Repeated rows in one place count once.
+def report(pieces: DataFrame, by: list[str], order: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """pieces: hash, raw, the columns of by and order, and stored. Repeated rows in one place count once.
 
-    What is new are the first rows of each hash, found by a partial aggregation; their totals and those of all rows are added up side by side. So
-    nothing is joined by hash, and one with a third of all rows is no hot group. Null hashes are one content."""
+    sizes: hash, stored, one row per hash, instead of a column stored; what it lacks is stored as it is. What is new are the first rows of
+    each hash, found by a partial aggregation; their totals and those of all rows are added up side by side. Rows are united per input and hash
+    before they meet the sizes, so one hash with a third of all rows is no hot group. Null hashes are one content."""
     p = pieces.dropDuplicates(order)
-    first = p.groupBy("hash").agg(F.min_by(F.struct(*by, "raw", "stored") if by else F.struct("raw", "stored"), F.struct(*order)).alias("v")).select("v.*")
+    cols = [*by, "raw"] if sizes is not None else [*by, "raw", "stored"]
+    first = p.groupBy("hash").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("v")).select("hash", "v.*", F.lit(1).cast("bigint").alias("n"))
+    if sizes is None:
+        every = p.select(*by, "raw", "stored", F.lit(1).cast("bigint").alias("n"))
+    else:
+        every = p.groupBy(*by, "hash").agg(F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("n"))
+        size = lambda df: df.join(sizes.select("hash", "stored"), "hash", "left").withColumn("stored", F.coalesce(F.col("n") * F.col("stored"), F.col("raw")))
+        first, every = size(first), size(every)
     zero = F.lit(0).cast("bigint")
 
     def totals(df: DataFrame, new: bool) -> DataFrame:
-        each = {"chunks": F.count(F.lit(1)), "raw_bytes": F.coalesce(F.sum("raw"), zero), "stored_bytes": F.coalesce(F.sum("stored"), zero)}
+        each = {"chunks": F.coalesce(F.sum("n"), zero), "raw_bytes": F.coalesce(F.sum("raw"), zero), "stored_bytes": F.coalesce(F.sum("stored"), zero)}
         t = df.groupBy(*by).agg(*[c.alias(("new_" if new else "") + n) for n, c in each.items()])
         return t.select(*by, *[F.col(c) if c in t.columns else zero.alias(c) for c in _TOTALS])
 
-    return totals(p, False).unionByName(totals(first, True)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    return totals(every, False).unionByName(totals(first, True)).groupBy(*by).agg(*[F.sum(c).alias(c) for c in _TOTALS])
 
 
 _TOTALS = ("chunks", "new_chunks", "raw_bytes", "new_raw_bytes", "stored_bytes", "new_stored_bytes")

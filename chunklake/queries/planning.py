@@ -41,18 +41,21 @@ def dedup_totals(spark, d):
     return dedup.report(_pieces(spark, d), [], ["source", "doc_id"])
 
 
-def _stored_chunks(spark, d):
-    sizes = _store(spark, d).groupBy("hash").agg(F.max("stored").alias("stored"))
-    c = _chunks(spark, d).filter("hash is not null").join(sizes, "hash", "left")
-    return c.select("hash", F.col("len").alias("raw"), F.coalesce("stored", F.col("len")).alias("stored"), "root", F.coalesce("dtype", F.lit("raw")).alias("dtype"), "file_ix", "chunk_ix")
+def _sizes(spark, d):
+    return _store(spark, d).groupBy("hash").agg(F.max("stored").alias("stored"))
+
+
+def _pieces_of_roots(spark, d):
+    c = _chunks(spark, d).filter("hash is not null")
+    return c.select("hash", F.col("len").alias("raw"), "root", F.coalesce("dtype", F.lit("raw")).alias("dtype"), "file_ix", "chunk_ix")
 
 
 def dedup_by_root(spark, d):
-    return dedup.report(_stored_chunks(spark, d), ["root"], ["root", "file_ix", "chunk_ix"])
+    return dedup.report(_pieces_of_roots(spark, d), ["root"], ["root", "file_ix", "chunk_ix"], _sizes(spark, d))
 
 
 def dedup_by_dtype(spark, d):
-    p = dedup.report(_stored_chunks(spark, d), ["dtype"], ["root", "file_ix", "chunk_ix"])
+    p = dedup.report(_pieces_of_roots(spark, d), ["dtype"], ["root", "file_ix", "chunk_ix"], _sizes(spark, d))
     return p.withColumn("pct", S.percent(F.col("new_stored_bytes"), F.col("raw_bytes")))
 
 

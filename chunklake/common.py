@@ -163,14 +163,27 @@ def hot_hashes(df: DataFrame, keys: list[str], share: float = 1 / 512) -> list[i
     return [x["item"] for x in row["top"] or [] if x["count"] >= max(2, row["n"] * share)][:most]
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with its rows' places (from 1) in one order over all rows, without bringing them into one task.
+def rank_within(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its rows' places (from 1) in an order within each group of `by`, without bringing a group into one task.
 
-    Rows are range-partitioned and written, each partition counts its own, and the offsets of the partitions (one row each) are
-    added. The order should leave no ties, else their places are arbitrary."""
+    Rows are range-partitioned by group and order and written; each partition counts its own. Only the first group of a partition can have
+    rows in an earlier one, so the rows before are one number per partition, added up over the partitions. The order should leave no
+    ties, else their places are arbitrary. Null groups are groups."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    s = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select("_part", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return s.join(F.broadcast(parts), "_part").withColumn(name, (F.col("_before") + own).cast("int")).drop("_part", "_before")
+    s = written(df.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    parts = s.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_rows"))
+    # of a group: its partitions in order; all but its first one begin with it
+    w = Window.partitionBy(*by).orderBy("_part")
+    parts = parts.withColumn("_before", F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))).filter("_before is not null")
+    parts = parts.select("_part", *[F.col(b).alias(f"_of_{b}") for b in by], "_before")
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    same = F.col("s._part") == F.col("p._part")
+    for b in by:
+        same = same & F.col(f"s.{b}").eqNullSafe(F.col(f"p._of_{b}"))
+    ranked = s.withColumn("_own", own).alias("s").join(F.broadcast(parts).alias("p"), same, "left")  # at most one row per partition
+    return ranked.select(*[F.col(f"s.`{c}`") for c in df.columns], (F.coalesce("_before", F.lit(0)) + F.col("_own")).cast("int").alias(name))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """df with its rows' places (from 1) in one order over all rows."""
+    return rank_within(df, [], order, name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunklake.common import key, written
+from chunklake.common import key, rank_within, written
 from chunklake.functions import predicates as P
 from chunklake.functions.scalars import gguf_set, words
 from chunklake.operators.changes import GENESIS, longest_chain, registry_entries
@@ -128,7 +128,7 @@ def listed(h: DataFrame, summaries: DataFrame, limit: int = SHOWN) -> DataFrame:
 
 def index(c: DataFrame) -> DataFrame:
     """All hits, newest first, ties by name and revision."""
-    return hits(c).withColumn("rank", F.row_number().over(Window.partitionBy("registry").orderBy(F.desc("time"), "name", "rev")))
+    return rank_within(hits(c), ["registry"], [F.desc("time"), F.asc("name"), F.asc("rev")])
 
 
 def by_name(c: DataFrame) -> DataFrame:
@@ -155,8 +155,10 @@ def chain_breaks(log: DataFrame) -> DataFrame:
 
     One entry per sequence is looked at, the first received."""
     e = registry_entries(log).filter("seq is not null").withColumn("r", F.row_number().over(Window.partitionBy("log", "seq").orderBy(F.col("own").isNull(), F.col("received").asc_nulls_last(), "prev", "own"))).filter("r = 1")
-    w = Window.partitionBy("log").orderBy("seq")
-    e = e.select("log", "seq", "prev", F.lag("seq").over(w).alias("before"), F.lag("own").over(w).alias("expected"))
+    # a row beside the one before it by joining places, so that no log is one group
+    e = written(rank_within(e.select("log", "seq", "prev", "own"), ["log"], [F.asc("seq")], "place"), "entries")
+    b = e.select("log", (F.col("place") + 1).alias("place"), F.col("seq").alias("before"), F.col("own").alias("expected"))
+    e = e.join(b, ["log", "place"], "left")
     gap = F.coalesce(F.col("seq") - F.col("before") != 1, F.col("seq") != 0)
     forged = F.when(F.col("before").isNull(), F.col("prev") != GENESIS).otherwise(F.coalesce(F.col("prev") != F.col("expected"), F.lit(True)))
     return e.select(F.col("log").alias("registry"), "seq", gap.alias("gap"), forged.alias("forged")).filter("gap or forged")
@@ -245,32 +247,39 @@ def _unfit() -> Column:
     )
 
 
+def in_force(c: DataFrame, delegations: DataFrame) -> DataFrame:
+    """Blocks, unblocks, gates and anchors among the claims with agent and until of the latest delegation before each (null without one).
+
+    delegations: registry, seq, key, expires. Their times in force are intervals of sequence numbers; these are joined by blocks of
+    numbers, so a registry with half of all entries isn't one group."""
+    last = c.groupBy("registry").agg(F.max("seq").alias("last"))
+    force = delegations.select("registry", "seq", F.col("key").alias("agent"), F.col("expires").alias("until"))
+    force = force.withColumn("next", F.lead("seq").over(Window.partitionBy("registry").orderBy("seq"))).join(last, "registry")
+    spans = F.sequence(F.expr(f"seq div {BLOCK}"), F.expr(f"coalesce(next, last) div {BLOCK}"))
+    force = force.select("registry", F.col("seq").alias("_from"), F.coalesce("next", F.col("last") + 1).alias("_to"), "agent", "until", F.explode(spans).alias("_block"))
+    o = c.filter("kind in ('block', 'unblock', 'gate', 'anchors')").withColumn("_block", F.expr(f"seq div {BLOCK}"))
+    same = (F.col("o.registry") == F.col("f.registry")) & (F.col("o._block") == F.col("f._block"))
+    o = o.alias("o").join(force.alias("f"), same & (F.col("seq") > F.col("_from")) & (F.col("seq") <= F.col("_to")), "left")
+    return o.select(*[F.col(f"o.{x}") for x in c.columns], F.when(F.col("agent") != "", F.col("agent")).alias("agent"), "until")
+
+
 def _operator_statements(c: DataFrame) -> DataFrame:
     """c with `refused` for delegations, blocks, unblocks, gates and anchors. c: claims with the operator's key.
 
-    Who acts for the operator follows from the latest accepted delegation before a statement. Delegations are accepted or not by
-    themselves, so their times in force are intervals; these are joined by blocks of sequence numbers, so a registry with half of all
-    entries isn't one group."""
+    Delegations are accepted or not by themselves; who acts for the operator follows from the accepted ones."""
     d = c.filter("kind = 'delegate'")
     given = F.coalesce("key", F.lit("")) != ""
     d = d.withColumn("_why", F.when(~F.coalesce(F.col("signer") == F.col("operator"), F.lit(False)), "not the operator").when(
         given, F.when(~P.is_hash(F.col("key")), "invalid key").when(~F.coalesce(F.col("expires") > F.col("time"), F.lit(False)), "expired").when(F.col("key") == F.col("operator"), "delegates to itself")
     ))
-    force = d.filter("_why is null").select("registry", "seq", F.col("key").alias("agent"), F.col("expires").alias("until"))
-    last = c.groupBy("registry").agg(F.max("seq").alias("last"))
-    force = force.withColumn("next", F.lead("seq").over(Window.partitionBy("registry").orderBy("seq"))).join(last, "registry")
-    spans = F.sequence(F.expr(f"seq div {BLOCK}"), F.expr(f"coalesce(next, last) div {BLOCK}"))
-    force = force.select("registry", F.col("seq").alias("_from"), F.coalesce("next", F.col("last") + 1).alias("_to"), "agent", "until", F.explode(spans).alias("_block"))
-    o = c.filter("kind in ('block', 'unblock', 'gate', 'anchors')").withColumn("_block", F.expr(f"seq div {BLOCK}"))
-    o = o.alias("o").join(force.alias("f"), (F.col("o.registry") == F.col("f.registry")) & (F.col("o._block") == F.col("f._block")) & (F.col("seq") > F.col("_from")) & (F.col("seq") <= F.col("_to")), "left")
-    acts = P.may_operate(F.col("signer"), F.col("operator"), F.when(F.col("agent") != "", F.col("agent")), F.col("until"), F.col("time"))
+    o = in_force(c, d.filter("_why is null"))
+    acts = P.may_operate(F.col("signer"), F.col("operator"), F.col("agent"), F.col("until"), F.col("time"))
     repo = F.trim(F.coalesce("repo", F.lit("")))
     o = o.withColumn("_why", F.when(~acts, "not the operator").when(
         F.col("kind").isin("block", "unblock"), F.when(~P.is_hash(key("hash")), "invalid hash")
     ).when(F.col("kind") == "gate", F.when(~P.is_hash(key("root")), "invalid root").when((repo != "") & ~P.is_repo(repo), "invalid gate")
-    ).when(F.col("kind") == "anchors", F.when(F.size("addrs") > MAX_ANCHORS, "too many anchors").when(F.exists("addrs", lambda a: ~a.rlike("/p2p/[A-Za-z0-9]+$")), "invalid anchor"))).select(
-        *[F.col(f"o.{x}") for x in c.columns], "_why")
-    both = d.select(*c.columns, "_why").unionByName(o)
+    ).when(F.col("kind") == "anchors", F.when(F.size("addrs") > MAX_ANCHORS, "too many anchors").when(F.exists("addrs", lambda a: ~a.rlike("/p2p/[A-Za-z0-9]+$")), "invalid anchor")))
+    both = d.select(*c.columns, "_why").unionByName(o.select(*c.columns, "_why"))
     # only accepted statements are remembered, and a remembered one is refused when it comes again
     before = Window.partitionBy("registry", "sig").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     known = F.coalesce(F.max(F.col("_why").isNull()).over(before), F.lit(False))

@@ -24,10 +24,8 @@ def operator_rights(spark, d):
     """Whether the signer of each block, unblock, gate and anchors statement acted for the operator then: as of the latest delegation before it."""
     c = _claims(spark, d)
     root = c.filter("kind = 'anchors'").groupBy("registry").agg(F.min_by("signer", "seq").alias("operator"))
-    w = Window.partitionBy("registry").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    deal = F.last(F.when(F.col("kind") == "delegate", F.struct("key", "expires")), ignorenulls=True).over(w)
-    s = c.withColumn("d", deal).join(F.broadcast(root), "registry").filter("kind in ('block', 'unblock', 'gate', 'anchors')")
-    ok = P.may_operate(F.col("signer"), F.col("operator"), F.col("d.key"), F.col("d.expires"), F.col("time"))
+    s = R.in_force(c, c.filter("kind = 'delegate'")).join(root, "registry")
+    ok = P.may_operate(F.col("signer"), F.col("operator"), F.col("agent"), F.col("until"), F.col("time"))
     return s.select("registry", "seq", ok.alias("acts"))
 
 

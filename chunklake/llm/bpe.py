@@ -9,13 +9,15 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from chunklake.common import spread
 
 #: Fixed value: the pattern that splits a text into words before the merges, as published with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NONE = 1 << 30
+#: words of more bytes than this are merged by linked parts and a heap, which gives the same ids: the scan for the least rank takes the
+#: square of a word's length. CACHE words of at most this length are kept by each worker.
 SHORT = 96
 CACHE = 1 << 18
 
@@ -30,6 +32,22 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
         return f"/opt/tokenizers/{name}"
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which the workers find a vocabulary file of the driver: sent to them once per session, they need not have it."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_chunklake_sent", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+    return path.rpartition("/")[2]
+
+
+def _on_worker(name: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 @lru_cache(maxsize=4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -116,7 +134,7 @@ def encoder(path: str) -> Encoder:
 
 def _run(path: str, text: str, only_size: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(_on_worker(path)).encode
         for b in batches:
             at = b.schema.get_field_index(text)
             texts = b.column(at).to_pylist()
@@ -140,7 +158,7 @@ def _with(df: DataFrame, text: str, path: str | None, only_size: bool) -> DataFr
     rest = [c for c in df.columns if c not in (text, made)]
     one = spread(df.select(*[f"`{c}`" for c in rest], f"`{text}`"))
     shape = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "tokens int" if only_size else "ids array<int>"])
-    return one.mapInArrow(_run(path or vocabulary_path(), text, only_size), schema=shape)
+    return one.mapInArrow(_run(shipped(df.sparkSession, path or vocabulary_path()), text, only_size), schema=shape)
 
 
 def encode(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

@@ -229,30 +229,57 @@ _ES_TYPES = "Calle Avda Avenida Paseo Plaza Pza Camino Travesía Ronda Rua Trave
 _NUMBER = r"\d{1,4} ?[A-Za-z]?(?![\w])"
 _DE_ENDS = "straße strasse str\\. gasse weg allee platz ufer damm ring straat laan gracht plein gatan vägen".split()
 _PL_TYPES = "ul al pl os".split()
-#: words of one of which an address has; the group tells the pattern
-_STREET = re.compile(
-    rf"[\s.\"|(](?:(?P<en>{'|'.join(_EN_TYPES)})|(?P<fr>{'|'.join(_FR_TYPES)})|(?P<es>{'|'.join(_ES_TYPES)})|(?P<pl>{'|'.join(_PL_TYPES)})\.)(?![{L}])|(?P<de>{'|'.join(_DE_ENDS)}) ?\d|(?P<am>\d, \d{{5}} )"
-)
+_AM_TYPES = "Am,An der,An den,Im,In der,Zum,Zur,Unter den,Auf dem".split(",")
+
+
+def _words(words: list[str]) -> str:
+    """A pattern of words, parted by their first letters, so that a place in a text is given up at one letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(r)})" for c, r in by.items())
+
+
+#: words of one of which an address has, all together and by pattern
+_KINDS = {"en": _EN_TYPES, "fr": _FR_TYPES, "es": _ES_TYPES, "pl": [f"{t}." for t in _PL_TYPES], "am": _AM_TYPES}
+_SIGNS = {k: re.compile(rf"[\s.\"|(](?:{_words(v)})(?![{L}])") for k, v in _KINDS.items()}
+_ANY_SIGN = re.compile(rf"[\s.\"|(](?:{_words([w for v in _KINDS.values() for w in v])})(?![{L}])")
+_DE_SIGN = re.compile(rf"(?:{'|'.join(_DE_ENDS)}) ?\d")
 ADDRESSES = {
     "en": re.compile(rf"\b(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[a-z]?,? )?\d{{1,4}}[A-Za-z]?,? {_CAPS}(?<=[ .])(?:{'|'.join(_EN_TYPES)})\b\.?(?!\w){_AFTER_EN}"),
     "de": re.compile(rf"\b[A-ZÄÖÜ][a-zäöüßåA-Z\-]+ ?(?:{'|'.join(_DE_ENDS)}) {_NUMBER}{_AFTER}"),
     "fr": re.compile(rf"\b\d{{1,4}}[a-z]?(?: (?:bis|ter|quater))?,? (?:{'|'.join(_FR_TYPES)})\b\.? (?:[dl]['’]|de la |de l['’]|de |du |des |le |la )?[A-ZÀ-Þ][\w'’\-]*{_AFTER}"),
     "es": re.compile(rf"(?:\bC/|\b(?:{'|'.join(_ES_TYPES)})\b\.?) (?:de la |de los |de las |del |de |do |da |das |dos |della |dei |di )?[A-ZÀ-Þ][\w\-]*(?: [A-ZÀ-Þ][\w\-]*)*,?(?: n\.?º)? {_NUMBER}(?:, \d+\.º [A-Z])?{_AFTER}"),
     "pl": re.compile(rf"\b(?:{'|'.join(_PL_TYPES)})\. [{U}][\w\-]+(?: [{U}][\w\-]+)? {_NUMBER}(?:/\d+)?{_AFTER}"),
-    "am": re.compile(rf"\b(?:Am|An der|An den|Im|In der|Zum|Zur|Unter den|Auf dem) [{U}][\w\-]+ {_NUMBER}, \d{{5}} {_TOWN}"),
+    "am": re.compile(rf"\b(?:{'|'.join(_AM_TYPES)}) [{U}][\w\-]+ {_NUMBER}, \d{{5}} {_TOWN}"),
 }
 
 
 def _addresses(text: str) -> Iterator[Span]:
-    kinds = {m.lastgroup for m in _STREET.finditer(text)}
+    if _ANY_SIGN.search(text):
+        for kind, sign in _SIGNS.items():
+            whole = ADDRESSES[kind]
+            for m in sign.finditer(text):
+                if kind in ("en", "fr"):  # the number comes before the word
+                    if not _HOUSE.search(text, max(0, m.start() - _BEFORE), m.end()):
+                        continue
+                    for w in whole.finditer(text, max(0, m.start() - _BEFORE), m.end() + _BEHIND):
+                        yield w.span()
+                elif w := whole.match(text, m.start() + 1):
+                    yield w.span()
     if text.startswith(_AT_START):
-        kinds |= {"es", "pl"}
-    for k in kinds:
-        for m in ADDRESSES[k].finditer(text):
-            yield m.span()
+        for kind in ("es", "pl", "am"):
+            if w := ADDRESSES[kind].match(text):
+                yield w.span()
+    for m in _DE_SIGN.finditer(text):
+        for w in ADDRESSES["de"].finditer(text, max(0, m.start() - _BEFORE), m.end() + _BEHIND):
+            yield w.span()
 
 
-_AT_START = tuple(t for t in _ES_TYPES) + tuple(f"{t}. " for t in _PL_TYPES)
+_HOUSE = re.compile(r"\d[A-Za-z]?,? [A-Za-zÀ-Þ]")
+#: how far an address reaches before and behind its word for the street
+_BEFORE, _BEHIND = 80, 200
+_AT_START = tuple(_ES_TYPES) + tuple(f"{t}. " for t in _PL_TYPES) + tuple(f"{t} " for t in _AM_TYPES)
 
 
 # ---------------------------------------------------------------- names
@@ -377,7 +404,6 @@ def _endings(words: set[str]) -> tuple[str, ...]:
 
 
 _AFTER_WORD = re.compile(r"[^\w\n]{0,3}([^\W\d_][\w'’\-]*)?")
-_BEFORE = re.compile(r"([^\s(\[<\"“„«|;,]*)([\s(\[<\"“„«|;,:=*>—–\-]*)$")
 _TITLE_END = re.compile(rf"\b(?:{'|'.join(sorted(TITLES))})\. $", re.I)
 _DASH = re.compile(r"(?:^|\n|[.!?…]\s|\s)(?:—|–|--)\s?$")
 _DAY = re.compile(r"\s{1,2}(?:on|am|el|le|em|il|dated|vom|du|del)\s(?=\d)")
@@ -513,17 +539,20 @@ def _names(text: str, names: Names, finds: list[Find]) -> Iterator[Span]:
         yield from _beside(text, kind, a)
     last = -1
     for m in _RUN.finditer(text):
-        run = m[0]
-        if " " not in run and run.lower() in STOP:
-            continue
+        run, x = m[0], m.start()
+        if run.isalpha():
+            if run.lower() in STOP:
+                continue
+            if text[x - 2 : x] in SENTENCE and names.like(run) == (0, 0) and not _TITLE_END.search(text, max(0, x - 8), x):
+                # an ordinary word that opens a sentence
+                if not ((w := _AFTER_WORD.match(text, m.end())) and w[1] in VERBS):
+                    continue
         for lead, tokens in _segments(m):
             if len(tokens) > 1 and tokens[0][0] == "M." and (w := _AFTER_WORD.match(text, tokens[-1][2])) and w[1] and w[1].lower() in FRENCH:
                 lead, tokens = ["monsieur", *lead], tokens[1:]
             if len(tokens) > 4 or all(t.endswith(".") for t, _, _ in tokens):
                 continue
             a, b = tokens[0][1], tokens[-1][2]
-            if len(tokens) == 1 and not lead and text[a - 2 : a] in SENTENCE and not _TITLE_END.search(text, max(0, a - 8), a) and names.like(tokens[0][0]) == (0, 0) and not ((w := _AFTER_WORD.match(text, b)) and w[1] in VERBS):
-                continue
             if len(tokens) == 1 and tokens[0][0].isupper() and len(tokens[0][0]) < 4 or tokens[-1][0].lower() in NOBODY:
                 continue
             score = _judge(text, a, b, [t for t, _, _ in tokens], names, starts, ends, lead)

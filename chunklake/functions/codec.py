@@ -27,7 +27,7 @@ def split_planes(raw: bytes, width: int) -> bytes:
         return raw
     n = len(raw) // width
     body = np.frombuffer(raw, np.uint8, n * width).reshape(n, width)
-    return body.T.tobytes() + raw[n * width :]
+    return body.T.tobytes() + bytes(raw[n * width :])
 
 
 def join_planes(planes: bytes, width: int) -> bytes:
@@ -35,30 +35,40 @@ def join_planes(planes: bytes, width: int) -> bytes:
         return planes
     n = len(planes) // width
     body = np.frombuffer(planes, np.uint8, n * width).reshape(width, n)
-    return body.T.tobytes() + planes[n * width :]
+    return body.T.tobytes() + bytes(planes[n * width :])
 
 
 def split_exponent(raw: bytes, width: int) -> bytes:
-    """Planes with the exponent alone first: BF16 as [exponent][sign, 7 bits], F32 as [exponent][byte 0][byte 1][sign, 7 bits]."""
+    """Planes with the exponent alone first: BF16 as [exponent][sign, 7 bits], F32 as [exponent][byte 0][byte 1][sign, 7 bits].
+
+    Elements are taken as whole numbers, so every step runs over contiguous memory."""
     n = len(raw) // width
-    e = np.frombuffer(raw, np.uint8, n * width).reshape(n, width)
-    high, low = e[:, width - 1], e[:, width - 2]
-    exponent = (high << 1) | (low >> 7)
-    rest = (high & 0x80) | (low & 0x7F)
-    middle = [e[:, k] for k in range(width - 2)]
-    return b"".join(p.astype(np.uint8).tobytes() for p in (exponent, *middle, rest)) + raw[n * width :]
+    x = np.frombuffer(raw, f"<u{width}", n)
+    out = np.empty((width, n), np.uint8)
+    top = x if width == 2 else (x >> 16).astype(np.uint16)
+    out[0] = top >> 7
+    for k in range(width - 2):
+        out[1 + k] = x >> 8 * k
+    out[-1] = (top >> 8) & 0x80 | top & 0x7F
+    return out.tobytes() + bytes(raw[n * width :])
 
 
 def join_exponent(planes: bytes, width: int) -> bytes:
     n = len(planes) // width
     p = np.frombuffer(planes, np.uint8, n * width).reshape(width, n)
-    exponent, rest = p[0], p[width - 1]
-    out = np.empty((n, width), np.uint8)
-    for k in range(width - 2):
-        out[:, k] = p[1 + k]
-    out[:, width - 2] = (exponent << 7) | (rest & 0x7F)
-    out[:, width - 1] = (rest & 0x80) | (exponent >> 1)
-    return out.tobytes() + planes[n * width :]
+    out = p[0].astype(np.uint16)
+    out <<= 7
+    rest = p[-1].astype(np.uint16)
+    out |= rest & 0x7F
+    rest &= 0x80
+    rest <<= 8
+    out |= rest
+    if width == 4:
+        out = out.astype(np.uint32)
+        for k in (1, 0):
+            out <<= 8
+            out |= p[1 + k]
+    return out.tobytes() + bytes(planes[n * width :])
 
 
 @lru_cache
@@ -94,7 +104,7 @@ def encode(raw: bytes, dtype: str, plane_frames: bool = False) -> bytes:
         if plane_frames and len(raw) >= width:
             options.append((EXPONENT_FRAMES if codec == EXPONENT else PLANE_FRAMES, param, _frames(planes, width)))
     codec, param, payload = min(options, key=lambda o: len(o[2]))
-    return bytes([2 if codec >= PLANE_FRAMES else 1, codec, param]) + payload
+    return b"".join((bytes([2 if codec >= PLANE_FRAMES else 1, codec, param]), payload))
 
 
 def _expand(frame: bytes, size: int) -> bytes:
@@ -120,7 +130,7 @@ def decode(blob: bytes, size: int) -> bytes:
     if codec == STORED:
         if len(payload) != size:
             raise BlobError("the length is not as announced")
-        return payload
+        return bytes(payload)
     if codec in (ZSTD, PLANES, EXPONENT):
         flat = _expand(payload, size)
     else:

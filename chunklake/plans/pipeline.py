@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,17 @@ from chunklake.functions import predicates as P
 PIECES = "path string, file_ix long, chunk_ix int, start long, len long, dtype string, hash string, raw binary"
 
 
+def views(a: pa.Array) -> Iterator[memoryview | None]:
+    """The values of a binary column as views of its buffer, without copies."""
+    _, offsets, data = a.buffers()
+    wide = pa.types.is_large_binary(a.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[a.offset : a.offset + len(a) + 1].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    there = a.is_valid().to_pylist() if a.null_count else None
+    for i in range(len(a)):
+        yield whole[at[i] : at[i + 1]] if there is None or there[i] else None
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative), size, content of the regular files below a folder; file_ix is their order by path."""
     root = folder.rstrip("/") + "/"
@@ -128,8 +140,9 @@ def encode(pieces: DataFrame, known: DataFrame | None = None) -> DataFrame:
         from chunklake.functions import codec
 
         for b in batches:
-            blobs = [codec.encode(r, t) for r, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in b.column(1).to_pylist()], pa.int64()), pa.array(blobs, pa.binary())], ["hash", "raw_len", "blob"])
+            raws = list(views(b.column(1)))
+            blobs = [codec.encode(r, t) for r, t in zip(raws, b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(blobs, pa.binary())], ["hash", "raw_len", "blob"])
 
     return p.select("hash", "raw", "dtype").mapInArrow(run, schema="hash string, raw_len long, blob binary")
 
@@ -142,9 +155,9 @@ def decode(blobs: DataFrame) -> DataFrame:
 
         for b in batches:
             raws, oks = [], []
-            for h, n, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for h, n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), views(b.column(2))):
                 try:
-                    raw = codec.decode(blob, n)
+                    raw = codec.decode(blob, n) if blob is not None else None
                 except codec.BlobError:
                     raw = None
                 raws.append(raw)

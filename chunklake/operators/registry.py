@@ -169,6 +169,23 @@ def head(c: DataFrame) -> DataFrame:
     return c.groupBy("registry").agg((F.max("seq") + 1).alias("size"), F.max_by("own", "seq").alias("hash"))
 
 
+def follow(heads: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a follower takes over from another's log: (registry, seq, own) of the entries that extend its heads, and its heads afterwards.
+
+    heads: registry, size, hash of what the follower has (size 0 and 64 zeros for nothing). Only entries that follow a head link by link count:
+    of several continuations the longest. Where none does, the head stays as it is; registries without a head aren't followed."""
+    e = registry_entries(log).filter("own is not null")
+    h = heads.select(F.col("registry").alias("log"), "size", F.col("hash").alias("_hash"))
+    at = F.col("seq") - F.col("size")
+    first = F.when(F.col("prev") == F.col("_hash"), F.lit(GENESIS))  # at a head's place only what names it as its predecessor can follow
+    new = e.join(h, "log").filter(at >= 0).select("log", at.alias("seq"), F.when(at == 0, first).otherwise(F.col("prev")).alias("prev"), "own")
+    on = written(longest_chain(new).select("log", "seq", "own"), "followed")
+    accepted = on.join(h, "log").select(F.col("log").alias("registry"), (F.col("seq") + F.col("size")).alias("seq"), "own")
+    last = accepted.groupBy("registry").agg((F.max("seq") + 1).alias("_size"), F.max_by("own", "seq").alias("_own"))
+    after = heads.select("registry", "size", "hash").join(last, "registry", "left")
+    return accepted, after.select("registry", F.coalesce("_size", "size").alias("size"), F.coalesce("_own", "hash").alias("hash"))
+
+
 def audit(c: DataFrame, heads: DataFrame) -> DataFrame:
     """Whether heads (registry, size, hash) seen earlier are those of a prefix of the log; c is `chain`'s."""
     at = c.select("registry", (F.col("seq") + 1).alias("size"), "own")

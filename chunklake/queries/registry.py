@@ -12,6 +12,7 @@ from chunklake.queries.problems import _K, CHAIN
 
 QUERY = "of checkpoint"
 AT = 1747000000
+HALF = "2025-04-15"
 
 
 def _c(spark, d):
@@ -79,6 +80,15 @@ def registry_head(spark, d):
     return R.head(stored(table(spark, d, "log"), "chain", R.chain))
 
 
+def registry_follow(spark, d):
+    """A follower that knows what was received before a moment goes on from its heads: entries taken over, and its heads afterwards."""
+    log = table(spark, d, "log")
+    heads = written(R.head(R.chain(log.filter(F.col("received") < F.lit(HALF).cast("timestamp_ntz")))), "heads")
+    new, after = R.follow(heads, log)
+    n = new.groupBy("registry").agg(F.count(F.lit(1)).alias("taken"))
+    return after.join(n, "registry", "left").select("registry", "size", "hash", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
 def _heads(c):
     """A head at every entry, every second one false."""
     return c.select("registry", (F.col("seq") + 1).alias("size"), F.when(F.col("seq") % 2 == 0, F.col("own")).otherwise("x").alias("hash"))
@@ -176,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         names_latest, resolve_main, registry_owners, registry_blocked, registry_gates, registry_anchors, registry_delegate, registry_ticket_issuers,
-        registry_index, registry_search, registry_search_listed, registry_search_site, registry_by_name, registry_head, registry_audit,
+        registry_index, registry_search, registry_search_listed, registry_search_site, registry_by_name, registry_head, registry_follow, registry_audit,
         registry_chain_breaks, registry_page, registry_claims_by_kind, registry_validate, registry_publish_check, registry_enforced, model_summary,
         model_files_by_size, model_list, gguf_sets, gguf_shards, unsafe_files, valid_names, valid_keys, description_words,
     )
@@ -307,6 +317,18 @@ SQL = {
     "registry_by_name": _V + "SELECT registry, name, max(time) AS newest, string_agg(rev, ',' ORDER BY time DESC, rev DESC) AS revs FROM hits GROUP BY registry, name",
     "registry_head": CHAIN + "SELECT registry, max(seq) + 1 AS size, arg_max(own, seq) AS hash FROM back GROUP BY registry",
     "registry_audit": CHAIN + "SELECT registry, seq + 1 AS size, seq % 2 = 0 AS ok FROM back",
+    "registry_follow": f"""
+WITH RECURSIVE entries AS (
+  SELECT registry, seq, {_K.format("prev")} AS prev, sha256(concat_ws('|', CAST(seq AS VARCHAR), prev, statement.signature.sig)) AS own, min(received) AS received
+  FROM log WHERE statement.signature.sig IS NOT NULL AND seq IS NOT NULL GROUP BY registry, seq, log.prev, statement.signature.sig
+), early AS (SELECT * FROM entries WHERE received < TIMESTAMP '{HALF}'),
+c1 AS (
+  SELECT registry, seq, own FROM early WHERE seq = 0 AND prev = repeat('0', 64)
+  UNION ALL SELECT e.registry, e.seq, e.own FROM c1 JOIN early e ON e.registry = c1.registry AND e.seq = c1.seq + 1 AND e.prev = c1.own
+), h AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY registry ORDER BY seq DESC, own) = 1),
+d AS (SELECT registry, seq, own FROM h UNION ALL SELECT e.registry, e.seq, e.own FROM d JOIN entries e ON e.registry = d.registry AND e.seq = d.seq + 1 AND e.prev = d.own),
+z AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY registry ORDER BY seq DESC, own) = 1)
+SELECT z.registry, z.seq + 1 AS size, z.own AS hash, z.seq - h.seq AS taken FROM z JOIN h USING (registry)""",
     "registry_chain_breaks": f"""
 WITH e AS (
   SELECT registry, seq, {_K.format("prev")} AS prev,

@@ -369,6 +369,7 @@ class Names:
         self.family = {fold(n) for n, r in names if r == "family"}
         self.endings = {r: _endings({fold(n) for n, x in names if x == r}) for r in ("given", "family")}
         self.seen: dict[str, tuple[int, int]] = {}
+        self.runs: dict[str, int] = {}  # words with capitals: 2 never a name, 1 like no name, 0 others
         self.plain: set[str] = set()  # those seen that are like no name
 
     def like(self, word: str) -> tuple[int, int]:
@@ -404,7 +405,6 @@ def _endings(words: set[str]) -> tuple[str, ...]:
 
 
 _AFTER_WORD = re.compile(r"[^\w\n]{0,3}([^\W\d_][\w'’\-]*)?")
-_TITLE_END = re.compile(rf"\b(?:{'|'.join(sorted(TITLES))})\. $", re.I)
 _DASH = re.compile(r"(?:^|\n|[.!?…]\s|\s)(?:—|–|--)\s?$")
 _DAY = re.compile(r"\s{1,2}(?:on|am|el|le|em|il|dated|vom|du|del)\s(?=\d)")
 THRESHOLD = 3
@@ -537,13 +537,19 @@ def _names(text: str, names: Names, finds: list[Find]) -> Iterator[Span]:
     # a field that is a name, before another find in a line of fields or on the line above
     for kind, a, _ in finds:
         yield from _beside(text, kind, a)
-    last = -1
+    last, ordinary = -1, names.runs
+    if len(ordinary) >= 1 << 16:
+        ordinary.clear()
     for m in _RUN.finditer(text):
-        run, x = m[0], m.start()
-        if run.isalpha():
-            if run.lower() in STOP:
+        run = m[0]
+        plain = ordinary.get(run)
+        if plain is None:
+            plain = ordinary[run] = 0 if not run.isalpha() else 2 if run.lower() in STOP else int(names.like(run) == (0, 0))
+        if plain:
+            if plain == 2:
                 continue
-            if text[x - 2 : x] in SENTENCE and names.like(run) == (0, 0) and not _TITLE_END.search(text, max(0, x - 8), x):
+            x = m.start()
+            if text[x - 2 : x] in SENTENCE and text[text.rfind(" ", max(0, x - 9), x - 2) + 1 : x - 2].lower() not in TITLES:
                 # an ordinary word that opens a sentence
                 if not ((w := _AFTER_WORD.match(text, m.end())) and w[1] in VERBS):
                     continue
@@ -598,6 +604,8 @@ _INLINE = re.compile(rf"(?<![{L}0-9])(?P<n>{_ANY}(?:{_GAP}{_ANY}){{1,4}})(?:,? ?
 
 def _beside(text: str, kind: str, a: int) -> Iterator[Span]:
     """A name in the field or line right before a find; its letters may be of any case."""
+    if a and text[a - 1] not in " \t|;\n":
+        return
     before = text[max(0, a - 64) : a]
     at = a - len(before)
     for p in (_CELL, _ABOVE) if kind in ("address", "identity", "phone", "email") else ():

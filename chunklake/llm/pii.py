@@ -242,7 +242,7 @@ def _words(words: list[str]) -> str:
 
 #: words of one of which an address has, all together and by pattern
 _KINDS = {"en": _EN_TYPES, "fr": _FR_TYPES, "es": _ES_TYPES, "pl": [f"{t}." for t in _PL_TYPES], "am": _AM_TYPES}
-_SIGNS = {k: re.compile(rf"[\s.\"|(](?:{_words(v)})(?![{L}])") for k, v in _KINDS.items()}
+_KIND_OF = {w: k for k, v in _KINDS.items() for w in v}
 _ANY_SIGN = re.compile(rf"[\s.\"|(](?:{_words([w for v in _KINDS.values() for w in v])})(?![{L}])")
 _DE_SIGN = re.compile(rf"(?:{'|'.join(_DE_ENDS)}) ?\d")
 ADDRESSES = {
@@ -256,17 +256,15 @@ ADDRESSES = {
 
 
 def _addresses(text: str) -> Iterator[Span]:
-    if _ANY_SIGN.search(text):
-        for kind, sign in _SIGNS.items():
-            whole = ADDRESSES[kind]
-            for m in sign.finditer(text):
-                if kind in ("en", "fr"):  # the number comes before the word
-                    if not _HOUSE.search(text, max(0, m.start() - _BEFORE), m.end()):
-                        continue
-                    for w in whole.finditer(text, max(0, m.start() - _BEFORE), m.end() + _BEHIND):
-                        yield w.span()
-                elif w := whole.match(text, m.start() + 1):
+    for m in _ANY_SIGN.finditer(text):
+        kind = _KIND_OF[m[0][1:]]
+        whole = ADDRESSES[kind]
+        if kind in ("en", "fr"):  # the number comes before the word
+            if _HOUSE.search(text, max(0, m.start() - _BEFORE), m.end()):
+                for w in whole.finditer(text, max(0, m.start() - _BEFORE), m.end() + _BEHIND):
                     yield w.span()
+        elif w := whole.match(text, m.start() + 1):
+            yield w.span()
     if text.startswith(_AT_START):
         for kind in ("es", "pl", "am"):
             if w := ADDRESSES[kind].match(text):

@@ -156,3 +156,22 @@ def test_gguf():
     assert formats.gguf_shard("m-00001-of-00003.gguf") == ("m", 3)
     assert formats.gguf_shard("m-0001-of-00003.gguf") is None
     assert formats.file_segments("x.GGUF", f) == [(0, len(f), "raw")]
+
+
+@pytest.mark.parametrize("kind", ["random", "words", "constant"])
+def test_cuts_follow_the_rule_step_by_step(kind):
+    rnd = np.random.default_rng(5)
+    data = {"random": rnd.integers(0, 256, 700_000, dtype=np.uint8).tobytes(), "words": b" ".join(rnd.choice([b"cold", b"cache", b"node", b"block"], 120_000).tolist()), "constant": b"*" * 600_000}[kind]
+    gear, ends, start, h = chunker.gear().tolist(), [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + gear[b]) & 0xFFFF
+        at = i + 1
+        n = at - start
+        lax = h < 2
+        strict = lax and (int.from_bytes(data[max(at - 8, 0) : at].rjust(8, b"\0"), "little") * chunker.MIX & (1 << 64) - 1) >> 62 == 0
+        if n > chunker.LEAST and (strict and n <= chunker.USUAL or lax and n > chunker.USUAL) or n == chunker.MOST:
+            ends.append(at)
+            start = at
+    if start < len(data):
+        ends.append(len(data))
+    assert chunker.cuts(data) == ends and len(ends) > 2

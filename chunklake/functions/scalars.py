@@ -103,11 +103,30 @@ def next_link(header: Column) -> Column:
     return F.nullif(F.regexp_extract(header, r'<([^>]*)>\s*;\s*rel="?next"?', 1), F.lit(""))
 
 
-def model_name(c: Column, host: str = "registry.ollama.ai", namespace: str = "library") -> Column:
-    """struct(host, namespace, model, tag) of [host/][namespace/]model[:tag]; null when it is none."""
-    form = r"^(?:(?:([A-Za-z0-9.-]+(?::\d+)?)/)?([A-Za-z0-9][A-Za-z0-9._-]*)/)?([A-Za-z0-9][A-Za-z0-9._-]*)(?::([A-Za-z0-9][A-Za-z0-9._-]*))?$"
-    g = lambda i, d: F.coalesce(F.nullif(F.regexp_extract(c, form, i), F.lit("")), F.lit(d))
-    return F.when(c.rlike(form), F.struct(g(1, host).alias("host"), g(2, namespace).alias("namespace"), g(3, "").alias("model"), g(4, "latest").alias("tag")))
+HOST, NAMESPACE = "registry.ollama.ai", "library"  # fixed values: what a name stands for that leaves them out
+
+
+def model_name(c: Column, host: str = HOST, namespace: str = NAMESPACE) -> Column:
+    """struct(host, namespace, model, tag) of [scheme://][host/][namespace/]model[:tag], blanks around it not counting; null when it is none, also
+    for a name with a digest."""
+    part = "[A-Za-z0-9._-]{1,128}"
+    form = rf"^(?:(?:([A-Za-z0-9._:-]{{1,128}})/)?({part})/)?({part})(?::({part}))?$"
+    s = F.regexp_replace(F.trim(c), "^(https?://)+", "")
+    g = lambda i, d: F.coalesce(F.nullif(F.regexp_extract(s, form, i), F.lit("")), F.lit(d))
+    n = F.struct(g(1, host).alias("host"), g(2, namespace).alias("namespace"), g(3, "").alias("model"), g(4, "latest").alias("tag"))
+    dots = F.exists(F.array(*[n[x] for x in ("host", "namespace", "model", "tag")]), lambda p: p.isin(".", ".."))
+    return F.when(s.rlike(form) & ~dots, n)
+
+
+def model_display(n: Column) -> Column:
+    """A parsed name as people write it: without the parts that are understood, but with its tag."""
+    space = F.when(n["namespace"] == NAMESPACE, n["model"]).otherwise(F.concat_ws("/", n["namespace"], n["model"]))
+    return F.concat(F.when(n["host"] == HOST, space).otherwise(F.concat_ws("/", n["host"], n["namespace"], n["model"])), F.lit(":"), n["tag"])
+
+
+def model_path(n: Column) -> Column:
+    """Where a tag's manifest is kept below a folder of models."""
+    return F.when(n.isNotNull(), F.concat_ws("/", F.lit("manifests"), n["host"], n["namespace"], n["model"], n["tag"]))
 
 
 def digest(c: Column) -> Column:

@@ -224,10 +224,14 @@ def gguf_params(files: DataFrame) -> DataFrame:
 
 
 def model_params(files: DataFrame) -> DataFrame:
-    """root, params of models from their safetensors files (root, path, params): the sum, or null when one of them isn't counted, as a
-    number that lacks a shard would be wrong. Models without such files have no row; see gguf_params for those of GGUF files."""
+    """root, params of models with safetensors or GGUF files (root, path, params; null where a file isn't counted).
+
+    The sum over the safetensors files; where one of them isn't counted, as a number that lacks a shard would be wrong, or there is none, that
+    of the GGUF files by the rule of `gguf_params`; else null."""
     s = files.filter("path like '%.safetensors'").groupBy("root")
-    return s.agg(F.when(F.bool_and(F.col("params").isNotNull()), F.sum("params")).cast("bigint").alias("params"))
+    s = s.agg(F.when(F.bool_and(F.col("params").isNotNull()), F.sum("params")).cast("bigint").alias("params"))
+    g = gguf_params(files).select("root", F.col("params").alias("_gguf"))
+    return s.join(g, "root", "full").select("root", F.coalesce("params", "_gguf").alias("params"))
 
 
 def files_by_size(manifests: DataFrame) -> DataFrame:

@@ -371,7 +371,8 @@ def headers_checked(spark, d):
 
 
 def model_params(spark, d):
-    """Parameters of models from those of their safetensors files: none unless all are counted. A file is counted when all its chunks' types are known."""
+    """Parameters of models from those of their safetensors files, else of their GGUF files. A file is counted when all its chunks' types are known;
+    a byte of a raw one stands for a parameter."""
     m = table(spark, d, "manifests").select(key("root").alias("root"), "files").filter("root is not null").groupBy("root").agg(F.min_by("files", F.to_json("files")).alias("files"))
     f = m.select("root", F.explode("files.path").alias("path"))
     width = F.when(F.col("dtype").isin("bf16", "f16"), 2).when(F.col("dtype") == "f32", 4).when(F.col("dtype") == "raw", 1)
@@ -473,6 +474,13 @@ SELECT k, length(odd) BETWEEN 1 AND 40 AND trim(odd) = odd AS display, regexp_fu
     "headers_checked": "SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 3 <> 0 AS ok FROM documents WHERE strlen(text) >= 64",
     "model_params": _CH + f""", mo AS (SELECT root, arg_min(files, CAST(to_json(files) AS VARCHAR)) AS files FROM (SELECT {_K.format("root")} AS root, files FROM manifests) WHERE root IS NOT NULL GROUP BY root),
 mf AS (SELECT root, unnest(files).path AS path FROM mo),
-c AS (SELECT root, path, CASE WHEN bool_and(coalesce(dtype IN ('bf16', 'f16', 'f32', 'raw'), false)) THEN sum(len // CASE dtype WHEN 'f32' THEN 4 WHEN 'raw' THEN 1 ELSE 2 END) END AS params FROM ch WHERE path IS NOT NULL GROUP BY ALL)
-SELECT mf.root, CAST(CASE WHEN bool_and(c.params IS NOT NULL) THEN sum(c.params) END AS BIGINT) AS params FROM mf LEFT JOIN c ON c.root = mf.root AND c.path = mf.path WHERE mf.path LIKE '%.safetensors' GROUP BY mf.root""",
+c AS (SELECT root, path, CASE WHEN bool_and(coalesce(dtype IN ('bf16', 'f16', 'f32', 'raw'), false)) THEN sum(len // CASE dtype WHEN 'f32' THEN 4 WHEN 'raw' THEN 1 ELSE 2 END) END AS params FROM ch WHERE path IS NOT NULL GROUP BY ALL),
+fp AS (SELECT mf.root, mf.path, c.params FROM mf LEFT JOIN c ON c.root = mf.root AND c.path = mf.path),
+sp AS (SELECT root, CASE WHEN bool_and(params IS NOT NULL) THEN sum(params) END AS p FROM fp WHERE path LIKE '%.safetensors' GROUP BY root),
+gs AS (
+  SELECT root, stem, count(*) AS n, sum(params) AS p, bool_and(params IS NOT NULL) AS counted, arg_min(total, path) AS total FROM (
+    SELECT *, coalesce(nullif(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\.gguf$', 1), ''), path) AS stem, coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\.gguf$', 2) AS INTEGER), 1) AS total
+    FROM fp WHERE path LIKE '%.gguf') GROUP BY root, stem
+), gp AS (SELECT root, CASE WHEN bool_and(n = total AND counted) AND count(DISTINCT p) = 1 THEN max(p) END AS p FROM gs GROUP BY root)
+SELECT coalesce(sp.root, gp.root) AS root, CAST(coalesce(sp.p, gp.p) AS BIGINT) AS params FROM sp FULL JOIN gp ON sp.root = gp.root""",
 }

@@ -254,9 +254,11 @@ def byte_ranges(spark, d):
 
 
 def model_names(spark, d):
-    m = table(spark, d, "manifests").select(F.explode(F.array("model", F.concat("model", F.lit(":q4")), F.concat(F.lit("hub.example/"), "model"))).alias("ref")).filter("ref is not null").distinct()
+    """Names of models in several spellings: their parts, how they are shown and where their manifests lie."""
+    m = table(spark, d, "manifests").select(F.explode(F.array("model", F.concat("model", F.lit(":q4")), F.concat(F.lit(" https://hub.example:80/"), "model"), F.concat("model", F.lit("@sha256")), F.concat(F.lit("library/"), F.substring_index("model", "/", -1)))).alias("ref"))
+    m = m.filter("ref is not null").distinct()
     n = S.model_name(F.col("ref"))
-    return m.select("ref", n["host"].alias("host"), n["namespace"].alias("namespace"), n["model"].alias("model"), n["tag"].alias("tag"))
+    return m.select("ref", n["host"].alias("host"), n["namespace"].alias("namespace"), n["model"].alias("model"), n["tag"].alias("tag"), S.model_display(n).alias("shown"), S.model_path(n).alias("path"))
 
 
 def params_per_dtype(spark, d):
@@ -397,8 +399,12 @@ SELECT k, 'bytes=' || k || '-' AS header, CASE WHEN k < 5000 THEN k END AS start
 UNION ALL SELECT k, 'bytes=-' || k, CASE WHEN k > 0 THEN greatest(5000 - k, 0) END, CASE WHEN k > 0 THEN 5000 END FROM o
 UNION ALL SELECT k, 'bytes=10-' || k, CASE WHEN k >= 10 THEN 10 END, CASE WHEN k >= 10 THEN least(k + 1, 5000) END FROM o
 UNION ALL SELECT k, 'bytes=x', NULL, NULL FROM o""",
-    "model_names": """WITH m AS (SELECT DISTINCT unnest([model, model || ':q4', 'hub.example/' || model]) AS ref FROM manifests WHERE model IS NOT NULL), s AS (SELECT ref, string_split(split_part(ref, ':', 1), '/') AS p FROM m)
-SELECT ref, CASE WHEN len(p) = 3 THEN p[1] ELSE 'registry.ollama.ai' END AS host, p[len(p) - 1] AS namespace, p[len(p)] AS model, CASE WHEN contains(ref, ':') THEN split_part(ref, ':', 2) ELSE 'latest' END AS tag FROM s""",
+    "model_names": """WITH m AS (SELECT DISTINCT unnest([model, model || ':q4', ' https://hub.example:80/' || model, model || '@sha256', 'library/' || split_part(model, '/', -1)]) AS ref FROM manifests WHERE model IS NOT NULL),
+t AS (SELECT ref, regexp_replace(trim(ref), '^https?://', '') AS s FROM m),
+u AS (SELECT ref, contains(s, '@') AS none, CASE WHEN regexp_matches(s, ':[^/]*$') THEN regexp_extract(s, ':([^:/]*)$', 1) ELSE 'latest' END AS tag, string_split(regexp_replace(s, ':[^/]*$', ''), '/') AS p FROM t),
+v AS (SELECT ref, CASE WHEN NOT none THEN CASE WHEN len(p) = 3 THEN p[1] ELSE 'registry.ollama.ai' END END AS host, CASE WHEN NOT none THEN p[len(p) - 1] END AS namespace, CASE WHEN NOT none THEN p[len(p)] END AS model, CASE WHEN NOT none THEN tag END AS tag FROM u)
+SELECT *, CASE WHEN host = 'registry.ollama.ai' THEN CASE WHEN namespace = 'library' THEN model ELSE namespace || '/' || model END ELSE host || '/' || namespace || '/' || model END || ':' || tag AS shown,
+  'manifests/' || host || '/' || namespace || '/' || model || '/' || tag AS path FROM v""",
     "params_per_dtype": _CH + "SELECT dtype, CAST(sum(len // CASE dtype WHEN 'raw' THEN 1 WHEN 'bf16' THEN 2 WHEN 'f16' THEN 2 WHEN 'f32' THEN 4 ELSE 8 END) AS BIGINT) AS elements, CAST(sum(len) AS BIGINT) AS bytes FROM ch WHERE dtype IS NOT NULL GROUP BY dtype",
     "exponent_histogram": "SELECT CAST(('0b' || substr(CAST(CAST(x AS FLOAT)::BIT AS VARCHAR), 2, 8)) AS INTEGER) AS exponent, count(*) AS n FROM (SELECT unnest(embedding) AS x FROM embeddings) GROUP BY 1",
     "largest_chunks": _CH + "SELECT dtype, hash, len, CAST(row_number() OVER (PARTITION BY dtype ORDER BY len DESC, hash) AS INTEGER) AS rank FROM (SELECT dtype, hash, max(len) AS len FROM ch WHERE dtype IS NOT NULL AND hash IS NOT NULL GROUP BY ALL) QUALIFY rank <= 10",

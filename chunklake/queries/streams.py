@@ -52,6 +52,38 @@ def stream_restarted(spark, d):
     return spark.read.parquet(out).groupBy("node", "outcome").agg(F.sum("n").alias("n"), F.lit(True).alias("whole"))
 
 
+EDGES, KEPT = (1_742_800_000, 1_747_000_000), 60 * 86400
+
+
+def stream_retried(spark, d):
+    """Receipts sent in three batches as they come: those with an odd id fail at first and are sent again with the next batch, unless they are
+    more than 60 days older than its newest; what failed last still waits."""
+    from chunklake.common import scratch
+
+    src, out, queue, state = (scratch(spark, x) for x in ("incoming", "sent", "queue", "sent-state"))
+    r = table(spark, d, "receipts").dropDuplicates(["receipt_id"]).filter("time is not null").select("receipt_id", "time")
+    batch = F.when(F.col("time") < EDGES[0], 0).when(F.col("time") < EDGES[1], 1).otherwise(2)
+    at = {"n": 0}
+
+    def send(df):
+        df = df.withColumn("batch", batch)
+        fails = (F.col("batch") == at["n"]) & (F.col("receipt_id") % 2 == 1)
+        df.filter(~fails).select("receipt_id").write.mode("overwrite").parquet(f"{out}/batch={at['n']}")
+        return df.filter(fails).drop("batch")
+
+    step = B.with_retry(send, KEPT, queue)
+
+    def one(df, n):
+        at["n"] = n
+        step(df, n)
+
+    for n in range(3):
+        r.filter(batch == n).coalesce(1).write.mode("append").parquet(src)
+        B.follow(B.source(spark, src, 1), one, state).awaitTermination()
+    sent = spark.read.parquet(out).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("sent "), F.col("batch").cast("string")).alias("what"), "n")
+    return sent.unionByName(spark.read.parquet(f"{queue}/2").agg(F.count(F.lit(1)).alias("n")).select(F.lit("waits").alias("what"), "n"))
+
+
 def stream_hourly_probes(spark, d):
     s = _stream(spark, d, "probes", "t", "probe_id", "node", "t")
     u = B.run(B.hourly(B.once(s, ["probe_id"]), ["node"], n=F.count(F.lit(1))), mode="update", name="probes")
@@ -130,7 +162,7 @@ def pack_manifest(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (stream_downloads, stream_daily_bytes, stream_days_closed, stream_restarted, stream_hourly_probes, stream_probe_gap, stream_latest_probe, stream_follow_log, cdc_chunks, codec_roundtrip, codec_ratio, pack_manifest)
+    for f in (stream_downloads, stream_daily_bytes, stream_days_closed, stream_restarted, stream_retried, stream_hourly_probes, stream_probe_gap, stream_latest_probe, stream_follow_log, cdc_chunks, codec_roundtrip, codec_ratio, pack_manifest)
 }
 
 SQL = {
@@ -140,6 +172,11 @@ SQL = {
 SELECT server, strftime(make_timestamp(time * 1000000), '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS total FROM r
 WHERE (time // 86400 + 1) * 86400 <= (SELECT max(time) FROM r) - 172800 GROUP BY ALL""",
     "stream_restarted": "SELECT node, outcome, count(*) AS n, true AS whole FROM (SELECT DISTINCT ON (probe_id) * FROM probes) GROUP BY ALL",
+    "stream_retried": f"""WITH r AS (SELECT DISTINCT ON (receipt_id) receipt_id, time, CASE WHEN time < {EDGES[0]} THEN 0 WHEN time < {EDGES[1]} THEN 1 ELSE 2 END AS b FROM receipts WHERE time IS NOT NULL),
+m AS (SELECT b, max(time) AS newest FROM r GROUP BY b)
+SELECT 'sent ' || b AS what, count(*) AS n FROM (
+  SELECT b FROM r WHERE receipt_id % 2 = 0 UNION ALL SELECT r.b + 1 FROM r JOIN m ON m.b = r.b + 1 WHERE receipt_id % 2 = 1 AND r.time > m.newest - {KEPT}) GROUP BY b
+UNION ALL SELECT 'waits', count(*) FROM r WHERE b = 2 AND receipt_id % 2 = 1""",
     "stream_hourly_probes": "SELECT node, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H') AS hour, count(*) AS n FROM (SELECT DISTINCT ON (probe_id) * FROM probes) GROUP BY ALL",
     "stream_probe_gap": _BASE + _walk(3600) + "SELECT node, count(*) AS n FROM ap WHERE t < (SELECT max(t) FROM probes) - 172800 GROUP BY node",
     "stream_latest_probe": "SELECT node, t, probe_id FROM (SELECT DISTINCT node, t, probe_id FROM probes) QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC, probe_id DESC) = 1",

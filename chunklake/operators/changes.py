@@ -13,6 +13,7 @@ from chunklake.common import key, written
 
 GENESIS = "0" * 64
 FANOUT = 8192
+REACH = 6
 
 _LINK = "log string, pos long, came string, went string, tail long, tip string, whole boolean, pick boolean"
 
@@ -96,6 +97,32 @@ def _plausible(base: DataFrame) -> DataFrame:
     return e.filter("followed").select("log", "seq", "prev", "own", "followed").unionByName(ends)
 
 
+def _forks(linked: DataFrame):
+    """most: entries of the longest log; forked: whether a log has two entries of one sequence number."""
+    n = linked.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("d"))
+    return n.agg(F.max("n").alias("most"), F.bool_or(F.col("n") > F.col("d")).alias("forked")).first()
+
+
+def _without_short_branches(linked: DataFrame, reach: int = REACH) -> DataFrame:
+    """linked without the branches that end within `reach` entries after a fork of which another branch goes further.
+
+    Only forks are followed, entry by entry, so what is joined with the log is small where forks are few. Branches of equal length and
+    longer ones stay: they are decided by blocks."""
+    forks = linked.groupBy("log", "seq", "prev").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    at = linked.join(forks, ["log", "seq", "prev"]).select("log", F.col("seq").alias("fork"), "prev", F.col("own").alias("branch"), F.lit(0).alias("depth"), "seq", "own")
+    visited = at
+    after = linked.select("log", (F.col("seq") - 1).alias("seq"), F.col("prev").alias("own"), F.col("own").alias("_next"))
+    for depth in range(1, reach + 1):
+        at = at.join(after, ["log", "seq", "own"]).select("log", "fork", "prev", "branch", F.lit(depth).alias("depth"), (F.col("seq") + 1).alias("seq"), F.col("_next").alias("own"))
+        visited = visited.unionByName(at)
+    visited = written(visited, "branches")
+    far = visited.groupBy("log", "fork", "prev", "branch").agg(F.max("depth").alias("far"))
+    best = far.groupBy("log", "fork", "prev").agg(F.max("far").alias("best"))
+    dead = far.join(best, ["log", "fork", "prev"]).filter("far < best").select("log", "fork", "prev", "branch")
+    gone = visited.join(dead, ["log", "fork", "prev", "branch"], "left_semi").select("log", "seq", "own").distinct()
+    return linked.join(gone, ["log", "seq", "own"], "left_anti")
+
+
 def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The (log, seq, own) of the longest chain of each log from seq 0 on.
 
@@ -107,7 +134,10 @@ def longest_chain(entries: DataFrame, fanout: int = FANOUT) -> DataFrame:
     # hashed and made distinct once, and linked once: both are read several times
     base = written(base.filter((F.col("seq") > 0) | (F.col("prev") == GENESIS)), "entries")
     linked = written(_plausible(base), "linked")
-    n = linked.groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("d")).agg(F.max("n").alias("most"), F.bool_or(F.col("n") > F.col("d")).alias("forked")).first()
+    n = _forks(linked)
+    if n["forked"]:
+        linked = written(_without_short_branches(linked), "pruned")
+        n = _forks(linked)
     if not n["forked"]:
         # no fork is left: each entry follows the one before it, so a log's chain ends where the first of them has no follower
         end = linked.filter("not followed").groupBy("log").agg(F.min("seq").alias("_end"))

@@ -207,6 +207,27 @@ def test_longest_chain(spark, fanout):
     assert changes.longest_chain(df.limit(0), fanout).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_chain_among_random_branches(spark, seed):
+    rnd = random.Random(seed)
+    rows = make_chain(40)
+    for i in range(25):  # branches of one to nine entries, also off other branches, some as long as the log
+        at = rnd.choice(rows)
+        rows += make_chain(rnd.choice([1, 1, 2, 3, 5, 9, 39 - at[1] if at[1] < 39 else 1]), at[1] + 1, at[3], f"b{i}-")
+    known = {(r[1], r[2]): [] for r in rows}
+    for r in rows:
+        known[(r[1], r[2])].append(r)
+    best = {}  # the furthest end from an entry on: (seq, smallest hash), and the way there
+    for r in sorted(rows, key=lambda r: -r[1]):
+        ways = [best[k[3]] for k in known.get((r[1] + 1, r[3]), [])]
+        far = min(ways, key=lambda w: (-w[0], w[1])) if ways else (r[1], r[3], [])
+        best[r[3]] = (far[0], far[1], [(r[1], r[3]), *far[2]])
+    want = min((best[r[3]] for r in rows if r[1] == 0), key=lambda w: (-w[0], w[1]))[2]
+    df = spark.createDataFrame(rows, "log string, seq long, prev string, own string")
+    for fanout in (4, 8192):
+        assert sorted((r["seq"], r["own"]) for r in changes.longest_chain(df, fanout).collect()) == want
+
+
 def brute_replay(rows):
     state = {}
     for k, s, op, a, b in sorted((r for r in set(rows) if r[1] is not None and r[2] in ("upsert", "delete")), key=lambda r: r[1]):

@@ -479,7 +479,7 @@ fp AS (SELECT mf.root, mf.path, c.params FROM mf LEFT JOIN c ON c.root = mf.root
 sp AS (SELECT root, CASE WHEN bool_and(params IS NOT NULL) THEN sum(params) END AS p FROM fp WHERE path LIKE '%.safetensors' GROUP BY root),
 gs AS (
   SELECT root, stem, count(*) AS n, sum(params) AS p, bool_and(params IS NOT NULL) AS counted, arg_min(total, path) AS total FROM (
-    SELECT *, coalesce(nullif(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\.gguf$', 1), ''), path) AS stem, coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\.gguf$', 2) AS INTEGER), 1) AS total
+    SELECT *, coalesce(nullif(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\\.gguf$', 1), ''), path) AS stem, coalesce(TRY_CAST(regexp_extract(path, '^(.*)-[0-9]{{5}}-of-([0-9]{{5}})\\.gguf$', 2) AS INTEGER), 1) AS total
     FROM fp WHERE path LIKE '%.gguf') GROUP BY root, stem
 ), gp AS (SELECT root, CASE WHEN bool_and(n = total AND counted) AND count(DISTINCT p) = 1 THEN max(p) END AS p FROM gs GROUP BY root)
 SELECT coalesce(sp.root, gp.root) AS root, CAST(coalesce(sp.p, gp.p) AS BIGINT) AS params FROM sp FULL JOIN gp ON sp.root = gp.root""",

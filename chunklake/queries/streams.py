@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chunklake.common import table
+from chunklake.common import table, written
 from chunklake.plans import pipeline
 from chunklake.queries.accounting import _BASE, _walk
 from chunklake.streaming import board as B
@@ -129,10 +129,13 @@ def cdc_chunks(spark, d):
 
 
 def codec_roundtrip(spark, d):
-    """Every distinct chunk encoded, decoded and compared with its hash."""
-    c = pipeline.cut(_files(spark, d))
-    r = pipeline.decode(pipeline.encode(c))
-    return r.groupBy("ok").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("raw")).alias("bytes"))
+    """Every distinct chunk encoded, decoded and compared with its hash; the bytes of each source's files that came back."""
+    c = written(pipeline.cut(_files(spark, d)), "pieces")
+    good = pipeline.decode(pipeline.encode(c)).filter("ok").select("hash", F.octet_length("raw").cast("bigint").alias("back"))
+    # pieces are united per source and hash first, so that a hash in very many files is no hot group of the join
+    p = c.groupBy(F.substring_index("path", "/", 1).alias("source"), "hash").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
+    j = p.join(good, "hash", "left")
+    return j.groupBy("source").agg(F.sum("len").alias("bytes"), F.coalesce(F.sum(F.col("n") * F.col("back")), F.lit(0)).alias("back"))
 
 
 def codec_ratio(spark, d):
@@ -182,5 +185,6 @@ UNION ALL SELECT 'waits', count(*) FROM r WHERE b = 2 AND receipt_id % 2 = 1""",
     "stream_latest_probe": "SELECT node, t, probe_id FROM (SELECT DISTINCT node, t, probe_id FROM probes) QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC, probe_id DESC) = 1",
     "stream_follow_log": "SELECT registry, statement.claim.kind AS kind, count(*) AS n FROM log WHERE statement IS NOT NULL GROUP BY ALL",
     "cdc_chunks": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE strlen(text) > 0) AS files FROM documents WHERE text IS NOT NULL GROUP BY source",
+    "codec_roundtrip": "SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(sum(strlen(text)) AS BIGINT) AS back FROM documents WHERE strlen(text) > 0 GROUP BY source",
     "pack_manifest": "SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS size, 64 AS root_digits FROM documents WHERE text IS NOT NULL",
 }
